@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lodestar.llm import chat, html, mixing, quality, tokens, toxicity, urls
+from lodestar.llm import chat, html, mixing, quality, substrings, tokens, toxicity, urls
 
 ENTRIES = {
     "op1_html_extraction": (html.op1_html_extraction, None),
     "op2_mix_sources": (mixing.op2_mix_sources, mixing.SQL),
     "op5_token_ids": (tokens.op5_token_ids, None),
     "op6_chat_formatting": (chat.op6_chat_formatting, chat.SQL),
+    "op7_substring_dedup": (substrings.op7_substring_dedup, None),
     "op8_quality_rules": (quality.op8_quality_rules, quality.SQL),
     "op9_toxicity": (toxicity.op9_toxicity, None),
     "op10_url_filters": (urls.op10_url_filters, urls.SQL),
