@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from lodestar.llm import chat, html, mixing, quality, substrings, tokens, toxicity, urls
+from lodestar.llm import chat, decontam, html, mixing, neardup, quality, substrings, tokens, toxicity, urls
 
 ENTRIES = {
     "op1_html_extraction": (html.op1_html_extraction, None),
     "op2_mix_sources": (mixing.op2_mix_sources, mixing.SQL),
+    "op3_jaccard_join": (neardup.op3_jaccard_join, None),
+    "op4_decontamination": (decontam.op4_decontamination, None),
     "op5_token_ids": (tokens.op5_token_ids, None),
     "op6_chat_formatting": (chat.op6_chat_formatting, chat.SQL),
     "op7_substring_dedup": (substrings.op7_substring_dedup, None),
