@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,30 +36,32 @@ def upsert_packages(rows: DataFrame) -> DataFrame:
     return last_by(rows, ["directory_path"], F.col("path"))
 
 
-def upsert_files(old: DataFrame, new: DataFrame, now: str) -> DataFrame:
+def upsert_files(old: DataFrame, new: DataFrame, now: str, stage: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """old with new rows by path; ids and created_at of known paths stay, new ids follow the greatest one in path order."""
     o = old.select("path", F.col("id").alias("old_id"), F.col("created_at").alias("old_created"))
     both = new.drop("id", "created_at").join(o, "path", "left")
-    fresh = numbered(both.filter("old_id is null"), ["path"], old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")))
+    fresh = numbered(both.filter("old_id is null"), ["path"], stage, greatest(old))
     keep = both.filter("old_id is not null").withColumn("id", F.col("old_id"))
     rows = keep.unionByName(fresh, allowMissingColumns=True).withColumn("created_at", F.coalesce("old_created", F.lit(now))).withColumn("updated_at", F.lit(now))
     untouched = old.join(new.select("path"), "path", "left_anti")
     return untouched.select(*old.columns).unionByName(rows.select(*[F.col(c) if c in rows.columns else F.lit(None).alias(c) for c in old.columns]))
 
 
-def numbered(df: DataFrame, order: list[str], after: DataFrame | None = None, name: str = "id", parts: int = 64) -> DataFrame:
-    """df with consecutive numbers in the given order, without a single-partition sort.
+def greatest(table: DataFrame) -> int:
+    return table.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+
+
+def numbered(df: DataFrame, order: list[str], stage: Callable[[DataFrame, str], DataFrame], after: int = 0, name: str = "id") -> DataFrame:
+    """df with consecutive numbers in the given order, and no single-partition sort.
 
-    Rows are range-partitioned by hash-free order keys through a bucket table: a rank inside each top-level bucket
-    (the first order column) plus the bucket's offset. One small window runs over bucket counts only.
+    Rows are range-partitioned and sorted; each partition numbers its own rows, and a table of partition sizes gives
+    the offsets. stage writes the rows once and reads them again, so that later plans all see the same numbers.
     """
-    key = F.coalesce(F.substring_index(F.col(order[0]).cast("string"), "/", 1), F.lit(""))
-    x = df.withColumn("__b", F.struct(key.alias("k"), F.substring(F.coalesce(F.col(order[0]).cast("string"), F.lit("")), 1, 24).alias("p")))
-    counts = x.groupBy("__b").agg(F.count("*").alias("__n"))
-    offsets = counts.withColumn("__at", F.coalesce(F.sum("__n").over(W.orderBy("__b.p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    ranked = x.withColumn("__r", F.row_number().over(W.partitionBy("__b").orderBy(*order)))
-    out = ranked.join(offsets, "__b").withColumn(name, (F.col("__at") + F.col("__r")).cast("long")).drop("__b", "__r", "__at")
-    return out.crossJoin(F.broadcast(after)).withColumn(name, F.col(name) + F.col("m")).drop("m") if after is not None else out
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    rows = stage(sorted_, "numbered").withColumn("__p", F.shiftright("__at", 33)).withColumn("__k", F.col("__at").bitwiseAND((1 << 33) - 1))
+    sizes = rows.groupBy("__p").agg(F.count("*").alias("__n"))
+    offsets = sizes.select("__p", F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
+    return rows.join(F.broadcast(offsets), "__p").withColumn(name, (F.col("__off") + F.col("__k") + 1 + after).cast("long")).drop("__at", "__p", "__k", "__off")
 
 
 def replace_by_file(old: DataFrame, new: DataFrame, files: DataFrame, key: str = "file_id") -> DataFrame:
