@@ -27,6 +27,10 @@ TREES, DEEPEST = 24, 6
 BORDER = 512
 #: Texts in a block of a bucket.
 BLOCK = 2048
+#: Bytes of a shingle's hash that travel to the verification.
+BYTES = 6
+#: Up to this many texts in buckets their digests are broadcast to thin out the texts before the join.
+BROADCAST_TEXTS = 2_000_000
 
 
 def depth(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, deepest: int = DEEPEST) -> int:
@@ -106,7 +110,7 @@ def _members(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
     for b in batches:
         rows = []
         for r in b.to_pylist():
-            s = shingle_set(r["text"], k).tobytes()
+            s = np.ascontiguousarray(shingle_set(r["text"], k).view(np.uint8).reshape(-1, 8)[:, :BYTES]).tobytes()
             kept = sorted(x["b"] for x in r["kept"])
             for x in r["kept"]:
                 g = -(-x["n"] // BLOCK)
@@ -118,13 +122,19 @@ def _members(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], names)
 
 
+def _unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // BYTES, 8), np.uint8)
+    out[:, :BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, BYTES)
+    return out.reshape(-1).view(np.uint64)
+
+
 def _verify(table: pa.Table, threshold: float) -> pa.Table:
     """Links of each text in one block pair of a bucket, and the least text of its component there."""
     bucket = table.column("bucket")[0].as_py()
     order = sorted(range(table.num_rows), key=lambda i: (table.column("t")[i].as_py()))
     block, t, c, kept, sets = (table.column(n).to_pylist() for n in ("block", "t", "c", "kept", "set"))
     n = len(order)
-    sets = [np.frombuffer(sets[i], np.uint64) for i in order]
+    sets = [_unpacked(sets[i]) for i in order]
     size = np.array([len(s) for s in sets], np.int64)
     blk, copies, t = np.array([block[i] for i in order]), np.array([c[i] for i in order], np.int64), [t[i] for i in order]
     across = table.column("across")[0].as_py()
@@ -218,8 +228,9 @@ def classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = K
     buckets = in_buckets.groupBy("b").agg(F.count("*").alias("n"), F.sum(F.xxhash64("t").cast("decimal(38,0)")).alias("x"), F.bit_xor(F.xxhash64("t", F.lit(1))).alias("y")).filter("n > 1")
     kept = buckets.groupBy("n", "x", "y").agg(F.min("b").alias("b")).select("b", "n")
     members = in_buckets.join(kept, "b").groupBy("t").agg(F.collect_list(F.struct("b", "n")).alias("kept"))
-    members = members.join(texts.select("t", "rep", "n_rep", "c"), "t").select(F.col("t").alias("t2"), "rep", "n_rep", "c", "kept")
-    with_text = rows.join(members, (rows["t"] == members["t2"]) & rows["d"].eqNullSafe(members["rep"])).select("t", "n_rep", "c", "kept", "text")
+    members = written(members.join(texts.select("t", "rep", "n_rep", "c"), "t").select(F.col("t").alias("t2"), "rep", "n_rep", "c", "kept"), "members")
+    asked = rows.join(F.broadcast(members.select(F.col("t2").alias("t"))), "t", "left_semi") if members.count() <= BROADCAST_TEXTS else rows
+    with_text = asked.join(members, (F.col("t") == F.col("t2")) & F.col("d").eqNullSafe(F.col("rep"))).select("t", "n_rep", "c", "kept", "text")
     with_text = with_text.filter("n_rep = 1").unionByName(with_text.filter("n_rep > 1").dropDuplicates(["t"]))  # repeated rows
     sets = with_text.mapInArrow(lambda it: _members(it, k), "bucket long, pair long, across boolean, block long, t binary, c long, kept array<long>, set binary")
     linked = written(sets.groupBy("bucket", "pair").applyInArrow(lambda x: _verify(x, threshold), "a binary, b binary, links long"), "links")
