@@ -53,7 +53,7 @@ def base_stats(text: Column) -> dict[str, Column]:
 
 
 def _normal(line: Column) -> Column:
-    return F.regexp_replace(F.lower(F.btrim(F.regexp_replace(line, WS_CLASS, " "), F.lit(" "))), "[0-9]+", "0")
+    return F.lower(F.btrim(F.regexp_replace(line, WS_CLASS, " "), F.lit(" ")))
 
 
 def _hash(line: Column) -> Column:
@@ -105,7 +105,7 @@ win AS (SELECT doc_id, i, words[i:i+4] AS g FROM (SELECT doc_id, words, unnest(r
 dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
 rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM dup, range(5) AS r(k) GROUP BY doc_id),
 raw AS (SELECT doc_id, host, unnest(string_split(t, chr(10))) AS line FROM d),
-ln AS (SELECT doc_id, host, line, regexp_replace(lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))), '[0-9]+', '0', 'g') AS norm FROM raw),
+ln AS (SELECT doc_id, host, line, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS norm FROM raw),
 lines AS (SELECT * FROM ln WHERE norm <> ''),
 dl AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id),
 hosts AS (SELECT host, count(*) AS docs FROM d GROUP BY host),
