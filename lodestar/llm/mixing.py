@@ -14,11 +14,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import WS_CLASS, trimmed
+from lodestar.llm.common import WS_CLASS, trimmed, written
 
 LEVELS = ("domain", "lang", "source")
 #: Rows in a bucket of the seeded order, on average.
 BUCKET_ROWS = 1024
+#: A plan of at most this many leaves is broadcast, so that texts aren't shuffled; a larger one is joined by shuffle.
+BROADCAST_LEAVES = 200_000
 
 
 def tokens_of(text: Column) -> Column:
@@ -88,25 +90,25 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], bud
         return F.greatest(F.lit(1), F.coalesce(F.element_at(table, F.col(level)), F.lit(1)) if table is not None else F.lit(1)).cast("long")
 
     leaves = sized.select(*[F.col(f"__{k}").alias(k) for k in LEVELS], "tokens", "n").withColumns({f"{k}_weight": weight(k) for k in LEVELS})
-    plan = leaf_budgets(leaves, budget, percent, max_epochs).select(
+    plan = written(leaf_budgets(leaves, budget, percent, max_epochs).select(
         *[F.col(k).alias(f"__{k}") for k in LEVELS],
         F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(F.lit(1)).cast("int").alias("__full"),
         F.when(F.col("tokens") > 0, F.col("budget") % F.col("tokens")).otherwise(F.lit(0)).alias("__rest"),
         F.ceil(F.col("n") / BUCKET_ROWS).cast("long").alias("__buckets"),
-    )
+    ), "plan")
+    sent = F.broadcast if plan.count() <= BROADCAST_LEAVES else lambda x: x
     # the partial epoch is number __full: its order, cut into buckets
-    dealt = base.join(plan, key).withColumn("__o", _order(seed, F.col("__full"), F.col(f"`{doc}`")))
+    dealt = base.join(sent(plan), key).withColumn("__o", _order(seed, F.col("__full"), F.col(f"`{doc}`")))
     unit = F.conv(F.substring("__o", 1, 8), 16, 10).cast("long")
     dealt = dealt.withColumn("__b", F.floor(unit * F.col("__buckets") / F.lit(1 << 32)).cast("long"))
     sums = dealt.groupBy(*key, "__b").agg(F.sum("__tokens").alias("__sum"), F.first("__rest").alias("__rest"))
     upto = W.partitionBy(*key).orderBy("__b")
     cut = sums.withColumn("__end", F.sum("__sum").over(upto)).filter("__end > __rest").groupBy(*key).agg(F.min(F.struct("__b", (F.col("__rest") - F.col("__end") + F.col("__sum")).alias("left"))).alias("__cut"))
-    cut = cut.select(*key, F.col("__cut.__b").alias("__cut_b"), F.col("__cut.left").alias("__left"))
-    edge = dealt.select(*key, "__b", "__o", "__tokens").join(cut, key).filter("__b = __cut_b")
+    cut = written(cut.select(*key, F.col("__cut.__b").alias("__cut_b"), F.col("__cut.left").alias("__left")), "cut")
+    edge = dealt.select(*key, "__b", "__o", "__tokens").join(sent(cut), key).filter("__b = __cut_b")
     run = W.partitionBy(*key).orderBy("__o", "__tokens").rangeBetween(W.unboundedPreceding, W.currentRow)
     last = edge.withColumn("__run", F.sum("__tokens").over(run)).filter("__run <= __left").groupBy(*key).agg(F.max(F.struct("__o", "__tokens")).alias("__last"))
-    plan2 = cut.join(last, key, "left")
-    chosen = dealt.join(plan2, key, "left")
+    chosen = dealt.join(sent(written(cut.join(last, key, "left"), "last")), key, "left")
     partial = F.col("__cut_b").isNull() & (F.col("__rest") > 0) | (F.col("__b") < F.col("__cut_b")) | ((F.col("__b") == F.col("__cut_b")) & (F.struct(F.col("__o"), F.col("__tokens")) <= F.col("__last")))
     copies = F.col("__full") + F.coalesce(partial, F.lit(False)).cast("int")
     cols = [F.col(f"`{c}`") for c in docs.columns]
