@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.extract.comments import code_lines
+from lodestar.extract.registry import extract
 from lodestar.functions import compat
 from lodestar.operators import find, maintain, report
 from lodestar.plans import summaries
 from lodestar.plans.virtual import oracle, virtual_index
+from lodestar.samples import SAMPLES
 from lodestar.session import table
 
 UP, LOW = compat.UPPER, compat.LOWER
@@ -236,9 +239,30 @@ TABLE_QUERIES = {
 }
 
 
+# ---- extraction over the sample texts: rows only, SQL can't express it
+
+def extracted(spark: SparkSession, language: str) -> DataFrame:
+    """Every record that a language's sample yields: (what, kind, name, line, confidence)."""
+    path, text = SAMPLES[language]
+    files = spark.createDataFrame([(path, bytearray(text.encode()), language)], "path string, content binary, language string")
+    got = extract(files, "example.com/shop")
+    s = got.select(F.explode("symbols").alias("x")).select(F.lit("symbol").alias("what"), F.col("x.symbol_kind").alias("kind"), F.col("x.qualified_name").alias("name"), F.col("x.start_line").alias("line"), F.col("x.visibility").alias("confidence"))
+    r = got.select(F.explode("refs").alias("x")).select(F.lit("reference"), "x.reference_kind", "x.raw_target_text", "x.line", "x.confidence")
+    a = got.select(F.explode("artifacts").alias("x")).select(F.lit("artifact"), "x.artifact_kind", "x.name", F.lit(0).cast("long"), "x.confidence")
+    return s.union(r).union(a)
+
+
+def comment_lines(spark: SparkSession, language: str) -> DataFrame:
+    path, text = SAMPLES[language]
+    return spark.createDataFrame([(i + 1, x, c) for i, (x, c) in enumerate(zip(text.split("\n"), code_lines(text, language)))], "line long, text string, is_code boolean")
+
+
+SAMPLE_QUERIES = {f"extract_{n}": (lambda spark, sf_dir, n=n: extracted(spark, n)) for n in SAMPLES} | {f"line_comment_filter_{n}": (lambda spark, sf_dir, n=n: comment_lines(spark, n)) for n in SAMPLES}
+
+
 def queries() -> dict:
     out = {n: (lambda spark, sf_dir, f=f: f(virtual_index(spark, sf_dir))) for n, (f, _) in INDEX.items()}
-    return out | {n: f for n, (f, _) in TABLE_QUERIES.items()}
+    return out | {n: f for n, (f, _) in TABLE_QUERIES.items()} | SAMPLE_QUERIES
 
 
 def oracle_sql() -> dict[str, str]:

@@ -20,5 +20,10 @@ def test_entry_has_rows(spark, sf):
     assert __spark_entry__.entry(spark).count() > 0
 
 
-def test_every_query_has_sql():
-    assert set(SQL) == set(queries.queries())
+def test_every_query_but_the_samples_has_sql():
+    assert set(SQL) | set(queries.SAMPLE_QUERIES) == set(queries.queries())
+
+
+@pytest.mark.parametrize("name", ["extract_go", "extract_java", "line_comment_filter_python"])
+def test_samples_have_rows(name, spark):
+    assert queries.queries()[name](spark, "").count() > 5
