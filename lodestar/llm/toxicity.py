@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 MAX_LABELLED = 20_000
 #: Word beginnings of these lengths are tried as features, besides whole words (marked by a $).
 PREFIX = range(3, 9)
-MIN_SUPPORT, MIN_SHARE, MIN_PRECISION, MAX_FEATURES = 3, 0.01, 0.95, 5_000
+MIN_SUPPORT, MIN_SHARE, MIN_PRECISION, MAX_FEATURES = 3, 0.02, 0.97, 5_000
 #: Log odds that make one plain insult worth a score of one half.
 UNIT = 4.5
 
@@ -139,11 +139,11 @@ def learn(labelled: DataFrame, text: str = "text", toxic: str = "toxic") -> dict
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", most: int = MAX_LABELLED) -> DataFrame:
-    """Labelled texts outside the held-out fold (crc32 of the id as text mod 5 is 0), at most `most` of them."""
+    """Labelled texts outside the held-out fold (crc32 of the id as text mod 5 is 0), at most `most` of them; equal texts count once."""
     fold = F.crc32(F.col("d").cast("string").cast("binary")) % 5
     y = labels.select(F.col(doc).alias("d"), F.col("toxic").alias("toxic")).filter(F.col("d").isNotNull() & (fold != 0)).groupBy("d").agg(F.max("toxic").alias("toxic"))
     some = y.orderBy(F.xxhash64("d"), "d").limit(most)  # bounded, hence broadcast
-    return docs.select(F.col(f"`{doc}`").alias("d"), F.col(f"`{text}`").alias("text")).join(F.broadcast(some), "d").select("text", "toxic")
+    return docs.select(F.col(f"`{doc}`").alias("d"), F.col(f"`{text}`").alias("text")).join(F.broadcast(some), "d").select("text", "toxic").dropDuplicates()
 
 
 def _scored(batches: Iterator[pa.RecordBatch], weights: dict[str, float]) -> Iterator[pa.RecordBatch]:
