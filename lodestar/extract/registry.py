@@ -42,7 +42,7 @@ def extract_text(path: str, content: bytes | str | None, language: str, module_p
         more = (module_path,) if language == "go" else ()
         return {"path": path} | EXTRACTORS[language](path, text, language, *more)
     except Exception as e:  # noqa: BLE001  one bad file must not stop a run
-        return empty | {"parse_status": "error", "diagnostics": [{"severity": "error", "code": "EXTRACT_ERROR", "message": f"{type(e).__name__}: {e}"}]}
+        return empty | {"parse_status": "error", "diagnostics": [{"severity": "error", "code": "PARSE_ERROR", "message": f"{type(e).__name__}: {e}"}]}
 
 
 def extract(files: DataFrame, module_path: str = "") -> DataFrame:

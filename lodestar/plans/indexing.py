@@ -144,7 +144,7 @@ def _merge(t: IndexTables, changed: DataFrame, got: DataFrame, config: source.Co
 def _diagnostics(t: IndexTables, got: DataFrame, run: int, config: source.Config, stage, after: int, now: str) -> DataFrame:
     d = got.select("path", F.explode("diagnostics").alias("d")).select("path", "d.*")
     kinds = EXTENDED_SYMBOL_KINDS if config.compat == "fixed" else SYMBOL_KINDS
-    bad = got.filter(F.exists("symbols", lambda s: ~s["symbol_kind"].isin(kinds))).select("path", F.lit("error").alias("severity"), F.lit("STORE_ERROR").alias("code"), F.lit("illegal symbol kind").alias("message"))
+    bad = got.filter(F.exists("symbols", lambda s: ~s["symbol_kind"].isin(kinds))).select("path", F.lit("error").alias("severity"), F.lit("PARSE_ERROR").alias("code"), F.lit("illegal symbol kind").alias("message"))
     rows = m.numbered(d.unionByName(bad).join(t.files.select("path", F.col("id").alias("file_id")), "path", "left"), ["path", "code", "message"], stage, after)
     out = rows.withColumn("run_id", F.lit(run).cast("long")).withColumn("created_at", F.lit(now))
     return out.select(*[F.col(c) if c in out.columns else F.lit(None).cast(f.dataType).alias(c) for f in t.diagnostics.schema.fields for c in [f.name]])

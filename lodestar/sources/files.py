@@ -14,7 +14,7 @@ from lodestar.functions.compat import CORE_LANGUAGES, EXTENDED_LANGUAGES, genera
 STATE_DIR = ".lodestar"
 # Default globs.
 INCLUDE = ["**/*.go", "**/*.ts", "**/*.tsx", "**/*.js", "**/*.jsx", "**/*.py", "**/*.pyi", "**/*.rs", "**/*.java", "**/*.cs", "**/*.swift", "**/*.lua"]
-EXCLUDE = ["vendor/**", "node_modules/**", "dist/**", "build/**", ".git/**", "target/**", "bin/**", "obj/**", "__pycache__/**", ".venv/**", "venv/**", "coverage/**", f"{STATE_DIR}/**"]
+EXCLUDE = ["vendor/**", "node_modules/**", ".git/**", "testdata/**", "__pycache__/**", "target/**", ".venv/**", "venv/**", "build/**", "bin/**", "obj/**", ".build/**", "Packages/**"]
 MAX_SIZE = 1 << 20
 
 
