@@ -30,7 +30,7 @@ BLOCK = 2048
 #: Bytes of a shingle's hash that travel to the verification.
 BYTES = 6
 #: Up to this many texts in buckets their digests are broadcast to thin out the texts before the join.
-BROADCAST_TEXTS = 2_000_000
+BROADCAST_TEXTS = 500_000
 
 
 def depth(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, deepest: int = DEEPEST) -> int:
