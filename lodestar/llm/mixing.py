@@ -82,7 +82,9 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], bud
     names = {"domain": F.coalesce(domain, F.lit("")), "lang": F.coalesce(F.col("lang"), F.lit("")), "source": F.coalesce(F.col("source"), F.lit(""))}
     base = docs.withColumns({f"__{k}": v for k, v in names.items()}).withColumn("__tokens", tokens_of(F.col(f"`{text}`")))
     key = ["__domain", "__lang", "__source"]
-    sized = base.groupBy(*key).agg(F.sum("__tokens").alias("tokens"), F.count("*").alias("n"))
+    # texts are read twice: once for their sizes, once for the rows that are taken
+    light = written(base.select(*key, F.col(f"`{doc}`").alias("__doc"), "__tokens"), "sizes")
+    sized = light.groupBy(*key).agg(F.sum("__tokens").alias("tokens"), F.count("*").alias("n"))
 
     def weight(level: str) -> Column:
         listed = weights.get(level, {})
@@ -97,18 +99,22 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], bud
         F.ceil(F.col("n") / BUCKET_ROWS).cast("long").alias("__buckets"),
     ), "plan")
     sent = F.broadcast if plan.count() <= BROADCAST_LEAVES else lambda x: x
-    # the partial epoch is number __full: its order, cut into buckets
-    dealt = base.join(sent(plan), key).withColumn("__o", _order(seed, F.col("__full"), F.col(f"`{doc}`")))
-    unit = F.conv(F.substring("__o", 1, 8), 16, 10).cast("long")
-    dealt = dealt.withColumn("__b", F.floor(unit * F.col("__buckets") / F.lit(1 << 32)).cast("long"))
-    sums = dealt.groupBy(*key, "__b").agg(F.sum("__tokens").alias("__sum"), F.first("__rest").alias("__rest"))
+
+    def dealt(rows: DataFrame, id_: Column) -> DataFrame:
+        """Rows with their place in the partial epoch, number __full: its order, cut into buckets."""
+        x = rows.join(sent(plan), key).withColumn("__o", _order(seed, F.col("__full"), id_))
+        unit = F.conv(F.substring("__o", 1, 8), 16, 10).cast("long")
+        return x.withColumn("__b", F.floor(unit * F.col("__buckets") / F.lit(1 << 32)).cast("long"))
+
+    small = dealt(light, F.col("__doc"))
+    sums = small.groupBy(*key, "__b").agg(F.sum("__tokens").alias("__sum"), F.first("__rest").alias("__rest"))
     upto = W.partitionBy(*key).orderBy("__b")
     cut = sums.withColumn("__end", F.sum("__sum").over(upto)).filter("__end > __rest").groupBy(*key).agg(F.min(F.struct("__b", (F.col("__rest") - F.col("__end") + F.col("__sum")).alias("left"))).alias("__cut"))
     cut = written(cut.select(*key, F.col("__cut.__b").alias("__cut_b"), F.col("__cut.left").alias("__left")), "cut")
-    edge = dealt.select(*key, "__b", "__o", "__tokens").join(sent(cut), key).filter("__b = __cut_b")
+    edge = small.select(*key, "__b", "__o", "__tokens").join(sent(cut), key).filter("__b = __cut_b")
     run = W.partitionBy(*key).orderBy("__o", "__tokens").rangeBetween(W.unboundedPreceding, W.currentRow)
     last = edge.withColumn("__run", F.sum("__tokens").over(run)).filter("__run <= __left").groupBy(*key).agg(F.max(F.struct("__o", "__tokens")).alias("__last"))
-    chosen = dealt.join(sent(written(cut.join(last, key, "left"), "last")), key, "left")
+    chosen = dealt(base, F.col(f"`{doc}`")).join(sent(written(cut.join(last, key, "left"), "last")), key, "left")
     partial = F.col("__cut_b").isNull() & (F.col("__rest") > 0) | (F.col("__b") < F.col("__cut_b")) | ((F.col("__b") == F.col("__cut_b")) & (F.struct(F.col("__o"), F.col("__tokens")) <= F.col("__last")))
     copies = F.col("__full") + F.coalesce(partial, F.lit(False)).cast("int")
     cols = [F.col(f"`{c}`") for c in docs.columns]
