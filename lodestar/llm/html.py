@@ -3,7 +3,7 @@
 Pages are sorted by host and path, so that the nearest URL of a page stands beside it; a hot host spreads over
 many range partitions. Each page is cut into text lines (one per block) with the region they stand in. The
 lines of a page and of its nearest neighbour on the host are aligned by longest common subsequence, and shared
-lines are deleted, except inside a marked article: copies of one article on neighbouring URLs share all of it.
+lines are deleted, inside a marked article too; only an article that is itself a copy of the neighbour's is spared.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An opening tag closes an open element of the same group.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "option": ("option",)}
 LIST_ROOTS = frozenset("ul ol dl table select menu".split())
+#: An article is a copy of the neighbour's when so many hundredths of its characters stand in shared lines.
+COPY_PERCENT = 50
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z", re.S)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -155,12 +157,21 @@ def common(a: list[str], b: list[str]) -> list[bool]:
 
 
 def main_text(lines: list[tuple[str, int]], neighbour: list[tuple[str, int]] | None) -> str:
-    """Lines of the article, else of main, else all lines that the neighbour does not share."""
+    """Lines of the article, else of main, else all lines; what the neighbour shares is gone.
+
+    An article that shares COPY_PERCENT of its characters or more is a copy and stays whole. An article with less
+    text than the unshared lines of main (else of the rest) outside it is a teaser, and those lines stay too.
+    """
     best = max((r for _, r in lines), default=0)
-    if best == 2:
-        return "\n".join(x for x, r in lines if r == 2)
     shared = common([x for x, _ in lines], [x for x, _ in neighbour]) if neighbour else [False] * len(lines)
-    return "\n".join(x for (x, r), gone in zip(lines, shared, strict=True) if not gone and r == best)
+    if best == 2:
+        size = lambda region, gone: sum(len(x) for (x, r), g in zip(lines, shared, strict=True) if r == region and g == gone)
+        if 100 * size(2, True) >= COPY_PERCENT * (size(2, True) + size(2, False)):
+            shared = [g and r < 2 for (_, r), g in zip(lines, shared, strict=True)]
+        rest = 1 if size(1, False) else 0
+        if size(rest, False) > size(2, False):
+            best = rest
+    return "\n".join(x for (x, r), gone in zip(lines, shared, strict=True) if not gone and r >= best)
 
 
 def _nearness(a: str, b: str) -> int:

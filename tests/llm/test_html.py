@@ -90,3 +90,21 @@ def test_empty_table_and_long_page(spark):
     long = "<article>" + "<p>word &amp; more</p>" * 20000 + "</article><p"
     assert html.main_text(html.lines_of(long), None).count("\n") == 19999
     assert stdlib_html.unescape("&amp;") == "&" and re.search("a", "a")
+
+
+def test_differencing_decides_inside_articles():
+    page = lambda *x: html.lines_of("<body><p>Home</p><article>" + "".join(f"<p>{y}</p>" for y in x) + "</article></body>")
+    notice, text = "Read our magazine every week", "A story of its own that is told here at some length"
+    assert html.main_text(page(text, notice), page("Quite another story", notice)) == text
+    # copies of one article stay whole, near copies too
+    assert html.main_text(page(text, notice), page(text, notice)) == f"{text}\n{notice}"
+    assert html.main_text(page(text, "One more line"), page(text, notice)) == f"{text}\nOne more line"
+
+
+def test_a_teaser_article_does_not_hide_the_main_text():
+    page = lambda teaser, body: html.lines_of(f"<body><p>Home | About</p><article><p>{teaser}</p></article><div><p>{body}</p></div></body>")
+    long = "The main text stands outside the article and is longer than it"
+    assert html.main_text(page("Soon", long), page("Later", "Other text")) == f"Soon\n{long}"
+    in_main = html.lines_of(f"<body><p>Home | About</p><main><article>Soon</article><p>{long}</p></main></body>")
+    assert html.main_text(in_main, None) == f"Soon\n{long}"
+    assert html.main_text(page(long, "Short"), None) == long
