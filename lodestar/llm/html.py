@@ -13,7 +13,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed lists of element names and of words in class, id and role attributes.
@@ -184,17 +184,17 @@ def _nearness(a: str, b: str) -> int:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted pages; each is finished when the next one is there."""
+    """Sorted pages; each is finished when the next one of its part is there. Guests are neighbours only."""
 
     def rows():
         for b in batches:
             for k in range(b.num_rows):
-                i, u, h, p, x = (b.column(c)[k].as_py() for c in range(5))
-                yield i, u, h, p, lines_of(x)
+                i, u, h, p, x, part, guest = (b.column(c)[k].as_py() for c in range(7))
+                yield i, u, h, p, lines_of(x), part, guest
 
     def done(before, row, after):
-        i, u, h, p, lines = row
-        near = [r for r in (before, after) if r is not None and r[2] == h]
+        i, u, h, p, lines, part, _ = row
+        near = [r for r in (before, after) if r is not None and r[2] == h and r[5] == part]
         pair = max(near, key=lambda r: _nearness(r[3], p)) if near else None
         return i, u, main_text(lines, pair[4] if pair else None)
 
@@ -204,30 +204,80 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     before, row, part = None, None, []
     for after in rows():
-        if row is not None:
+        if row is not None and not row[6]:
             part.append(done(before, row, after))
             if len(part) >= 256:
                 yield batch(part)
                 part = []
         before, row = row, after
-    if row is not None:
+    if row is not None and not row[6]:
         part.append(done(before, row, None))
     if part:
         yield batch(part)
 
 
+KEY = ("__host", "__path", "__id")
+#: Keys sampled for each part to find the bounds between the parts.
+SAMPLED = 40
+
+
+def _bounds(keys: DataFrame, n: int) -> list[tuple]:
+    """At most n - 1 keys that cut the table into parts of about equal size."""
+    total = keys.count() if n > 1 else 0
+    if not total:
+        return []
+    sample = sorted((tuple(r) for r in keys.sample(min(1.0, SAMPLED * n / total), seed=1).collect()), key=lambda k: (k[0], k[1], k[2] is not None, k[2] or 0))
+    return list(dict.fromkeys(sample[len(sample) * k // n] for k in range(1, n))) if sample else []
+
+
+def _part(bounds: list[tuple]) -> Column:
+    """How many bounds are at or below a row's key (binary search)."""
+    if not bounds:
+        return F.lit(0)
+    table = F.array(*[F.struct(F.lit(h).alias("h"), F.lit(p).alias("p"), F.lit(i).cast("long").alias("i")) for h, p, i in bounds])
+    key = F.struct(F.col("__host").alias("h"), F.col("__path").alias("p"), F.col("__id").alias("i"))
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(F.get(table, at + step - 1) <= key, F.lit(False)), at + step).otherwise(at))
+
+
+def _ties() -> list[Column]:
+    """Order of pages with one key."""
+    return [F.xxhash64("__html"), F.xxhash64("__url")]
+
+
+def _guests(rows: DataFrame) -> DataFrame | None:
+    """The last page of each part for the next part with pages, and the first for the one before, if of one host."""
+    key = F.struct(*KEY)
+    ends = sorted(rows.groupBy("__part").agg(F.min(key).alias("low"), F.max(key).alias("high")).collect())
+    sent = [x for a, b in zip(ends, ends[1:]) if a["high"]["__host"] == b["low"]["__host"] for x in ((*a["high"], b["__part"], True), (*b["low"], a["__part"], False))]
+    if not sent:
+        return None
+    to = rows.sparkSession.createDataFrame(sent, "h string, p string, i long, to int, last boolean")
+    met = rows.join(F.broadcast(to), (F.col("__host") == F.col("h")) & (F.col("__path") == F.col("p")) & F.col("__id").eqNullSafe(F.col("i")))
+    page, ties = F.struct("__url", "__html"), F.struct(*_ties())
+    # of pages with one key, the one that stands at the border
+    one = met.groupBy("to", "last", *KEY).agg(F.when(F.col("last"), F.max_by(page, ties)).otherwise(F.min_by(page, ties)).alias("x"))
+    return one.select("__id", "x.__url", "__host", "__path", "x.__html", F.col("to").alias("__part"), F.lit(True).alias("__guest"))
+
+
 def extract_pages(pages: DataFrame, page: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page, url, text, n_chars) for each row. Null html gives an empty text, null URLs sort as empty ones.
 
     The neighbour is the one beside the page in host and path order with the longer common path, the earlier of
-    two equal ones; at the edge of a range partition it is taken from the same partition. A page alone on its
-    host has none. Repeated rows are neighbours like any others and each gives a row.
+    two equal ones. The order is cut into parts by sampled keys, and the pages at both sides of a cut visit the
+    other part, so the cuts change no result. A page alone on its host has no neighbour. Repeated rows are
+    neighbours like any others and each gives a row.
     """
     from lodestar.llm.urls import host_of, path_of
 
     rows = pages.select(F.col(f"`{page}`").cast("long").alias("__id"), F.col(f"`{url}`").alias("__url"), host_of(F.col(f"`{url}`")).alias("__host"), path_of(F.col(f"`{url}`")).alias("__path"), F.col(f"`{html}`").alias("__html"))
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = rows.repartitionByRange(n, "__host", "__path", "__id").sortWithinPartitions("__host", "__path", "__id")
+    bounds = _bounds(rows.select(*KEY), n)
+    rows = rows.withColumn("__part", _part(bounds))
+    guests = _guests(rows) if bounds else None
+    dealt = rows.withColumn("__guest", F.lit(False))
+    dealt = (dealt.unionByName(guests) if guests else dealt).repartitionById(n, F.col("__part"))
+    sorted_ = dealt.sortWithinPartitions("__part", *KEY, *_ties())
     out = sorted_.mapInArrow(_extract, "__id long, __url string, text string")
     return out.select(F.col("__id").alias(page), F.col("__url").alias(url), "text", F.length("text").cast("long").alias("n_chars"))
 

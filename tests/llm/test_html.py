@@ -108,3 +108,18 @@ def test_a_teaser_article_does_not_hide_the_main_text():
     in_main = html.lines_of(f"<body><p>Home | About</p><main><article>Soon</article><p>{long}</p></main></body>")
     assert html.main_text(in_main, None) == f"Soon\n{long}"
     assert html.main_text(page(long, "Short"), None) == long
+
+
+def test_pages_at_a_cut_see_their_true_neighbours(spark):
+    page = lambda i: f"<body><p>Home | About</p><p>text {i}</p><p>Note {i // 2}</p><p>All rights reserved</p></body>"
+    rows = [(i if i != 7 else None, f"http://h/a/{i:03}", page(i)) for i in range(90)] + [(i % 3, f"http://k/{i // 9}", page(i)) for i in range(90, 120)] + [(5, "http://z/", page(500))] * 3
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in ("1", "4", "37", "300"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got.append(sorted(map(str, html.extract_pages(df).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert all(len(x) == len(rows) for x in got) and all(x == got[0] for x in got)
+    assert not any("Home | About" in x or "reserved" in x for x in got[0])
