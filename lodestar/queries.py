@@ -224,6 +224,11 @@ def truncate_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", compat.truncate_bytes(F.col("text"), 100).alias("short"))
 
 
+def truncate_bytes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cut of truncate_bytes over all documents, multi-byte texts too."""
+    return table(spark, sf_dir, "documents").select("doc_id", compat.truncate_bytes(F.col("text"), 100).alias("short"))
+
+
 def href_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(F.regexp_extract_all("html", F.lit('href="(/[^"]+)"'), 1), " ").alias("links"))
 
@@ -235,6 +240,8 @@ TABLE_QUERIES = {
     "language_detect": (language_detect, "SELECT doc_id, " + ", ".join(_SQL_LANG.format(_SQL_EXTS, " ".join(f"WHEN '{e}' THEN '{v}'" for e, v in m.items())) + f" AS {n}" for n, m in (("core", compat.CORE_LANGUAGES), ("extended", compat.EXTENDED_LANGUAGES))) + " FROM documents"),
     "generated_flag": (generated_flag, "SELECT doc_id, (doc_id % 4 < 2 OR doc_id % 6 = 0 OR starts_with(text, '// Code generated')) AS is_generated FROM documents"),
     "truncate_bytes": (truncate_bytes, "SELECT doc_id, CASE WHEN strlen(text) > 100 THEN substr(text, 1, 97) || '...' ELSE text END AS short FROM documents WHERE strlen(text) = length(text)"),
+    # whole characters that fit in 97 bytes; a character cut there is one U+FFFD
+    "truncate_bytes_all": (truncate_bytes_all, "SELECT doc_id, CASE WHEN strlen(text) > 100 THEN head || CASE WHEN strlen(head) < 97 THEN chr(65533) ELSE '' END || '...' ELSE text END AS short FROM (SELECT doc_id, text, substr(text, 1, list_max(list_filter(range(98), lambda k: strlen(substr(text, 1, k)) <= 97))::BIGINT) AS head FROM documents)"),
     "href_extract": (href_extract, "SELECT page_id, array_to_string(regexp_extract_all(html, 'href=\"(/[^\"]+)\"', 1), ' ') AS links FROM pages"),
 }
 

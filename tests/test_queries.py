@@ -27,3 +27,21 @@ def test_every_query_but_the_samples_has_sql():
 @pytest.mark.parametrize("name", ["extract_go", "extract_java", "line_comment_filter_python"])
 def test_samples_have_rows(name, spark):
     assert queries.queries()[name](spark, "").count() > 5
+
+
+def test_truncation_of_every_document_against_byte_slices(spark, sf):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = queries.queries()["truncate_bytes_all"](spark, sf).collect()
+    want = {i: t if len(t.encode()) <= 100 else t.encode()[:97].decode(errors="replace") + "..." for i, t in texts.items()}
+    assert len(rows) == len(texts) and {r["doc_id"]: r["short"] for r in rows} == want
+    assert any("\ufffd" in x for x in want.values())
+
+
+@pytest.mark.parametrize("pad", range(90, 102))
+def test_a_cut_character_is_repaired(pad, spark):
+    from lodestar.functions.compat import truncate_bytes
+
+    texts = [(("x" * pad + c * 9),) for c in ("é", "€", "😀", "e\u0301")] + [(None,)]
+    df = spark.createDataFrame(texts, "t string")
+    got = [r[0] for r in df.select(truncate_bytes(df["t"], 100)).collect()]
+    assert got == [t and (t if len(t.encode()) <= 100 else t.encode()[:97].decode(errors="replace") + "...") for (t,) in texts]
