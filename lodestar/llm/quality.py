@@ -71,9 +71,10 @@ def line_rules(docs: DataFrame, doc: str = "doc_id", text: str = "text", host: s
     keyed = base.withColumn("__key", F.xxhash64(F.coalesce("__text", F.lit("")), F.lit("key")))
     lines = F.filter(F.transform(F.split(F.coalesce("__text", F.lit("")), "\n"), _normal), lambda x: x != "")
     of_doc = keyed.select("__doc", "__key", "__host", F.explode(F.array_distinct(F.transform(lines, _hash))).alias("__h"))
-    hosts = keyed.groupBy("__host").agg(F.count("*").alias("__docs"))
+    distinct = F.countDistinct(F.struct("__doc", "__key"))
+    hosts = keyed.groupBy("__host").agg(distinct.alias("__docs"))
     frequent = (
-        of_doc.groupBy("__host", "__h").agg(F.count("*").alias("__n")).filter(F.col("__n") > min_docs)
+        of_doc.groupBy("__host", "__h").agg(distinct.alias("__n")).filter(F.col("__n") > min_docs)
         .join(hosts, "__host").filter(F.col("__n") > F.floor(F.col("__docs") / share)).select("__host", "__h")
     )
     n_words = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1

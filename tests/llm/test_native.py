@@ -134,3 +134,14 @@ def test_prefixes_epochs_and_hot_leaf(spark, monkeypatch):
     took = {r["doc_id"] for r in out if r["source"] == "big"}
     last = max(order(0, d) for d in took)
     assert all(order(0, r[0]) >= last or r[0] in took for r in rows if r[3] == "big")
+
+
+def test_repeated_rows_count_once_for_line_frequency(spark):
+    text = lambda i: f"first words of document {i} stand here\nand five more in {i}"
+    rows = [(i, text(i), "h") for i in range(30)] + [(100, text(100), "h"), (None, text(101), "h")] * 30
+    # 21 documents of 201 share a line; 2,500 rows of one document do not lower its share
+    rows += [(200 + i, text(i) + ("\nshared by some" if i < 21 else ""), "big") for i in range(200)] + [(400, text(400), "big")] * 2500
+    got = quality.line_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"), with_text=True).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["kept"] and r["n_frequent_words"] == (3 if r["doc_id"] is not None and 200 <= r["doc_id"] < 221 else 0)
