@@ -145,3 +145,21 @@ def test_repeated_rows_count_once_for_line_frequency(spark):
     assert len(got) == len(rows)
     for r in got:
         assert r["kept"] and r["n_frequent_words"] == (3 if r["doc_id"] is not None and 200 <= r["doc_id"] < 221 else 0)
+
+
+def test_quality_matches_sql_where_lines_are_removed(spark):
+    import duckdb
+    from conftest import same
+
+    body = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    rows = [(i, f"Subscribe to our  letter\n{body(i, 30 if i % 3 else 7)}\nPage {i}", "a" if i < 40 else "b") for i in range(60)]
+    rows += [(100 + i, f"SUBSCRIBE to our letter\n{'all rights reserved by the owner ' * (i % 4) if i < 90 else ''}\n{body(i, 12)}", "c") for i in range(2200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = quality.line_rules(df).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_frequent_words").toPandas()
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    assert same(got, con.execute(quality.SQL).fetchdf())
+    # lines go in hosts of 40 and 2,200 documents, none in the host of 20, and some documents are depleted
+    gone = {i for i, n in zip(got["doc_id"], got["n_frequent_words"]) if n}
+    assert gone == set(range(40)) | set(range(100, 2300))
+    assert (~got["kept"] & ~got["base_failed"]).any()
