@@ -1,8 +1,8 @@
-"""N-gram Jaccard join with a MinHash LSH forest.
+"""N-gram Jaccard join by MinHash banding, in place of an LSH forest.
 
-Each text has one label per tree, a run of min-hashes. The prefix on which two labels must agree starts at the
-full depth and is shortened until the forest's recall at the threshold reaches the target. Texts that share a
-prefix in a tree meet in a bucket (the node of the sorted prefix trie), and every pair there is verified on its
+Each text has one label per tree, a run of min-hashes. The prefix on which two labels must agree is the longest
+one whose recall at the threshold reaches the target; it is the same for every tree and all data. Texts that share
+that prefix in a tree meet in a bucket, and every pair there is verified on its
 exact shingle sets, in blocks, at the first bucket that holds both. Tasks return link counts and a spanning
 forest of the links, never the pairs; classes are the connected components of the forests.
 
