@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +16,6 @@ WS = " \t\n\x0b\x0c\r"
 WS_CLASS = r"[\x20\x09-\x0D]+"
 
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (spark.checkpoint.dir); a local one only where none is set, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)
@@ -24,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = jdir.get() if jdir.isDefined() else None
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="lodestar-shared-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -38,11 +39,6 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
@@ -60,12 +56,15 @@ def trimmed(text: Column) -> Column:
     return F.btrim(F.coalesce(text, F.lit("")), F.lit(WS))
 
 
-def words_of(text: Column) -> Column:
-    """Words `[^\\x20\\x09-\\x0D]+` of a text; null and blank texts have none."""
-    t = trimmed(text)
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, WS_CLASS))
-
+def pieces(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 1 << 22, most_rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices with at most about most_bytes of text in a column; a longer text is alone."""
+    import pyarrow.compute as pc
 
-def sql_regex(s: str) -> str:
-    """A regular expression as a SQL string literal's content."""
-    return s.replace("'", "''")
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < b.num_rows:
+            before = int(size[at - 1]) if at else 0
+            end = min(max(int(np.searchsorted(size, before + most_bytes, "right")), at + 1), at + most_rows)
+            yield b.slice(at, end - at)
+            at = end

@@ -1,125 +1,228 @@
-"""N-gram Jaccard join by MinHash banding, in place of an LSH forest.
+"""N-gram Jaccard join by a MinHash LSH forest.
 
-Each text has one label per tree, a run of min-hashes. The prefix on which two labels must agree is the longest
-one whose recall at the threshold reaches the target; it is the same for every tree and all data. Texts that share
-that prefix in a tree meet in a bucket, and every pair there is verified on its
-exact shingle sets, in blocks, at the first bucket that holds both. Tasks return link counts and a spanning
-forest of the links, never the pairs; classes are the connected components of the forests.
+Each text has one label per tree, a run of min-hashes; the sorted labels of a tree form a prefix trie whose nodes
+are kept as tables (prefix, texts below it). A text starts at its deepest prefixes and shortens them, tree by
+tree, until a partner at the threshold shares one of them with the target probability. It shortens adaptively:
+prefixes whose wider node is small come first, so prefixes that very many texts share stay long while others
+suffice. A node that some text chose is open to all texts below it; texts under one open node meet in a bucket,
+and every pair there is verified on its exact shingle sets, in blocks bounded by bytes, at the first bucket that
+holds both; texts whose pairs in a bucket are all settled earlier are not sent to it. Tasks return link counts and the least text of each component, never the pairs; classes are the
+connected components.
 
 Equal texts are one text with a count. Buckets with the same members are one bucket.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import written
+from lodestar.llm.common import pieces, written
 from lodestar.llm.shingles import mix, shingles, word_hashes
 
 K, THRESHOLD, RECALL = 5, 0.8, 0.9999
-TREES, DEEPEST = 24, 6
-#: Sets of up to this size get true min-hashes, larger ones one-permutation hashes; both near the border.
-BORDER = 512
-#: Texts in a block of a bucket.
-BLOCK = 2048
+TREES = 24
+#: A prefix is shortened first where at most so many texts share the shorter one.
+NODE = 64
+#: A block of a bucket: at most so many texts and about so many bytes of shingles.
+BLOCK_TEXTS, BLOCK_BYTES = 1024, 4 << 20
 #: Bytes of a shingle's hash that travel to the verification.
 BYTES = 6
-#: Up to this many texts in buckets their digests are broadcast to thin out the texts before the join.
+#: Up to this many texts in buckets their digests (16 bytes each) are broadcast to thin out the texts before the join.
 BROADCAST_TEXTS = 500_000
+#: Earlier buckets by which the members of a bucket are classed.
+HUBS = 8
+#: Patterns of owners counted at once.
+COLUMNS = 2048
 
 
-def depth(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, deepest: int = DEEPEST) -> int:
-    """The longest prefix at which a pair at the threshold meets in some tree with the target probability."""
-    for d in range(deepest, 1, -1):
-        if 1 - (1 - threshold**d) ** trees >= recall:
-            return d
-    return 1
+def gain(threshold: float, depth: int) -> float:
+    """What a tree adds to -log of the probability that a pair at the threshold is missed, at a prefix length."""
+    return -math.log1p(-(threshold**depth))
 
 
-_N = TREES * DEEPEST
-_SALT = mix(np.arange(1, _N + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-_TOP = np.uint64((1 << 64) - 1)
+def depths(threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int, int]:
+    """Prefix lengths of the forest: the middle one reaches the target in all trees together, others lie beside it."""
+    need = -math.log1p(-recall)
+    reach = [d for d in range(1, 17) if TREES * gain(threshold, d) >= need]
+    if not reach:
+        raise ValueError(f"{TREES} trees can't reach recall {recall} at similarity {threshold}")
+    low = max(1, reach[-1] - 1)
+    return low, low + 1, low + 2
 
 
-def _min_hashes(s: np.ndarray) -> np.ndarray:
-    out = np.full(_N, _TOP, np.uint64)
-    for k in range(0, len(s), 256):
-        x = s[k : k + 256, None] * _SALT[None, :]
-        out = np.minimum(out, (x ^ (x >> np.uint64(29))).min(axis=0))
-    return out
+def choose(wide5: np.ndarray, wide4: np.ndarray, threshold: float = THRESHOLD, recall: float = RECALL) -> np.ndarray:
+    """How far each text (row) shortens its prefix in each tree (column): 0, 1 or 2 values.
 
-
-def _one_permutation(s: np.ndarray) -> np.ndarray:
-    """One hash per shingle, its minimum per bin; an empty bin takes the value of a bin chosen by its own hashes."""
-    bins = (((s >> np.uint64(32)) * np.uint64(_N)) >> np.uint64(32)).astype(np.int64)
-    out = np.full(_N, _TOP, np.uint64)
-    np.minimum.at(out, bins, mix(s))
-    empty = np.flatnonzero(out == _TOP)
-    if len(empty) and len(empty) < _N:
-        full = out != _TOP
-        for i in empty.tolist():
-            x = i + 1
-            while True:
-                x = (x * 0x5851F42D4C957F2D + 0x14057B7EF767814F) & ((1 << 64) - 1)
-                j = (x >> 33) % _N
-                if full[j]:
-                    out[i] = out[j]
-                    break
-    return out
+    wide5 and wide4 say whether more than NODE texts share the prefix shortened by one and by two values. Steps
+    that stay in small nodes come first, then the others, in tree order; a text stops at the target. The order
+    does not depend on where a single partner stands, so the target holds for each of them.
+    """
+    low, mid, deep = depths(threshold, recall)
+    one, two = gain(threshold, mid) - gain(threshold, deep), gain(threshold, low) - gain(threshold, mid)
+    wide4 = wide4 | wide5
+    steps = np.concatenate((np.where(wide5, 0, one), np.where(wide4, 0, two), np.where(wide5, one, 0), np.where(wide4, two, 0)), axis=1)
+    before = np.cumsum(steps, axis=1) - steps
+    taken = ((before < -math.log1p(-recall) - TREES * gain(threshold, deep)) & (steps > 0)).reshape(len(steps), 4, -1)
+    return (taken[:, 0] | taken[:, 2]).astype(np.int8) + (taken[:, 1] | taken[:, 3])
 
 
-def _keys(mins: np.ndarray, d: int, family: int) -> np.ndarray:
-    """One key per tree: the first d values of its label."""
-    label = mins.reshape(TREES, DEEPEST)[:, :d]
-    x = np.arange(1, TREES + 1, dtype=np.uint64) + np.uint64(family * 1000)
-    for k in range(d):
-        x = mix(x * np.uint64(0x9E3779B97F4A7C15) + label[:, k])
-    return x.view(np.int64)
+def _salts(n: int) -> np.ndarray:
+    return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def prefix_keys(s: np.ndarray, d: int, threshold: float = THRESHOLD) -> np.ndarray:
-    """Bucket keys of a shingle set; sets whose partners may lie across the border have both kinds."""
-    out = []
-    if len(s) and len(s) <= BORDER / threshold:
-        out.append(_keys(_min_hashes(s), d, 0))
-    if len(s) > BORDER * threshold:
-        out.append(_keys(_one_permutation(s), d, 1))
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+def labels(s: np.ndarray, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[np.ndarray, np.ndarray]:
+    """For each tree the shortest prefix (tree number and first values, hashed) and 16 bits of each of the two next values."""
+    low, _, deep = depths(threshold, recall)
+    salts = _salts(TREES * deep)
+    mins = np.full(len(salts), np.uint64((1 << 64) - 1))
+    for k in range(0, len(s), 256):
+        np.minimum(mins, (s[k : k + 256, None] * salts[None, :]).min(axis=0), out=mins)
+    mins = mins.reshape(TREES, deep)
+    key = np.arange(1, TREES + 1, dtype=np.uint64)
+    for k in range(low):
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + mins[:, k])
+    tail = mix(mins[:, low:] + np.uint64(1)) >> np.uint64(48)
+    return key.view(np.int64), (tail[:, 0] << np.uint64(16) | tail[:, 1]).astype(np.int64)
 
 
 def shingle_set(text: str | None, k: int = K) -> np.ndarray:
     return np.unique(shingles(word_hashes((text or "").encode()), k))
 
 
-def _signed(batches: Iterator[pa.RecordBatch], k: int, d: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        keys = [prefix_keys(shingle_set(t, k), d, threshold) for t in b.column(2).to_pylist()]
-        flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
+def _signed(batches: Iterator[pa.RecordBatch], k: int, threshold: float, recall: float) -> Iterator[pa.RecordBatch]:
+    none = np.zeros(0, np.int64)
+    for b in pieces(batches, 2):
+        keys, tails, size = [], [], []
+        for text in b.column(2).to_pylist():
+            s = shingle_set(text, k)
+            key, tail = labels(s, threshold, recall) if len(s) else (none, none)
+            keys.append(key)
+            tails.append(tail)
+            size.append(len(s))
         offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in keys]))).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(offsets, flat)], ["d", "t", "keys"])
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in (keys, tails)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), *lists], ["d", "t", "size", "keys", "tails"])
 
 
-def _members(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """(bucket, block pair, whether of two blocks, block, text, copies, buckets, shingles) for each bucket and block pair of a text."""
-    names = ["bucket", "pair", "across", "block", "t", "c", "kept", "set"]
+def _shortened(batches: Iterator[pa.RecordBatch], threshold: float, recall: float) -> Iterator[pa.RecordBatch]:
+    """A row for each text and tree in which it is not alone: by how much its prefix is shortened there."""
     for b in batches:
-        rows = []
+        nodes = b.column(1)
+        tree, key, tail, n4, n5 = (nodes.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("tree", "key", "tail", "n4", "n5"))
+        row = np.repeat(np.arange(b.num_rows), np.diff(nodes.offsets.to_numpy()))
+        wide5, wide4 = np.zeros((b.num_rows, TREES), bool), np.zeros((b.num_rows, TREES), bool)
+        wide5[row, tree], wide4[row, tree] = n5 > NODE, n4 > NODE
+        cut = choose(wide5, wide4, threshold, recall)[row, tree]
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(key), pa.array(tail), pa.array(cut.astype(np.int32))], ["t", "key", "tail", "cut"])
+
+
+def forest(texts: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """(t, b) for each text and open node above it; texts: t, keys, tails. Nodes with one text are left out."""
+    in_trees = texts.select("t", F.posexplode(F.arrays_zip("keys", "tails")).alias("tree", "x")).select("t", "tree", F.col("x.keys").alias("key"), F.col("x.tails").alias("tail"))
+    mid = F.shiftright("tail", 16).alias("mid")
+    shared = in_trees.groupBy("key").agg(F.count("*").alias("n4")).filter("n4 > 1")
+    trie = written(in_trees.join(shared, "key").withColumn("mid", mid), "trie")
+    wider = trie.join(trie.groupBy("key", "mid").agg(F.count("*").alias("n5")), ["key", "mid"])
+    by_text = wider.groupBy("t").agg(F.collect_list(F.struct("tree", "key", "tail", "n4", "n5")).alias("nodes"))
+    chosen = written(by_text.mapInArrow(lambda it: _shortened(it, threshold, recall), "t binary, key long, tail long, cut int").withColumn("mid", mid), "prefixes")
+    nodes = chosen.groupBy("key", "mid").agg(F.max("cut").alias("cut_mid"))
+    tops = nodes.groupBy("key").agg(F.max("cut_mid").alias("cut_top")).filter("cut_top = 2")
+    placed = chosen.join(nodes, ["key", "mid"]).join(tops, "key", "left")
+    node = F.when(F.col("cut_top") == 2, F.xxhash64("key")).when(F.col("cut_mid") > 0, F.xxhash64("key", "mid")).otherwise(F.xxhash64("key", "mid", "tail"))
+    return placed.select("t", node.alias("b"))
+
+
+def asked(in_buckets: DataFrame) -> DataFrame:
+    """(t, kept, asked) per text: its buckets, large ones first, and those in which it has to be compared, with their blocks.
+
+    A pair is settled at the first bucket that holds both, so near copies that meet in most trees need only few of
+    their buckets. The earlier buckets that most members of a bucket share are its hubs; members are classed by
+    their hubs, and a member whose class has a hub in common with every other one is settled there already.
+    """
+    buckets = in_buckets.groupBy("b").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.sum(F.xxhash64("t").cast("decimal(38,0)")).alias("x"), F.bit_xor(F.xxhash64("t", F.lit(1))).alias("y")).filter("n > 1")
+    different = buckets.groupBy("n", "size", "x", "y").agg(F.min("b").alias("b")).select("b", (-F.col("n")).alias("o"))
+    kept = in_buckets.join(different, "b").groupBy("t", "size").agg(F.sort_array(F.collect_list(F.struct("o", "b"))).alias("kept"))
+    kept = written(kept.select("t", "size", F.col("kept.b").alias("kept")), "kept")
+    each = kept.select("t", "size", F.posexplode("kept").alias("at", "b"), F.slice("kept", 1, HUBS).alias("first")).withColumn("first", F.slice("first", F.lit(1), F.col("at")))
+    often = each.select("b", F.explode(F.slice("first", 1, HUBS // 2)).alias("e")).groupBy("b", "e").agg(F.count("*").alias("n"))
+    most = often.withColumn("k", F.row_number().over(W.partitionBy("b").orderBy(F.desc("n"), "e"))).filter(F.col("k") <= HUBS)
+    hubs = most.groupBy("b").agg(F.collect_list("e").alias("hubs"))
+    bits = F.transform("hubs", lambda h, i: F.when(F.array_contains("first", h), F.call_function("shiftleft", F.lit(1), i)).otherwise(0))
+    classed = written(each.join(hubs, "b", "left").select("t", "size", "b", F.coalesce(F.aggregate(bits, F.lit(0), lambda x, y: x + y), F.lit(0)).alias("class")), "classes")
+    classes = classed.groupBy("b", "class").agg(F.count("*").alias("n"))
+    apart = F.exists("all", lambda x: (x["class"].bitwiseAND(F.col("class")) == 0) & ((x["class"] != F.col("class")) | (x["n"] > 1)))
+    of_bucket = classes.groupBy("b").agg(F.collect_list(F.struct("class", "n")).alias("all")).select("*", F.explode("all.class").alias("class"))
+    compared = classed.join(of_bucket.filter(apart).select("b", "class"), ["b", "class"])
+    sums = compared.groupBy("b").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("size") * BYTES / BLOCK_BYTES)).alias("g")
+    listed = compared.select("t", "b").join(sums.select("b", blocks), "b").groupBy("t").agg(F.collect_list(F.struct("b", "g")).alias("asked"))
+    return kept.join(listed, "t").select("t", "kept", "asked")
+
+
+def _members(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, block pair, whether of two blocks, block, text, copies, earlier buckets, shingles) for each bucket and block pair of a text."""
+    names = ["bucket", "pair", "across", "block", "t", "c", "earlier", "set"]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+
+    def rows(b):
         for r in b.to_pylist():
             s = np.ascontiguousarray(shingle_set(r["text"], k).view(np.uint8).reshape(-1, 8)[:, :BYTES]).tobytes()
-            kept = sorted(x["b"] for x in r["kept"])
-            for x in r["kept"]:
-                g = -(-x["n"] // BLOCK)
-                own = (int.from_bytes(r["t"][:8], "little") ^ (x["b"] & 0xFFFFFFFF)) % g
-                rows += [(x["b"], min(own, j) * g + max(own, j), own != j, own, r["t"], r["c"], kept, s) for j in range(g)]
-        for at in range(0, len(rows), 512):
-            cols = list(zip(*rows[at : at + 512], strict=True))
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], names)
+            for x in r["asked"]:
+                bucket, g = x["b"], x["g"]
+                earlier = r["kept"][: r["kept"].index(bucket)]
+                own = (int.from_bytes(r["t"][:8], "little") ^ (bucket & 0xFFFFFFFF)) % g
+                for j in range(g):
+                    yield bucket, min(own, j) * g + max(own, j), own != j, own, r["t"], r["c"], earlier, s
+
+    def batch(part):
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*part, strict=True), kinds, strict=True)], names)
+
+    for b in pieces(batches, 3):
+        part, size = [], 0
+        for row in rows(b):
+            part.append(row)
+            size += len(row[-1])
+            if size >= BLOCK_BYTES or len(part) >= 1024:
+                yield batch(part)
+                part, size = [], 0
+        if part:
+            yield batch(part)
+
+
+def overlaps(owner: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """How many values each two of n owners share; an owner has a value once, and owners ascend.
+
+    Values with the same owners are one column with a weight, so that near copies cost as many columns as they
+    have differences; values of one owner cost none.
+    """
+    out = np.zeros((n, n), np.float32)
+    if not len(values):
+        return out
+    order = np.argsort(values, kind="stable")
+    v, o = values[order], owner[order]
+    first = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
+    count = np.diff(np.append(first, len(v)))
+    held = np.add.reduceat(mix(o.astype(np.uint64) + np.uint64(1)), first)
+    many = np.flatnonzero(count > 1)
+    if not len(many):
+        return out
+    _, one, weight = np.unique(mix(held[many]) + count[many].astype(np.uint64), return_index=True, return_counts=True)
+    first, count = first[many[one]], count[many[one]]
+    for k in range(0, len(first), COLUMNS):
+        size = count[k : k + COLUMNS]
+        starts = np.cumsum(size) - size
+        at = np.arange(size.sum()) + np.repeat(first[k : k + COLUMNS] - starts, size)
+        m = np.zeros((n, len(size)), np.float32)
+        m[o[at], np.repeat(np.arange(len(size)), size)] = 1
+        out += (m * weight[k : k + COLUMNS].astype(np.float32)) @ m.T
+    return out
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
@@ -130,62 +233,34 @@ def _unpacked(raw: bytes) -> np.ndarray:
 
 def _verify(table: pa.Table, threshold: float) -> pa.Table:
     """Links of each text in one block pair of a bucket, and the least text of its component there."""
-    bucket = table.column("bucket")[0].as_py()
-    order = sorted(range(table.num_rows), key=lambda i: (table.column("t")[i].as_py()))
-    block, t, c, kept, sets = (table.column(n).to_pylist() for n in ("block", "t", "c", "kept", "set"))
-    n = len(order)
-    sets = [_unpacked(sets[i]) for i in order]
+    table = table.combine_chunks().sort_by("t")
+    n = table.num_rows
+    t = table.column("t").to_pylist()
+    sets = [_unpacked(x.as_buffer()) for x in table.column("set")]
     size = np.array([len(s) for s in sets], np.int64)
-    blk, copies, t = np.array([block[i] for i in order]), np.array([c[i] for i in order], np.int64), [t[i] for i in order]
-    across = table.column("across")[0].as_py()
-    # buckets below this one: a pair that shares one of them is settled there
-    earlier = [[x for x in kept[i] if x < bucket] for i in order]
-    ids: dict[int, int] = {}
-    for e in earlier:
-        for x in e:
-            ids.setdefault(x, len(ids))
-    before = np.zeros((n, len(ids)), np.float32)
-    for i, e in enumerate(earlier):
-        before[i, [ids[x] for x in e]] = 1
-    values, inverse = np.unique(np.concatenate(sets) if n else np.zeros(0, np.uint64), return_inverse=True)
-    owner = np.repeat(np.arange(n), size)
-    by_value = np.argsort(inverse, kind="stable")
-    posted = owner[by_value]
-    first = np.concatenate(([0], np.cumsum(np.bincount(inverse, minlength=len(values)))))
-    starts = np.concatenate(([0], np.cumsum(size)))
-    parent, links = list(range(n)), np.zeros(n, np.int64)
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    num = round(threshold * 1000)
+    common = overlaps(np.repeat(np.arange(n), size), np.concatenate(sets), n)
+    del sets
+    # a pair that shares an earlier bucket is settled there
+    earlier = table.column("earlier").to_pylist()
+    settled = overlaps(np.repeat(np.arange(n), [len(e) for e in earlier]), np.array([x for e in earlier for x in e], np.int64), n)
+    num, near = round(threshold * 1000), np.zeros((n, n), bool)
+    block = table.column("block").to_numpy() if table.column("across")[0].as_py() else None
     for i in range(n):
-        own = inverse[starts[i] : starts[i + 1]]
-        lo, hi = first[own], first[own + 1]
-        length = hi - lo
-        if not len(own) or length.sum() == len(own):
-            continue
-        at = np.arange(length.sum()) + np.repeat(lo - np.concatenate(([0], np.cumsum(length)[:-1])), length)
-        inter = np.bincount(posted[at], minlength=n)
-        ok = inter * 1000 >= num * (size[i] + size - inter)
-        ok[: i + 1] = False
-        if across:
-            ok &= blk != blk[i]
-        near = np.flatnonzero(ok)
-        if len(near) and before.shape[1]:
-            near = near[before[near] @ before[i] == 0]
-        if len(near):
-            links[i] += copies[near].sum()
-            links[near] += copies[i]
-            for j in near.tolist():
-                a, b = root(i), root(j)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-    hit = [i for i in range(n) if links[i]]
-    return pa.table([pa.array([t[i] for i in hit], pa.binary()), pa.array([t[root(i)] for i in hit], pa.binary()), pa.array(links[hit], pa.int64())], ["a", "b", "links"])
+        both = common[i].astype(np.int64)
+        near[i] = (both * (1000 + num) >= num * (size[i] + size)) & (settled[i] == 0)
+        near[i, i] = False
+        if block is not None:
+            near[i] &= block != block[i]
+    links = near @ table.column("c").to_numpy().astype(np.float64)
+    least = np.arange(n)
+    while True:
+        now = np.array([min(least[i], least[near[i]].min(initial=n)) for i in range(n)])
+        now = now[now]
+        if (now == least).all():
+            break
+        least = now
+    hit = np.flatnonzero(links)
+    return pa.table([pa.array([t[i] for i in hit], pa.binary()), pa.array([t[i] for i in least[hit]], pa.binary()), pa.array(links[hit].astype(np.int64))], ["a", "b", "links"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -219,20 +294,17 @@ def classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = K
     """
     kind = docs.schema[doc].dataType.simpleString()
     rows = docs.select(F.col(f"`{doc}`").alias("d"), _digest(text).alias("t"), F.col(f"`{text}`").alias("text"))
-    d = depth(threshold, recall)
-    signed = written(rows.mapInArrow(lambda it: _signed(it, k, d, threshold), f"d {kind}, t binary, keys array<long>"), "signatures")
-    ids = signed.groupBy("t", "d").agg(F.count("*").alias("n"), F.first("keys").alias("keys"))
+    signed = written(rows.mapInArrow(lambda it: _signed(it, k, threshold, recall), f"d {kind}, t binary, size long, keys array<long>, tails array<long>"), "signatures")
+    sketch = [F.first(c).alias(c) for c in ("size", "keys", "tails")]
+    ids = signed.groupBy("t", "d").agg(F.count("*").alias("n"), *sketch)
     least = F.min(F.struct(F.col("d").isNull().alias("z"), "d", "n")).alias("least")
-    texts = written(ids.groupBy("t").agg(least, F.sum("n").alias("c"), F.first("keys").alias("keys")).select("t", F.col("least.d").alias("rep"), F.col("least.n").alias("n_rep"), "c", "keys"), "texts")
-    in_buckets = texts.select("t", F.explode("keys").alias("b"))
-    buckets = in_buckets.groupBy("b").agg(F.count("*").alias("n"), F.sum(F.xxhash64("t").cast("decimal(38,0)")).alias("x"), F.bit_xor(F.xxhash64("t", F.lit(1))).alias("y")).filter("n > 1")
-    kept = buckets.groupBy("n", "x", "y").agg(F.min("b").alias("b")).select("b", "n")
-    members = in_buckets.join(kept, "b").groupBy("t").agg(F.collect_list(F.struct("b", "n")).alias("kept"))
-    members = written(members.join(texts.select("t", "rep", "n_rep", "c"), "t").select(F.col("t").alias("t2"), "rep", "n_rep", "c", "kept"), "members")
-    asked = rows.join(F.broadcast(members.select(F.col("t2").alias("t"))), "t", "left_semi") if members.count() <= BROADCAST_TEXTS else rows
-    with_text = asked.join(members, (F.col("t") == F.col("t2")) & F.col("d").eqNullSafe(F.col("rep"))).select("t", "n_rep", "c", "kept", "text")
+    texts = written(ids.groupBy("t").agg(least, F.sum("n").alias("c"), *sketch).select("t", F.col("least.d").alias("rep"), F.col("least.n").alias("n_rep"), "c", "size", "keys", "tails"), "texts")
+    in_buckets = written(forest(texts, threshold, recall).join(texts.select("t", "size"), "t"), "buckets")
+    members = written(asked(in_buckets).join(texts.select("t", "rep", "n_rep", "c"), "t").select(F.col("t").alias("t2"), "rep", "n_rep", "c", "kept", "asked"), "members")
+    near = rows.join(F.broadcast(members.select(F.col("t2").alias("t"))), "t", "left_semi") if members.count() <= BROADCAST_TEXTS else rows
+    with_text = near.join(members, (F.col("t") == F.col("t2")) & F.col("d").eqNullSafe(F.col("rep"))).select("t", "c", "kept", "text", "asked", "n_rep")
     with_text = with_text.filter("n_rep = 1").unionByName(with_text.filter("n_rep > 1").dropDuplicates(["t"]))  # repeated rows
-    sets = with_text.mapInArrow(lambda it: _members(it, k), "bucket long, pair long, across boolean, block long, t binary, c long, kept array<long>, set binary")
+    sets = with_text.mapInArrow(lambda it: _members(it, k), "bucket long, pair long, across boolean, block long, t binary, c long, earlier array<long>, set binary")
     linked = written(sets.groupBy("bucket", "pair").applyInArrow(lambda x: _verify(x, threshold), "a binary, b binary, links long"), "links")
     links = linked.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "t")
     roots = components(linked.select("a", "b")).withColumnRenamed("a", "t")
