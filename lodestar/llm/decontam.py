@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.llm.common import pieces
 from lodestar.llm.shingles import Ranges, shingles, word_hashes
 
 K, THRESHOLD, RADIUS = 5, 0.8, 19
@@ -145,7 +146,7 @@ def indexes(benchmark: DataFrame, item: str = "item_id", text: str = "text") ->
 
 def _found(batches: Iterator[pa.RecordBatch], index, threshold: float) -> Iterator[pa.RecordBatch]:
     names = ["d", "item_id", "start_word", "similarity"]
-    for b in batches:
+    for b in pieces(batches, 1):
         row, items, at, sims = [], [], [], []
         for r, text in enumerate(b.column(1).to_pylist()):
             for i, p, sim in index.value.search(text, threshold):
@@ -173,17 +174,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", tex
     return reduce(DataFrame.unionByName, found).withColumnRenamed("d", doc)
 
 
-def _clean(batches: Iterator[pa.RecordBatch], index, text: str, threshold: float) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = b.column(b.schema.get_field_index(text)).to_pylist()
+def _clean(batches: Iterator[pa.RecordBatch], index, at: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    for b in pieces(batches, at):
+        texts = b.column(at).to_pylist()
         yield b.filter(pa.array([not index.value.search(t, threshold) for t in texts], pa.bool_()))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that hold an item; all columns stay."""
+    at = docs.columns.index(text)
     for index in indexes(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(index)
-        docs = docs.mapInArrow(lambda it, shared=shared: _clean(it, shared, text, threshold), docs.schema)
+        docs = docs.mapInArrow(lambda it, shared=shared: _clean(it, shared, at, threshold), docs.schema)
     return docs
 
 

@@ -5,22 +5,24 @@ from __future__ import annotations
 import numpy as np
 
 _P, _Q, _MASK = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, (1 << 64) - 1
+#: Powers of a base that a worker keeps (8 bytes each); texts of up to so many bytes need no more.
+HELD = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
 def _powers(base: int, n: int, name: str) -> np.ndarray:
-    """base^0 .. base^n modulo 2^64, kept in the worker and grown by doubling."""
+    """base^0 .. base^n modulo 2^64; up to HELD of them are kept in the worker, longer tables are not."""
     import sys
 
     held = sys.modules.setdefault("_lodestar_held", type(sys)("_lodestar_held"))
     p = getattr(held, name, None)
     if p is None or len(p) <= n:
-        size = 1 << max(16, int(n + 1).bit_length())
-        p = np.full(size, base, np.uint64)
+        p = np.full(1 << max(16, int(n + 1).bit_length()), base, np.uint64)
         p[0] = 1
         np.multiply.accumulate(p, out=p)
-        setattr(held, name, p)
+        if len(p) <= HELD:
+            setattr(held, name, p)
     return p
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import written
+from lodestar.llm.common import pieces, written
 from lodestar.llm.shingles import Ranges, sliding_min, word_hashes
 
 WINDOW, ANCHOR = 35, 6
@@ -46,8 +46,8 @@ def runs_of(words: np.ndarray, window: int) -> tuple[np.ndarray, ...] | None:
 
 
 def _runs(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids, ths, parts = [], [], []
+    for b in pieces(batches, 2):
+        ids, parts = [], []
         for k, text in enumerate(b.column(2).to_pylist()):
             got = runs_of(word_hashes((text or "").encode()), window)
             if got is not None:
@@ -56,8 +56,7 @@ def _runs(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordB
         if parts:
             row = pa.array(np.concatenate(ids))
             h, s, at, n, w = (np.concatenate(x) for x in zip(*parts, strict=True))
-            ths = [b.column(0).take(row), b.column(1).take(row)]
-            yield pa.RecordBatch.from_arrays([*ths, pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(w.astype(np.int32))], ["d", "th", "h", "s", "at", "n", "w"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(w.astype(np.int32))], ["d", "th", "h", "s", "at", "n", "w"])
 
 
 class SuffixAutomaton:
@@ -124,7 +123,7 @@ class SuffixAutomaton:
 
 def _contents(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Word hashes of the runs asked for in each text."""
-    for b in batches:
+    for b in pieces(batches, 0):
         hs, ss, cs, raws = [], [], [], []
         for text, asked in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             words = word_hashes((text or "").encode())
@@ -158,7 +157,7 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
 
 
 def _cut(batches: Iterator[pa.RecordBatch], window: int, with_text: bool) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in pieces(batches, 1):
         n_words, n_gone, sums, texts = [], [], [], []
         for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             words = (text or "").encode().split()

@@ -12,6 +12,7 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import new_path
+from lodestar.llm.common import new_path, pieces
 
 #: Ids in a block, ids after which a segment is closed, words kept in a worker's cache.
-BLOCK, SEGMENT, CACHE = 65_536, 1 << 20, 1_000_000
+BLOCK, SEGMENT, CACHE = 65_536, 1 << 20, 150_000
 #: The id that ends a document.
 END_ID = 2
 SCHEMA = "shard int, segment int, shard_start long, doc_ids array<long>, lengths array<long>, chunks array<struct<ids:int,offset:long,planes:array<int>>>, payload binary"
@@ -82,21 +83,42 @@ def decode_segment(chunks: list[dict], payload: bytes, bits: bool) -> np.ndarray
 
 # ---- encoding
 
+#: A pre-tokenizer pattern whose matches hold no white space, and of letters, one digit or other signs each (fixed value).
+WORDWISE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def wordwise(config: dict) -> bool:
+    """Whether a tokenizer gives a text the ids of its words in turn, and lower-cases: judged by its own parts."""
+    norm, pre, model = (config.get(k) or {} for k in ("normalizer", "pre_tokenizer", "model"))
+    norms = norm.get("normalizers", [])
+    splits = pre.get("pretokenizers", [])
+    return (
+        [n["type"] for n in norms] == ["NFC", "Replace", "Lowercase"] and norms[1]["pattern"] == {"Regex": r"\s+"} and norms[1]["content"] == " "
+        and len(splits) == 2 and splits[0]["type"] == "Split" and splits[0]["pattern"] == {"Regex": WORDWISE} and splits[0]["behavior"] == "Removed" and splits[0]["invert"]
+        and splits[1]["type"] == "ByteLevel" and not splits[1]["add_prefix_space"] and not splits[1]["use_regex"]
+        and not config.get("post_processor") and not config.get("truncation") and not config.get("padding") and not model.get("dropout")
+        and all(t["content"].startswith("<|") and not any(map(str.isspace, t["content"])) and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in config.get("added_tokens", []))
+    )
+
+
 class WordEncoder:
-    """Whole texts through a tokenizer of the tokenizers library, each distinct word once while the cache has room.
+    """Whole texts through a tokenizer of the tokenizers library.
 
-    Holds for tokenizers whose pre-tokenizer never joins what ASCII white space divides; words are divided there
-    and the library encodes them. With fold, ASCII letters are lower-cased first, for tokenizers that do the same.
+    Where the tokenizer works word by word (see wordwise), each distinct word goes to the library once while the
+    cache has room, words being divided at ASCII white space and ASCII letters lower-cased first, as the tokenizer
+    does. With any other tokenizer the library gets the whole texts.
     """
 
-    def __init__(self, path: str, fold: bool):
+    def __init__(self, path: str):
+        import json
         import os
 
         os.environ["RAYON_NUM_THREADS"], os.environ["TOKENIZERS_PARALLELISM"] = "1", "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.fold, self.cache = Tokenizer.from_file(path), fold, {}
+        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        self.by_word = wordwise(json.loads(self.tokenizer.to_str()))
         zero = self._plain(["0"])[0]
         #: A digit is a token of its own, so between words without it its id shows where they end.
         self.zero = zero[0] if len(zero) == 1 and self._plain(["a 0 b 0 c"])[0].count(zero[0]) == 2 else None
@@ -144,10 +166,12 @@ class WordEncoder:
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
+        if not self.by_word:
+            return [array("I", ids).tobytes() for ids in self._plain([t or "" for t in texts])]
         words, ends = [], []
         for t in texts:
             raw = (t or "").encode()
-            words += (raw.lower() if self.fold and b"<|" not in raw else raw).split()
+            words += (raw.lower() if b"<|" not in raw else raw).split()
             ends.append(len(words))
         found = list(map(self.cache.get, words))
         none = [i for i, v in enumerate(found) if v is None]
@@ -155,8 +179,7 @@ class WordEncoder:
             new = self._missing({words[i] for i in none})
             for i in none:
                 found[i] = new[words[i]]
-            if len(self.cache) < CACHE:
-                self.cache.update(new)
+            self.cache.update((w, ids) for w, ids in islice(new.items(), max(0, CACHE - len(self.cache))) if len(w) <= 64)
         out, at = [], 0
         for e in ends:
             out.append(b"".join(found[at:e]))
@@ -164,22 +187,21 @@ class WordEncoder:
         return out
 
 
-def _encoder(path: str, fold: bool) -> WordEncoder:
+def _encoder(path: str) -> WordEncoder:
     """One encoder per worker process."""
     import sys
 
     held = sys.modules.setdefault("_lodestar_held", type(sys)("_lodestar_held"))
-    key = f"{path}|{fold}"
-    if not hasattr(held, key):
-        setattr(held, key, WordEncoder(path, fold))
-    return getattr(held, key)
+    if not hasattr(held, path):
+        setattr(held, path, WordEncoder(path))
+    return getattr(held, path)
 
 
-def _segments(batches: Iterator[pa.RecordBatch], path: str, fold: bool, end: int, bits: bool) -> Iterator[pa.RecordBatch]:
+def _segments(batches: Iterator[pa.RecordBatch], path: str, end: int, bits: bool) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     shard, segment, start = TaskContext.get().partitionId(), 0, 0
-    encode, stop = _encoder(path, fold), int(end).to_bytes(4, "little")
+    encode, stop = _encoder(path), int(end).to_bytes(4, "little")
     docs, parts, size = [], [], 0
     schema = pa.schema([
         ("shard", pa.int32()), ("segment", pa.int32()), ("shard_start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())),
@@ -191,22 +213,19 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, fold: bool, end: int
         row = {"shard": shard, "segment": segment, "shard_start": start, "doc_ids": docs, "lengths": [len(p) // 4 for p in parts], "chunks": chunks, "payload": payload}
         return pa.RecordBatch.from_pylist([row], schema=schema)
 
-    for b in batches:
-        for k in range(0, b.num_rows, 128):
-            part = b.slice(k, 128)
-            ids = part.column(0).to_pylist()
-            for i, raw in zip(ids, encode(part.column(1).to_pylist()), strict=True):
-                docs.append(i)
-                parts.append(raw + stop)
-                size += len(parts[-1]) // 4
-                if size >= SEGMENT:
-                    yield close()
-                    segment, start, docs, parts, size = segment + 1, start + size, [], [], 0
+    for b in pieces(batches, 1, 1 << 20):
+        for i, raw in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist()), strict=True):
+            docs.append(i)
+            parts.append(raw + stop)
+            size += len(parts[-1]) // 4
+            if size >= SEGMENT:
+                yield close()
+                segment, start, docs, parts, size = segment + 1, start + size, [], [], 0
     if docs:
         yield close()
 
 
-def write_tokens(docs: DataFrame, out: str, tokenizer: str, doc: str = "doc_id", text: str = "text", end: int = END_ID, fold: bool = True, bits: bool = False) -> None:
+def write_tokens(docs: DataFrame, out: str, tokenizer: str, doc: str = "doc_id", text: str = "text", end: int = END_ID, bits: bool = False) -> None:
     """Writes docs to the folder `out` in ascending id order; null ids come first, null texts are empty.
 
     Rows that share an id stay side by side in the order of a hash of their text, each with its own entry. A text
@@ -215,13 +234,13 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, doc: str = "doc_id",
     rows = docs.select(F.col(f"`{doc}`").cast("long").alias("d"), F.col(f"`{text}`").alias("t"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(n, "d").sortWithinPartitions("d", F.xxhash64("t"))
-    ordered.mapInArrow(lambda it: _segments(it, tokenizer, fold, end, bits), SCHEMA).write.option("compression", "none").parquet(out)
+    ordered.mapInArrow(lambda it: _segments(it, tokenizer, end, bits), SCHEMA).write.option("compression", "none").parquet(out)
 
 
 # ---- reading back
 
 def _read(batches: Iterator[pa.RecordBatch], bits: bool) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in pieces(batches, 6, most_rows=1):
         for row in b.to_pylist():
             raw = decode_segment(row["chunks"], row["payload"], bits).tobytes()
             ids, starts, lengths, sums, at = [], [], [], [], 0

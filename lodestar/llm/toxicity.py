@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.llm.common import pieces
+
 #: The model is fitted on at most this many labelled documents, those with the smallest id hashes.
 MAX_LABELLED = 20_000
 #: Word beginnings of these lengths are tried as features, besides whole words (marked by a $).
@@ -96,7 +98,7 @@ class Grammar:
 
 def _counts(batches: Iterator[pa.RecordBatch], only: frozenset[str] | None) -> Iterator[pa.RecordBatch]:
     seen: Counter[str] = Counter()
-    for b in batches:
+    for b in pieces(batches, 0):
         for text in b.column(0).to_pylist():
             f = features(text or "")
             seen.update(f if only is None else f & only)
@@ -148,7 +150,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text:
 
 def _scored(batches: Iterator[pa.RecordBatch], weights: dict[str, float]) -> Iterator[pa.RecordBatch]:
     g = Grammar(weights)
-    for b in batches:
+    for b in pieces(batches, 1):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g.score(x) for x in b.column(1).to_pylist()], pa.float64())], ["__id", "score"])
 
 
@@ -159,16 +161,16 @@ def score_documents(docs: DataFrame, weights: dict[str, float], doc: str = "doc_
     return rows.mapInArrow(lambda it: _scored(it, weights), f"__id {kind}, score double").withColumnRenamed("__id", doc)
 
 
-def _kept(batches: Iterator[pa.RecordBatch], weights: dict[str, float], text: str) -> Iterator[pa.RecordBatch]:
+def _kept(batches: Iterator[pa.RecordBatch], weights: dict[str, float], at: int) -> Iterator[pa.RecordBatch]:
     g = Grammar(weights)
-    for b in batches:
-        at = b.schema.get_field_index(text)
+    for b in pieces(batches, at):
         yield b.filter(pa.array([g.score(x) < 0.5 for x in b.column(at).to_pylist()], pa.bool_()))
 
 
 def drop_toxic(docs: DataFrame, weights: dict[str, float], text: str = "text") -> DataFrame:
     """docs without the rows that score one half or more; all columns stay."""
-    return docs.mapInArrow(lambda it: _kept(it, weights, text), docs.schema)
+    at = docs.columns.index(text)
+    return docs.mapInArrow(lambda it: _kept(it, weights, at), docs.schema)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ def library():
 
 def test_words_give_the_library_s_ids(library, spark, sf):
     texts = HARD + [r[0] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
-    got = tokens.WordEncoder(tokens.tokenizer_path(), True)(texts)
+    got = tokens.WordEncoder(tokens.tokenizer_path())(texts)
     for t, raw in zip(texts, got):
         assert np.frombuffer(raw, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
 
@@ -51,6 +51,27 @@ def test_files(spark, library, bits):
         at += n
 
 
+def test_other_tokenizers_get_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = tokens.tokenizer_path("byte_bpe_50k.json")
+    own, texts = Tokenizer.from_file(path), [*HARD, "Hello World, it is  2024", None]
+    encoder = tokens.WordEncoder(path)
+    assert not encoder.by_word and tokens.WordEncoder(tokens.tokenizer_path()).by_word
+    for t, raw in zip(texts, encoder(texts)):
+        assert np.frombuffer(raw, "<u4").tolist() == own.encode(t or "", add_special_tokens=False).ids
+
+
+def test_query_on_the_table(spark, sf, library):
+    docs = sorted(((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()))
+    got, at = {r["doc_id"]: r for r in tokens.op5_token_ids(spark, sf).collect()}, 0
+    assert len(got) == len(docs)
+    for d, t in docs:
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
+        assert tuple(got[d])[1:] == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
 def test_empty_table(spark):
     out = new_path(spark, "t")
     tokens.write_tokens(spark.createDataFrame([], "doc_id long, text string"), out, tokens.tokenizer_path())
