@@ -1,9 +1,10 @@
 """HTML extraction by nearest-URL page differencing.
 
 Pages are sorted by host and path, so that the nearest URL of a page stands beside it; a hot host spreads over
-many range partitions. Each page is cut into text lines (one per block) with the region they stand in. The
+many range partitions. Each page is cut into text lines (one per block) with the region they stand in. All
 lines of a page and of its nearest neighbour on the host are aligned by longest common subsequence, and shared
-lines are deleted, inside a marked article too; only an article that is itself a copy of the neighbour's is spared.
+lines are deleted; lines of a marked article where the pages on both sides share them, unless it is a copy of theirs.
+Menus, adverts and the like that differ from page to page are told by the elements they stand in.
 """
 
 from __future__ import annotations
@@ -12,10 +13,13 @@ import html as _html
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.llm.common import pieces
+
 # Fixed lists of element names and of words in class, id and role attributes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe xmp noframes".split())
@@ -26,45 +30,58 @@ NOISE = frozenset(
     "breadcrumb breadcrumbs footer comment comments reply replies respond disqus discussion share sharing social related newsletter subscribe subscription popup modal overlay widget widgets masthead toolbar pagination "
     "contentinfo complementary search login signup".split()
 )
+PLACES = frozenset("box list wrapper wrap container section area block left right top bottom inner outer main primary secondary site page global bar unit slot form link links row col column panel group body content header text".split())
 PAGE_TOP = frozenset(("header", "topbar"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An opening tag closes an open element of the same group.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "option": ("option",)}
 LIST_ROOTS = frozenset("ul ol dl table select menu".split())
+#: Bits of the alignment's table that are kept at once.
+LCS_BITS = 1 << 27
 #: An article is a copy of the neighbour's when so many hundredths of its characters stand in shared lines.
 COPY_PERCENT = 50
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z", re.S)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_COMMENT = re.compile(r"comment|reply|replies", re.I)
 _PART = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def _names(attributes: str) -> set[str]:
-    out: set[str] = set()
+def _is_noise(attributes: str) -> bool:
+    """Whether a class, id or role name says so as a whole: a word of NOISE, alone or with words that only place it."""
     for m in _NAMES.finditer(attributes):
-        out.update(_PART.split(_CAMEL.sub(" ", m[1] or m[2] or m[3] or "").lower()))
-    return out
+        for name in (m[1] or m[2] or m[3] or "").split():
+            parts = set(_PART.split(_CAMEL.sub(" ", name).lower())) - {""}
+            if parts & NOISE and all(p in NOISE or p in PLACES or p.isdigit() for p in parts):
+                return True
+    return False
+
+
+def _is_top(attributes: str) -> bool:
+    return any(n.lower() in PAGE_TOP for m in _NAMES.finditer(attributes) for n in (m[1] or m[2] or m[3] or "").split())
 
 
 def lines_of(page: str | None) -> list[tuple[str, int]]:
-    """(line, region) per block with text: region 2 in an article, 1 in main, 0 elsewhere. Skipped regions are gone.
+    """(line, region) per block with text: region 2 in an article, 1 in main, 0 elsewhere, -1 in menus, forms and the like.
 
-    Null and empty pages have no lines; an unclosed tag or comment at the end is dropped.
+    Character references are decoded in each piece of text by itself, never across a tag. Null and empty pages have
+    no lines; an unclosed tag or comment at the end is dropped, and so are scripts, styles and other raw elements.
     """
     out: list[tuple[str, int]] = []
     if not page:
         return out
     stack: list[tuple[str, bool, int, bool]] = []  # tag, skipped, region, inside an article's own header
     text: list[str] = []
+    noise_text: list[str] = []
     skipped, region, top = False, 0, False
 
     def flush() -> None:
-        if text:
-            line = " ".join(_html.unescape("".join(text)).split())
-            text.clear()
+        for pieces, of in ((text, region), (noise_text, -1)):
+            line = " ".join("".join(pieces).split())
+            pieces.clear()
             if line:
-                out.append((line, region))
+                out.append((line, of))
 
     def now() -> tuple[bool, int, bool]:
         return (stack[-1][1], stack[-1][2], stack[-1][3]) if stack else (False, 0, False)
@@ -73,8 +90,9 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
     while at < size:
         m = _TAG.search(page, at)
         end = m.start() if m else size
-        if end > at and not skipped and not (top and not any(s[0] in HEADINGS for s in stack[-2:])):
-            text.append(page[at:end])
+        if end > at:
+            aside = skipped or top and not any(s[0] in HEADINGS for s in stack[-2:])
+            (noise_text if aside else text).append(_html.unescape(page[at:end]))
         if not m:
             break
         at = m.end()
@@ -83,12 +101,14 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
             continue
         closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
         block = tag in BLOCKS
+        if tag == "br":
+            (noise_text if skipped else text).append(" ")
+            continue
         if closing:
-            if tag == "br":
-                text.append(" ")
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    flush()
+                    if block:
+                        flush()
                     del stack[k:]
                     break
             else:
@@ -100,10 +120,6 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
             stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
             at = stop.end() if stop else size
             continue
-        if tag == "br":
-            if not skipped:
-                text.append(" ")
-            continue
         if block:
             flush()
             for k in range(len(stack) - 1, -1, -1):
@@ -112,14 +128,14 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
                 if stack[k][0] == "p" or stack[k][0] in CLOSES.get(tag, ()):
                     del stack[k:]
                     break
-                if stack[k][0] not in HEADINGS and not stack[k][0].startswith("~") and stack[k][0] not in CLOSES.get(tag, ()) and tag not in CLOSES:
+                if stack[k][0] not in HEADINGS and stack[k][0] not in CLOSES.get(tag, ()) and tag not in CLOSES:
                     break
             skipped, region, top = now()
         if tag in VOID or attributes.endswith("/"):
             continue
-        names = _names(attributes) if "=" in attributes else set()
-        noise = tag in SKIPPED or bool(names & NOISE) and tag not in ("html", "body", "main") and not (tag == "article" and region == 0 and not names & {"comment", "comments", "reply"})
-        if (tag == "header" or names & PAGE_TOP and tag not in ("html", "body", "article", "main")) and region < 2:
+        named = "=" in attributes
+        noise = tag in SKIPPED or named and tag not in ("html", "body", "main") and not (tag == "article" and region == 0 and not _COMMENT.search(attributes)) and _is_noise(attributes)
+        if (tag == "header" or named and tag not in ("html", "body", "article", "main") and _is_top(attributes)) and region < 2:
             noise = True
         if block or noise:
             inner = 2 if tag == "article" else max(region, 1) if tag == "main" else region
@@ -129,12 +145,35 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
     return out
 
 
-def common(a: list[str], b: list[str]) -> list[bool]:
-    """Which lines of a stand in a longest common subsequence with b (bit-parallel, one big integer per line)."""
+def _marks(b: list[str]) -> dict[str, int]:
+    """The places of each line of b as bits."""
     marks: dict[str, int] = {}
     for j, x in enumerate(b):
         marks[x] = marks.get(x, 0) | 1 << j
-    full = (1 << len(b)) - 1
+    return marks
+
+
+def _lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """LCS lengths of a with b[:0] .. b[:len(b)]."""
+    marks, full = _marks(b), (1 << len(b)) - 1
+    v = full
+    for x in a:
+        u = v & marks.get(x, 0)
+        v = ((v + u) | (v - u)) & full
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(-(-len(b) // 8), "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate(([0], np.cumsum(1 - bits.astype(np.int64))))
+
+
+def common(a: list[str], b: list[str]) -> list[bool]:
+    """Which lines of a stand in a longest common subsequence with b (bit-parallel, one big integer per line).
+
+    Long pages are halved where the alignment passes (Hirschberg), so memory stays within LCS_BITS bits.
+    """
+    if len(a) * len(b) > LCS_BITS and len(a) > 1:
+        mid = len(a) // 2
+        j = int((_lengths(a[:mid], b) + _lengths(a[mid:][::-1], b[::-1])[::-1]).argmax())
+        return common(a[:mid], b[:j]) + common(a[mid:], b[j:])
+    marks, full = _marks(b), (1 << len(b)) - 1
     v, rows = full, []
     for x in a:
         rows.append(v)
@@ -156,38 +195,50 @@ def common(a: list[str], b: list[str]) -> list[bool]:
     return out
 
 
-def main_text(lines: list[tuple[str, int]], neighbour: list[tuple[str, int]] | None) -> str:
-    """Lines of the article, else of main, else all lines; what the neighbour shares is gone.
+def decided(lines: list[tuple[str, int]], near: list[tuple[str, int]] | None, other: list[tuple[str, int]] | None = None) -> list[str]:
+    """What becomes of each line: "shared" (a neighbour has it), "structure" (a menu, form or the like, or outside the article) or "kept".
 
-    An article that shares COPY_PERCENT of its characters or more is a copy and stays whole. An article with less
-    text than the unshared lines of main (else of the rest) outside it is a teaser, and those lines stay too.
+    near and other are the pages beside this one in URL order, the nearest first. All lines are aligned, menus and
+    the like too, and those shared with the nearest page go. A line of the article goes only where both pages share
+    it, which a notice of the site is and a passage quoted from another article is not; and an article that shares
+    COPY_PERCENT of its characters with the nearest page is a copy and stays whole. Where a page has an article,
+    else main, the lines outside it go; an article with less text than the unshared lines of main (else of the
+    rest) outside it is a teaser, and those lines stay too.
     """
     best = max((r for _, r in lines), default=0)
-    shared = common([x for x, _ in lines], [x for x, _ in neighbour]) if neighbour else [False] * len(lines)
+    own = [x for x, _ in lines]
+    none = [False] * len(lines)
+    shared = common(own, [x for x, _ in near]) if near else none
     if best == 2:
         size = lambda region, gone: sum(len(x) for (x, r), g in zip(lines, shared, strict=True) if r == region and g == gone)
-        if 100 * size(2, True) >= COPY_PERCENT * (size(2, True) + size(2, False)):
-            shared = [g and r < 2 for (_, r), g in zip(lines, shared, strict=True)]
+        copied = 100 * size(2, True) >= COPY_PERCENT * (size(2, True) + size(2, False))
+        both = common(own, [x for x, _ in other]) if other and not copied and size(2, True) else none
+        shared = [g and (r < 2 or b) for (_, r), g, b in zip(lines, shared, both, strict=True)]
         rest = 1 if size(1, False) else 0
         if size(rest, False) > size(2, False):
             best = rest
-    return "\n".join(x for (x, r), gone in zip(lines, shared, strict=True) if not gone and r >= best)
+    best = max(best, 0)
+    return ["shared" if g else "kept" if r >= best else "structure" for (_, r), g in zip(lines, shared, strict=True)]
 
 
-def _nearness(a: str, b: str) -> int:
-    n = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        n += 1
-    return n
+def main_text(lines: list[tuple[str, int]], near: list[tuple[str, int]] | None = None, other: list[tuple[str, int]] | None = None) -> str:
+    return "\n".join(x for (x, _), what in zip(lines, decided(lines, near, other), strict=True) if what == "kept")
+
+
+def _nearness(a: str, b: str) -> tuple[int, int]:
+    """Path segments that two paths begin with alike, then characters."""
+
+    def alike(x, y):
+        return next((n for n, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+
+    return alike(a.split("/"), b.split("/")), alike(a, b)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted pages; each is finished when the next one of its part is there. Guests are neighbours only."""
 
     def rows():
-        for b in batches:
+        for b in pieces(batches, 4):
             for k in range(b.num_rows):
                 i, u, h, p, x, part, guest = (b.column(c)[k].as_py() for c in range(7))
                 yield i, u, h, p, lines_of(x), part, guest
@@ -195,8 +246,8 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def done(before, row, after):
         i, u, h, p, lines, part, _ = row
         near = [r for r in (before, after) if r is not None and r[2] == h and r[5] == part]
-        pair = max(near, key=lambda r: _nearness(r[3], p)) if near else None
-        return i, u, main_text(lines, pair[4] if pair else None)
+        near.sort(key=lambda r: _nearness(r[3], p), reverse=True)
+        return i, u, main_text(lines, *[r[4] for r in near])
 
     def batch(part):
         ids, urls, texts = zip(*part, strict=True)

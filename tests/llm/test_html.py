@@ -25,6 +25,16 @@ def test_alignment_is_a_longest_common_subsequence():
         assert len(kept) == table_lcs(a, b) and all(x in it for x in kept)
 
 
+def test_long_alignments_are_halved(monkeypatch):
+    r = random.Random(6)
+    monkeypatch.setattr(html, "LCS_BITS", 12)
+    for _ in range(300):
+        a, b = ([r.choice("abc") for _ in range(r.randint(0, 14))] for _ in range(2))
+        kept = [x for x, k in zip(a, html.common(a, b)) if k]
+        it = iter(b)
+        assert len(kept) == table_lcs(a, b) and all(x in it for x in kept)
+
+
 class Plain(HTMLParser):
     """Text of the article by the standard parser."""
 
@@ -95,10 +105,31 @@ def test_empty_table_and_long_page(spark):
 def test_differencing_decides_inside_articles():
     page = lambda *x: html.lines_of("<body><p>Home</p><article>" + "".join(f"<p>{y}</p>" for y in x) + "</article></body>")
     notice, text = "Read our magazine every week", "A story of its own that is told here at some length"
-    assert html.main_text(page(text, notice), page("Quite another story", notice)) == text
+    assert html.main_text(page(text, notice), page("Quite another story", notice), page("A third", notice)) == text
+    # a passage that one neighbour shares is not the site's
+    assert html.main_text(page(text, notice), page("Quite another story", notice), page("A third")) == f"{text}\n{notice}"
     # copies of one article stay whole, near copies too
-    assert html.main_text(page(text, notice), page(text, notice)) == f"{text}\n{notice}"
-    assert html.main_text(page(text, "One more line"), page(text, notice)) == f"{text}\nOne more line"
+    assert html.main_text(page(text, notice), page(text, notice), page(text, notice)) == f"{text}\n{notice}"
+    assert html.main_text(page(text, "One more line"), page(text, notice), page(text)) == f"{text}\nOne more line"
+
+
+def test_references_are_decoded_piece_by_piece():
+    text = lambda x: html.main_text(html.lines_of(f"<article>{x}</article>"), None)
+    assert text("AT&am<b>p;</b>T") == "AT&amp;T" and text("&lt<i>;</i>") == "<;" and text("&lt;b&gt; &#x41;&amp;amp;") == "<b> A&amp;"
+
+
+def test_names_that_only_contain_a_noise_word_stay():
+    inside = '<h1>T</h1><div class="share-price"><p>real content</p></div><div class="search-results">found</div><ul class="menu-items"><li>soup</ul><p class="adventure">tale</p>'
+    assert html.main_text(html.lines_of(f"<article>{inside}</article>"), None) == "T\nreal content\nfound\nsoup\ntale"
+    noise = '<div class="cookie-notice">a</div><div id="commentList">b</div><div class="x sidebar-left">c</div><span class="ad">d</span><div role="navigation">e</div>'
+    assert html.main_text(html.lines_of(f"<article><p>T {noise}</article>"), None) == "T"
+    assert html.main_text(html.lines_of('<article><p>one <span class="ad">buy</span>two</p></article>'), None) == "one two"
+
+
+def test_menus_take_part_in_the_alignment():
+    page = lambda x: html.lines_of(f"<nav><ul><li>Home<li>{x}</ul></nav><article><p>{x} story</p></article><footer>All rights</footer>")
+    assert html.decided(page("a"), page("b")) == ["shared", "structure", "kept", "shared"]
+    assert html.decided(page("a"), None) == ["structure", "structure", "kept", "structure"]
 
 
 def test_a_teaser_article_does_not_hide_the_main_text():
