@@ -1,8 +1,12 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Three transducers are composed on the fly: the lexical one turns words into classes (insult with a learned
-weight, threat, target, negation, report), the scope one marks what stands under a negation or inside
-reported speech, and the scoring one adds up clause weights. Words of no class only let scopes run out.
+A lexical transducer, a letter trie, turns each word into a class: insult with a learned weight, threat, you and
+them (targets), intent, negation, report or quote. Four small transducers are composed with it: negation marks what
+stands in its scope, reported speech marks what follows a report or stands in quotes, target marks insults that
+are addressed, threat joins a threat with its target and intent. The scoring transducer weighs the marked insults
+of a clause, and the threat's final states weigh the clause itself. compose() multiplies them into one
+deterministic machine, so a clause is one walk; it is scored as a whole, not by isolated words.
+
 Insult words and word beginnings are learned from labelled documents; the other classes are closed word lists.
 """
 
@@ -12,6 +16,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,84 +28,192 @@ from lodestar.llm.common import pieces
 MAX_LABELLED = 20_000
 #: Word beginnings of these lengths are tried as features, besides whole words (marked by a $).
 PREFIX = range(3, 9)
-MIN_SUPPORT, MIN_SHARE, MIN_PRECISION, MAX_FEATURES = 3, 0.02, 0.97, 5_000
+#: A feature's share of toxic texts, and the lower bound of that share at Z standard errors, taken over contexts.
+MIN_PRECISION, MIN_BOUND, Z = 0.7, 0.4, 3.3
+#: Toxic texts that must hold a feature before it is looked at, and how many features are looked at and kept.
+MIN_SUPPORT, MAX_FEATURES = 3, 5_000
 #: Log odds that make one plain insult worth a score of one half.
 UNIT = 4.5
 
 # Fixed word lists of the grammar.
-THREAT = "kill hurt destroy crush beat attack shoot burn punish tuer frapper töten schlagen matar golpear".split()
-TARGET = "you your yours u he she they them him her these those people all vous tu toi ton ils elles du dich dir ihr euch sie tú tu usted ustedes ellos ellas".split()
-NEGATION = "not no never isn't aren't wasn't nobody neither nor without pas jamais aucun ni nicht kein keine nie niemals nunca ningún tampoco sin".split()
-REPORT = "said says say called calls wrote writes quoted quote reported claimed according dit disait écrit selon sagte sagt schrieb laut dijo dice escribió según".split()
-
-#: Scope lengths in words, and what a scope leaves of an insult's weight.
-NEGATED_FOR, NEGATED, REPORTED, TARGETED, THREAT_WEIGHT = 3, 0.5, 0.6, 1.25, 0.5
+THREAT = (
+    "kill killed kills killing murder murdered murdering hurt hurts destroy destroyed crush crushed beat beaten attack attacked shoot shot shooting stab stabbed burn burned burnt burning punish punished strangle strangled hang hanged lynch lynched bomb bombed slaughter slaughtered exterminate exterminated "
+    "tuer tue tuerai frapper frapperai brûler brûlé étrangler égorger töten töte umbringen schlagen erschießen erschossen verbrennen verbrannt erstechen matar mataré matarte golpear golpearé quemar quemado disparar"
+).split()
+YOU = "you your yours yourself u ya vous vos votre tu toi te ton ta tes du dich dir dein deine ihr euch euer tú ti usted ustedes vosotros".split()
+THEM = "he she they him her them his their these those people all everyone everybody il elle ils elles lui eux leur leurs er ihn ihm sie ihnen diese jene alle él ella ellos ellas les esos esas todos".split()
+INTENT = "will would shall should must gonna going want wants hope deserve deserves ought let need needs i'll we'll they'll vais allons devrait devraient dois doit faut mérite méritent werde werden soll sollen sollte sollten muss müssen verdient voy vamos debe deben debería deberían merece merecen quiero".split()
+NEGATION = "not no never isn't aren't wasn't weren't don't doesn't didn't won't wouldn't can't couldn't nobody neither nor without cannot pas jamais aucun aucune ni sans nicht kein keine keinen keiner nie niemals nunca ningún ninguna tampoco sin".split()
+REPORT = "said says say saying called calls call calling wrote writes quoted quote quotes reported reports claimed claims according accused dit disait disent écrit écrivait appelé selon sagte sagt sagen schrieb schreibt nannte laut dijo dice dicen escribió escribe llamó según".split()
+
+CLASSES = ("other", "insult", "threat", "you", "them", "intent", "negation", "report", "quote")
+#: Words a negation reaches, and what is left of an insult's weight when marked so.
+NEGATED_FOR = 3
+FACTORS = {"negated": 0.5, "reported": 0.6, "targeted": 1.25}
+#: What a threat to the reader or an intended threat to others adds to a clause, and one that is only told.
+THREATENED, TOLD = 1.1, 0.3
+
+_TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"“”«»„]|[.!?;:\n]+|,\s")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-_CLAUSE = re.compile(r"[.!?;:\n]+|,\s")
-_QUOTES = re.compile(r"[\"“”«»„]")
+_QUOTES = frozenset("\"“”«»„")
 
 
-def features(text: str) -> set[str]:
-    out: set[str] = set()
-    for w in set(_WORD.findall(text.lower())):
-        out.add(w + "$")
-        for k in PREFIX:
-            if len(w) >= k:
-                out.add(w[:k])
-    return out
+@dataclass
+class Transducer:
+    """Deterministic, over marked classes: arcs[state][class] = (next state, marks put on the symbol); other classes loop.
 
+    A symbol is a class with a set of marks; a transducer reads the class, unless blocked by a mark, and adds marks.
+    """
+
+    arcs: dict[int, dict[str, tuple[int, frozenset[str]]]]
+    final: dict[int, float] = field(default_factory=dict)
+    blocked: frozenset[str] = frozenset()
+
+    def step(self, state: int, symbol: str, marks: frozenset[str]) -> tuple[int, frozenset[str]]:
+        if marks & self.blocked:
+            symbol = "other"
+        to, put = self.arcs[state].get(symbol, (state, frozenset()))
+        return to, marks | put
+
+
+def negation() -> Transducer:
+    """State n: n more words stand under the negation."""
+    put = frozenset(["negated"])
+    arcs: dict[int, dict] = {n: {c: (max(0, n - 1), put if n else frozenset()) for c in CLASSES if c not in ("negation", "quote")} for n in range(NEGATED_FOR + 1)}
+    for a in arcs.values():
+        a["negation"] = (NEGATED_FOR, frozenset())
+    return Transducer(arcs)
+
+
+def reported_speech() -> Transducer:
+    """States: 0 plain, 1 after a report, 2 in quotes, 3 both."""
+    put, none = frozenset(["reported"]), frozenset()
+    arcs = {n: {c: (n, put if n else none) for c in ("insult", "threat")} | {"report": (n | 1, none), "quote": (n ^ 2, none)} for n in range(4)}
+    return Transducer(arcs)
+
+
+def target() -> Transducer:
+    """State 1: somebody is addressed or spoken of."""
+    to = {c: (1, frozenset()) for c in ("you", "them")}
+    return Transducer({0: to, 1: to | {"insult": (1, frozenset(["targeted"]))}})
+
+
+def threat() -> Transducer:
+    """States: a set of bits, 1 threat, 2 you, 4 them, 8 intent. Negated and reported threats don't count."""
+    bits = {"threat": 1, "you": 2, "them": 4, "intent": 8}
+    final = {n: THREATENED if n & 3 == 3 or n & 13 == 13 else TOLD for n in range(16) if n & 3 == 3 or n & 5 == 5}
+    return Transducer({n: {c: (n | b, frozenset()) for c, b in bits.items()} for n in range(16)}, final, frozenset(["negated", "reported"]))
+
+
+CASCADE = (negation, reported_speech, target, threat)
+
+
+def factor(marks: frozenset[str]) -> float:
+    """The scoring transducer: what an insult counts by its marks."""
+    return math.prod(FACTORS[m] for m in sorted(marks))
 
-class Grammar:
-    """The composed transducers; weights: feature -> weight of an insult."""
+
+def compose(parts: list[Transducer]) -> tuple[list[list[tuple[int, float]]], list[float]]:
+    """(table, finals): table[state][class] = (next state, factor of an insult's weight), by the reachable product states."""
+    ids, todo, table = {(0,) * len(parts): 0}, [(0,) * len(parts)], []
+    finals = []
+    for states in todo:
+        row = []
+        for c in CLASSES:
+            marks, to = frozenset(), []
+            for part, state in zip(parts, states, strict=True):
+                state, marks = part.step(state, c, marks)
+                to.append(state)
+            if tuple(to) not in ids:
+                ids[tuple(to)] = len(ids)
+                todo.append(tuple(to))
+            row.append((ids[tuple(to)], factor(marks) if c == "insult" else 0.0))
+        table.append(row)
+        finals.append(sum(part.final.get(state, 0.0) for part, state in zip(parts, states, strict=True)))
+    return table, finals
+
+
+class Lexicon:
+    """Letters to a class and a weight: a trie whose nodes carry the weight of a beginning and the class of a word."""
 
     def __init__(self, weights: dict[str, float]):
-        self.weights = weights
-        self.plain = sorted({f.rstrip("$") for f in weights} | set(THREAT))
-        self.kinds = {w: "threat" for w in THREAT} | {w: "target" for w in TARGET} | {w: "negation" for w in NEGATION} | {w: "report" for w in REPORT}
-        self.lengths = sorted({len(f) for f in weights if not f.endswith("$")}, reverse=True)
-
-    def lexical(self, word: str) -> tuple[str, float]:
-        w = self.weights.get(word + "$", 0.0)
-        for k in self.lengths:
-            if len(word) >= k:
-                w = max(w, self.weights.get(word[:k], 0.0))
-        return ("insult", w) if w else (self.kinds.get(word, "other"), 0.0)
-
-    def clause(self, text: str) -> float:
-        """Runs scope and scoring transducers over one clause. State: (words left under negation, reported, target seen)."""
-        negated, reported, target, total, threat = 0, False, False, 0.0, False
-        for word in _WORD.findall(text):
-            kind, w = self.lexical(word)
-            if kind == "negation":
-                negated = NEGATED_FOR + 1
-            elif kind == "report":
-                reported = True
-            elif kind == "target":
-                target = True
-                if threat:
-                    total += THREAT_WEIGHT
-                    threat = False
-            elif kind == "threat":
-                threat = not negated
-            elif kind == "insult":
-                total += w * (NEGATED if negated else 1) * (REPORTED if reported else 1) * (TARGETED if target else 1)
-            negated = max(0, negated - 1)
-        return total * (REPORTED if len(_QUOTES.findall(text)) > 1 and not reported else 1)
+        self.next, self.begin, self.word = [{}], [0.0], [(0, 0.0)]
+        for kind, words in (("report", REPORT), ("negation", NEGATION), ("intent", INTENT), ("them", THEM), ("you", YOU), ("threat", THREAT)):
+            for w in words:
+                self.word[self._node(w)] = (CLASSES.index(kind), 0.0)
+        for f, w in weights.items():
+            node = self._node(f.rstrip("$"))
+            if f.endswith("$"):
+                self.word[node] = (1, w)
+            else:
+                self.begin[node] = w
+
+    def _node(self, letters: str) -> int:
+        at = 0
+        for x in letters:
+            if x not in self.next[at]:
+                self.next[at][x] = len(self.next)
+                self.next.append({})
+                self.begin.append(0.0)
+                self.word.append((0, 0.0))
+            at = self.next[at][x]
+        return at
+
+    def __call__(self, word: str) -> tuple[int, float]:
+        at, best = 0, 0.0
+        for x in word:
+            at = self.next[at].get(x, -1)
+            if at < 0:
+                return (1, best) if best else (0, 0.0)
+            best = max(best, self.begin[at])
+        kind, w = self.word[at]
+        return (1, max(w, best)) if best or kind == 1 else (kind, 0.0)
+
+
+class Grammar:
+    """The composed machine; weights: feature -> weight of an insult."""
+
+    #: Words whose class a worker remembers.
+    MEMO = 100_000
+
+    def __init__(self, weights: dict[str, float], cascade=CASCADE):
+        self.lexicon, self.memo = Lexicon(weights), {}
+        self.table, self.finals = compose([t() for t in cascade])
+
+    def classed(self, token: str) -> tuple[int, float]:
+        """(class, weight) of a token; class -1 ends a clause."""
+        got = self.memo.get(token)
+        if got is None:
+            got = self.lexicon(token) if token[0].isalpha() else (CLASSES.index("quote"), 0.0) if token in _QUOTES else (-1, 0.0)
+            if len(self.memo) < self.MEMO and len(token) <= 64:
+                self.memo[token] = got
+        return got
 
     def score(self, text: str | None) -> float:
         """0 to 1; 0.02 for texts without a matched clause, empty and null ones too."""
-        low = (text or "").lower()
-        total = 0.0
-        if any(x in low for x in self.plain):
-            total = sum(self.clause(c) for c in _CLAUSE.split(low) if any(x in c for x in self.plain))
+        total, state, table, finals, memo = 0.0, 0, self.table, self.finals, self.memo
+        for token in _TOKEN.findall((text or "").lower()):
+            kind, w = memo.get(token) or self.classed(token)
+            if kind < 0:
+                total += finals[state]
+                state = 0
+                continue
+            state, by = table[state][kind]
+            if w:
+                total += w * by
+        total += finals[state]
         return round(max(0.02, total / (total + 1)), 6)
 
 
+def features(word: str) -> list[str]:
+    return [word + "$", *(word[:k] for k in PREFIX if len(word) >= k)]
+
+
 def _counts(batches: Iterator[pa.RecordBatch], only: frozenset[str] | None) -> Iterator[pa.RecordBatch]:
     seen: Counter[str] = Counter()
     for b in pieces(batches, 0):
         for text in b.column(0).to_pylist():
-            f = features(text or "")
+            f = {x for w in set(_WORD.findall((text or "").lower())) for x in features(w)}
             seen.update(f if only is None else f & only)
     yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["feature", "n"])
 
@@ -111,21 +224,47 @@ def _tally(texts: DataFrame, only: frozenset[str] | None, least: int, most: int)
     return {r[0]: r[1] for r in rows.orderBy(F.desc("n"), "feature").limit(most).collect()}
 
 
+def _contexts(batches: Iterator[pa.RecordBatch], only: frozenset[str]) -> Iterator[pa.RecordBatch]:
+    for b in pieces(batches, 0):
+        seen: set[tuple[str, str]] = set()
+        for text in b.column(0).to_pylist():
+            words = ["", *_WORD.findall((text or "").lower()), ""]
+            for k in range(1, len(words) - 1):
+                for f in features(words[k]):
+                    if f in only:
+                        seen.add((f, f"{words[k - 1]} {words[k + 1]}"))
+        if seen:
+            f, c = zip(*sorted(seen), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.array(c, pa.string())], ["feature", "context"])
+
+
+def lower_bound(hits: int, n: int, z: float = Z) -> float:
+    """Wilson's lower bound of a share."""
+    p = hits / n
+    return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
 def learn(labelled: DataFrame, text: str = "text", toxic: str = "toxic") -> dict[str, float]:
-    """Insult weights from a bounded table of labelled texts: features that hardly occur in clean ones.
+    """Insult weights from a bounded table of labelled texts: features that are rare in clean ones.
 
-    Of the beginnings of one word with about the same support the longest is kept. Rows with a null label are
-    ignored. Without toxic rows there are no weights.
+    A feature's evidence is the number of different contexts (the words beside it) in toxic texts, so that near
+    copies of one text count once: with c contexts and m clean texts the lower bound of c / (c + m) must reach
+    MIN_BOUND, which takes 8 contexts where no clean text holds it, at any number of labels. Of the beginnings of
+    one word with about the same support the longest is kept. Rows with a null label are ignored. Without toxic
+    rows there are no weights.
     """
     t = labelled.select(F.col(text).alias("t"), F.col(toxic).alias("y"))
     n = {r[0]: r[1] for r in t.filter("y is not null").groupBy((F.col("y") > 0).alias("y")).count().collect()}
     bad, good = n.get(True, 0), n.get(False, 0)
     if not bad:
         return {}
-    least = max(MIN_SUPPORT, math.ceil(MIN_SHARE * bad))
-    hit = _tally(t.filter("y > 0").select("t"), None, least, 40 * MAX_FEATURES)
+    hit = _tally(t.filter("y > 0").select("t"), None, MIN_SUPPORT, 40 * MAX_FEATURES)
     miss = _tally(t.filter("y <= 0").select("t"), frozenset(hit), 1, len(hit) + 1)
     sure = {f: k for f, k in hit.items() if k >= MIN_PRECISION * (k + miss.get(f, 0))}
+    some = frozenset(sure)
+    rows = t.filter("y > 0").select("t").mapInArrow(lambda it: _contexts(it, some), "feature string, context string").distinct().groupBy("feature").count()
+    contexts = {r[0]: r[1] for r in rows.collect()}  # one row for each feature looked at
+    sure = {f: k for f, k in sure.items() if lower_bound(contexts[f], contexts[f] + miss.get(f, 0)) >= MIN_BOUND}
     kept: dict[str, int] = {}
     for f in sorted(sure, key=lambda f: (len(f.rstrip("$")), f)):
         # drop a shorter beginning when this one has nearly its support, and skip this one when a kept shorter one says more

@@ -1,6 +1,8 @@
 """The grammar on sentences, learning on a small corpus, held-out accuracy on the tables."""
 
 import os
+import random
+import re
 import zlib
 
 import pytest
@@ -15,15 +17,45 @@ def test_clauses():
     plain = g.score("the man is an idiot")
     assert plain >= 0.5 and g.score("vequté") >= 0.5
     assert g.score("you idiot") > plain > g.score("he is not an idiot") and plain > g.score("they said idiot") and plain > g.score('the word "idiot" here')
-    assert g.score("i will kill you") > g.score("i will not kill you")
+    assert g.score("i will kill you") >= 0.5 > g.score("i will not kill you")
+    assert g.score("You should be shot and burned!") >= 0.5 and g.score("they will be hanged") >= 0.5
+    assert max(g.score(x) for x in ("he was killed", "she said i will kill you", "kill the light", "i will. kill the light", 'it says "we will kill you" here')) < 0.5
     assert g.score("idiotic") < 0.5 and g.score(None) == g.score("") == g.score("a calm text") < 0.5
     assert g.score("fine. " * 50000 + "idiot") >= 0.5
 
 
+def paths(weights, text):
+    """The cascade step by step: each transducer rewrites the whole clause before the next one reads it; no composed machine."""
+    known = {w: k for k, ws in (("report", toxicity.REPORT), ("negation", toxicity.NEGATION), ("intent", toxicity.INTENT), ("them", toxicity.THEM), ("you", toxicity.YOU), ("threat", toxicity.THREAT)) for w in ws}
+    total = 0.0
+    for clause in re.split(r"[.!?;:\n]+|,\s", (text or "").lower()):
+        words = re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"“”«»„]", clause)
+        w = [max([weights.get(x + "$", 0)] + [v for f, v in weights.items() if not f.endswith("$") and x.startswith(f)]) for x in words]
+        kind = ["quote" if not x[0].isalpha() else "insult" if v else known.get(x, "other") for x, v in zip(words, w)]
+        plain = [i for i, k in enumerate(kind) if k != "quote"]
+        negated = {i for p, i in enumerate(plain) if kind[i] != "negation" and any(kind[j] == "negation" for j in plain[max(0, p - toxicity.NEGATED_FOR) : p])}
+        said = {i for i, k in enumerate(kind) if "report" in kind[:i] or kind[:i].count("quote") % 2}
+        aimed = {i for i in range(len(kind)) if {"you", "them"} & set(kind[:i])}
+        total += sum(w[i] * (0.5 if i in negated else 1) * (0.6 if i in said else 1) * (1.25 if i in aimed else 1) for i, k in enumerate(kind) if k == "insult")
+        open_ = {k for i, k in enumerate(kind) if i not in negated and not (k == "threat" and i in said)}
+        if "threat" in open_:
+            total += toxicity.THREATENED if "you" in open_ or {"them", "intent"} <= open_ else toxicity.TOLD if "them" in open_ else 0
+    return round(max(0.02, total / (total + 1)), 6)
+
+
+def test_composed_machine_against_the_cascade_step_by_step():
+    r, g = random.Random(4), toxicity.Grammar(WEIGHTS)
+    pool = ["idiot", "idiots", "vequté", "kill", "you", "them", "will", "not", "said", '"', "calm", "x", "y", "z", ".", ", ", "\n"]
+    for _ in range(3000):
+        text = " ".join(r.choice(pool) for _ in range(r.randint(0, 14)))
+        assert g.score(text) == paths(WEIGHTS, text), text
+
+
 def test_learns_words_and_beginnings(spark):
-    rows = [(f"he is a moron number{i}", 1) for i in range(8)] + [(f"zork{'abcdef'[i]} talk today", 1) for i in range(6)] + [(f"he is a calm man today{i}", 0) for i in range(40)] + [(None, 0), ("moron", None)]
+    rows = [(f"he {x} a moron number{x}", 1) for x in "abcdefghijklmno"] + [(f"zork{x} {x} talk today", 1) for x in "abcdefghijklmno"] + [("one odd text with no insult at all " + "and so on " * i, 1) for i in range(30)] + [(f"he is a calm man today{i}", 0) for i in range(40)] + [(None, 0), ("moron", None)]
     w = toxicity.learn(spark.createDataFrame(rows, "text string, toxic int"))
     g = toxicity.Grammar(w)
+    assert "insult$" not in w and "text$" not in w  # thirty near copies are one piece of evidence
     assert g.score("a moron, such a moron") >= 0.5 and g.score("zorkian zorks") >= 0.5 and g.score("he is a calm man") < 0.5
 
 
