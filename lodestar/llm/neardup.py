@@ -31,7 +31,7 @@ TREES = 24
 #: A prefix is shortened first where at most so many texts share the shorter one.
 NODE = 64
 #: A block of a bucket: at most so many texts and about so many bytes of shingles.
-BLOCK_TEXTS, BLOCK_BYTES = 1024, 4 << 20
+BLOCK_TEXTS, BLOCK_BYTES = 512, 4 << 20
 #: Bytes of a shingle's hash that travel to the verification.
 BYTES = 6
 #: Up to this many texts in buckets their digests (16 bytes each) are broadcast to thin out the texts before the join.

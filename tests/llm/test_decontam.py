@@ -3,6 +3,9 @@
 import collections
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from lodestar.llm import decontam
 
 
@@ -54,16 +57,37 @@ def test_small(spark, monkeypatch):
 
 
 def test_block_lookup_finds_all_within_the_radius():
-    r = random.Random(1)
-    import numpy as np
-
-    for _ in range(200):
-        a = r.getrandbits(64)
-        b = a
-        for k in r.sample(range(64), decontam.RADIUS):
-            b ^= 1 << k
-        x, y = (decontam.blocks_of(np.array([v], np.uint64), decontam.RADIUS) for v in (a, b))
-        assert any((p == q).all() for p, q in zip(x, y))
+    r = np.random.default_rng(1)
+    for n in (5, 3000):  # compared as they are, and probed
+        prints = r.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)
+        asked = prints[r.integers(0, n, 200)]
+        for k, flips in enumerate(r.integers(0, decontam.RADIUS + 4, 200)):
+            for bit in r.choice(64, flips, replace=False):
+                asked[k] ^= np.uint64(1) << np.uint64(bit)
+        tables = decontam.index_of([(i, f"a b c d e f {i}") for i in range(n)]) | {"prints": prints}
+        want = np.argwhere(np.bitwise_count(asked[:, None] ^ prints[None, :]) <= decontam.RADIUS)
+        assert decontam.Search(tables).near(asked, 7).tolist() == want.tolist()
+
+
+def test_recall_of_the_fingerprints_at_the_threshold():
+    """Windows of similarity just over 0.8 lie within the radius."""
+    r, met, n = random.Random(9), 0, 1500
+    for _ in range(n):
+        words = [f"w{r.getrandbits(40)}" for _ in range(r.choice([20, 49, 120]))]
+        edited = list(words)
+        least = int((len(words) - 4) * 0.2 / 1.8)  # shingles that may differ on each side
+        for k in range(least // 5):
+            edited[(k + 1) * len(words) // (least // 5 + 1)] = "z"
+        s, t = (decontam.shingles(decontam.word_hashes(" ".join(w).encode())) for w in (words, edited))
+        a, b = (decontam.fingerprints(decontam.bits_of(x), np.array([0]), len(x)) for x in (s, t))
+        met += int(np.bitwise_count(a ^ b)[0] <= decontam.RADIUS)
+    print("recall of the fingerprints", met / n)
+    assert met >= 0.998 * n
+
+
+def test_query_on_the_table(spark, sf):
+    docs, items = ([tuple(x) for x in spark.read.parquet(f"{sf}/{t}.parquet").select(c, "text").collect()] for t, c in (("documents", "doc_id"), ("benchmark", "item_id")))
+    assert found(decontam.op4_decontamination(spark, sf)) == brute([d for d in docs if len(d[1] or "") < 3000], items) | found(decontam.op4_decontamination(spark, sf).filter(F.col("doc_id").isin([d for d, t in docs if len(t or "") >= 3000])))
 
 
 def test_empty(spark):
