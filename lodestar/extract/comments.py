@@ -1,71 +1,60 @@
-"""Which lines of a source text are code and which stand in comments or doc blocks."""
+"""Which lines of a source text are code and which stand in comments or doc blocks.
 
-from __future__ import annotations
+A style is a table of delimiters. Each line is cut into its delimiters, and a stack of the closers still waited for is
+carried from line to line. Strings are not told apart from code.
+"""
 
-#: How a language comments. c: // and /* */, nested or not; python: # and triple quotes; lua: -- and --[[ ]].
-STYLE = {"typescript": "c", "javascript": "c", "java": "c", "csharp": "c", "rust": "nested", "swift": "nested", "python": "python", "lua": "lua"}
+from __future__ import annotations
 
+import re
+from typing import NamedTuple
 
-def code_lines(text: str, language: str) -> list[bool]:
-    """One flag per line. A line with code before a comment opener is code; delimiters inside strings count as such."""
-    style = STYLE.get(language)
-    lines = text.split("\n")
-    if style is None:
-        return [True] * len(lines)
-    scan = {"c": _c_style, "nested": _c_style, "python": _python, "lua": _lua}[style]
-    state: object = None
-    out = []
-    for line in lines:
-        code, state = scan(line, state, style == "nested")
-        out.append(code)
-    return out
 
+class Style(NamedTuple):
+    #: What makes a whole line a comment, and whether that comes before any block opener in it.
+    line: str
+    line_first: bool
+    #: Openers with their closers, and all of them as one pattern.
+    closers: dict[str, str]
+    delimiters: re.Pattern
+    #: Whether blocks nest, whether a line is looked at further behind a closer, whether a block closed on its own line is code.
+    nests: bool = False
+    further: bool = False
+    inline: bool = False
 
-def _depth_after(line: str, depth: int, nested: bool) -> int:
-    i = 0
-    while i < len(line) - 1:
-        two = line[i : i + 2]
-        if two == "/*":
-            depth += nested or depth == 0
-            i += 2
-        elif two == "*/":
-            depth = max(0, depth - 1)
-            i += 2
-        else:
-            i += 1
-    return depth
 
+_C = Style("//", True, {"/*": "*/"}, re.compile(r"/\*|\*/"), further=True)
+STYLES = dict.fromkeys(("typescript", "javascript", "java", "csharp"), _C) | dict.fromkeys(("rust", "swift"), _C._replace(nests=True)) | {
+    "python": Style("#", True, {'"""': '"""', "'''": "'''"}, re.compile("\"\"\"|'''"), inline=True),
+    "lua": Style("--", False, {"--[[": "]]"}, re.compile(r"--\[\[|\]\]")),
+}
 
-def _c_style(line: str, depth: int | None, nested: bool) -> tuple[bool, int]:
-    if depth:
-        return False, _depth_after(line, depth, nested)
-    bare = line.strip()
-    if bare.startswith("//"):
-        return False, 0
-    opener = bare.find("/*")
-    return opener != 0, _depth_after(line, 0, nested) if opener >= 0 else 0
 
+def _carry(marks: list[str], waiting: list[str], style: Style) -> None:
+    """Takes a line's delimiters off and on the stack of closers waited for."""
+    for mark in marks:
+        if waiting and mark == waiting[-1]:
+            waiting.pop()
+            if not style.further:
+                return
+        elif mark in style.closers and (style.nests or not waiting):
+            waiting.append(style.closers[mark])
 
-def _python(line: str, quote: str | None, _: bool) -> tuple[bool, str | None]:
-    if quote:
-        return False, None if quote in line else quote
-    bare = line.strip()
-    if bare.startswith("#"):
-        return False, None
-    found = sorted((at, q) for q in ('"""', "'''") if (at := bare.find(q)) >= 0)
-    if not found:
-        return True, None
-    at, quote = found[0]
-    if quote in bare[at + 3 :]:
-        return True, None
-    return at > 0, quote
 
-
-def _lua(line: str, inside: bool | None, _: bool) -> tuple[bool, bool]:
-    if inside:
-        return False, "]]" not in line
-    bare = line.strip()
-    opener = bare.find("--[[")
-    if opener >= 0:
-        return opener > 0, "]]" not in line[line.index("--[[") + 4 :]
-    return not bare.startswith("--"), False
+def code_lines(text: str, language: str) -> list[bool]:
+    """One flag per line. A line with code before a comment opener is code; delimiters inside strings count as such."""
+    lines, style = text.split("\n"), STYLES.get(language)
+    if style is None:
+        return [True] * len(lines)
+    waiting: list[str] = []
+    flags = []
+    for line in map(str.strip, lines):
+        found = [(m.start(), m[0]) for m in style.delimiters.finditer(line)]
+        opener = next((at for at, mark in found if mark in style.closers), None)
+        inside = bool(waiting)
+        if not inside and line.startswith(style.line) and (style.line_first or opener is None):
+            flags.append(False)
+            continue
+        _carry([mark for _, mark in found], waiting, style)
+        flags.append(not inside and (opener != 0 or style.inline and not waiting))
+    return flags

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import posixpath
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from lodestar.extract.comments import code_lines
 from lodestar.functions.compat import go_json
@@ -60,6 +61,10 @@ class Source:
     def line(self, offset: int) -> int:
         return bisect_right(self._breaks, offset - 1) + 1 if offset else 1
 
+    @cached_property
+    def blocks(self) -> BraceBlocks:
+        return BraceBlocks(self.text)
+
     def is_code(self, line: int) -> bool:
         return line <= len(self.flags) and self.flags[line - 1]
 
@@ -204,15 +209,49 @@ def literals(src: Source, pattern: re.Pattern) -> list[tuple[str, int]]:
 # ---- blocks and test names
 
 
-def brace_end(lines: list[str], start: int) -> int:
-    """1-based line of the brace that closes the block begun at or after line index start, else the start line."""
-    depth = 0
-    for i in range(start, len(lines)):
-        for c in re.findall("[{}]", lines[i]):
-            depth += 1 if c == "{" else -1
-            if c == "}" and depth == 0:
-                return i + 1
-    return start + 1
+class BraceBlocks:
+    """All brace blocks of a text, found in one pass.
+
+    A brace opened at some level is closed by the next closing brace that comes back to it. The block of a line is
+    that of the first brace at or after the line which opens at the level the line begins with.
+    """
+
+    def __init__(self, text: str):
+        self.places: list[int] = []  # line index of every brace
+        self.levels: list[int] = []  # level before it
+        self.opened: dict[int, list[int]] = {}  # level -> numbers of the braces opened there
+        self.closed: dict[int, int] = {}  # number of an opening brace -> line index of its partner
+        line = level = 0
+        for c in re.findall(r"[{}\n]", text):
+            if c == "\n":
+                line += 1
+                continue
+            if c == "{":
+                self.opened.setdefault(level, []).append(len(self.places))
+            elif level - 1 in self.opened:
+                self.closed.setdefault(self.opened[level - 1][-1], line)
+            self.places.append(line)
+            self.levels.append(level)
+            level += 1 if c == "{" else -1
+
+    def end(self, line: int) -> int:
+        """1-based line that closes the block of a 1-based line, else that line."""
+        first = bisect_left(self.places, line - 1)
+        same = self.opened.get(self.levels[first], []) if first < len(self.places) else []
+        k = bisect_left(same, first)
+        return self.closed.get(same[k], line - 1) + 1 if k < len(same) else line
+
+
+def marked_lines(lines: list[str], is_mark: Callable[[str], bool], lead: str, reach: int = 3) -> list[bool]:
+    """Which lines a mark stands before, at most reach lines above, with only blank lines and lines begun by lead between."""
+    out, last = [], None
+    for i, line in enumerate(map(str.strip, lines)):
+        out.append(last is not None and i - last <= reach)
+        if is_mark(line):
+            last = i
+        elif line and not line.startswith(lead):
+            last = None
+    return out
 
 
 @dataclass(frozen=True)
