@@ -8,6 +8,7 @@ import sys
 
 from pyspark.sql import DataFrame
 
+from lodestar.functions import compat
 from lodestar.operators import doctor as health
 from lodestar.operators import find, report
 from lodestar.plans import indexing
@@ -58,7 +59,16 @@ def _parser() -> argparse.ArgumentParser:
 def render(rows: list[dict], form: str) -> str:
     if form == "agent":
         return json.dumps(rows, separators=(",", ":"), default=str, ensure_ascii=False)
-    return json.dumps(rows, indent=2, default=str, ensure_ascii=False)
+    if form == "json":
+        return json.dumps(rows, indent=2, default=str, ensure_ascii=False)
+    return "\n\n".join(_aligned(r) for r in rows)
+
+
+def _aligned(row: dict) -> str:
+    """One key and value a line, the values in one column."""
+    wide = max(map(len, row), default=0) + 3
+    shown = lambda v: json.dumps(v, default=str, ensure_ascii=False) if isinstance(v, (list, dict)) else "" if v is None else str(v)
+    return "\n".join(f"{k + ':':<{wide}}{shown(v)}".rstrip() for k, v in row.items())
 
 
 def _rows(df: DataFrame) -> list[dict]:
@@ -87,9 +97,16 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "validate":
         checks, valid = health.validate(spark, t, root, config, a.strict)
         return _out(checks, a) or int(not valid)
+    if a.command == "stats":
+        size = [{"metric": "store_bytes", "key": "", "n": store.size_bytes()}]
+        return _out(_rows(report.stats(t)) + size + [_local_times(r) for r in _rows(report.last_run(t))], a)
     return _out(_query(t, a), a)
 
 
+def _local_times(row: dict) -> dict:
+    return {k: compat.local_time(v) if k.endswith("_at") and v else v for k, v in row.items()}
+
+
 def _query(t, a: argparse.Namespace) -> list[dict]:
     if a.command == "find":
         if a.what == "symbol":
@@ -103,8 +120,6 @@ def _query(t, a: argparse.Namespace) -> list[dict]:
         return _rows(find.touches(t, a.kind, a.name))
     if a.command == "list":
         return _rows({"packages": find.list_packages, "diagnostics": find.latest_diagnostics}[a.what](t) if a.what in ("packages", "diagnostics") else find.list_artifacts(t, a.what))
-    if a.command == "stats":
-        return _rows(report.stats(t)) + _rows(report.last_run(t))
     if a.command == "stale":
         return _rows(report.stale_all(t))
     if a.command == "summarize":
@@ -115,6 +130,8 @@ def _query(t, a: argparse.Namespace) -> list[dict]:
 
 
 def _summary(t, what: str, name: str) -> DataFrame:
+    """The summary as it is now: made anew from the index, not read from the stored table."""
+    t = t.replace(**indexing.summarised(t, [what]))
     key = {"file": (t.files, "path", t.file_summaries), "package": (t.packages, "name", t.package_summaries), "symbol": (t.symbols, "qualified_name", t.symbol_summaries)}[what]
     one = key[0].filter(key[0][key[1]] == name).orderBy("id").limit(1).select(key[0]["id"].alias("k"))
     return key[2].join(one, key[2][f"{what}_id"] == one["k"], "left_semi")

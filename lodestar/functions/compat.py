@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import json
 import re
 
@@ -125,4 +126,13 @@ def go_json(obj: dict[str, str]) -> str:
 
 
 def rfc3339(ts: Column) -> Column:
+    """A timestamp in UTC as text, to the second."""
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def local_time(utc: str) -> str:
+    """RFC 3339 text in UTC as local time; other texts stay as they are."""
+    try:
+        return datetime.datetime.fromisoformat(utc).astimezone().strftime("%Y-%m-%d %H:%M:%S")
+    except ValueError:
+        return utc

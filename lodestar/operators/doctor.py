@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.operators import report
 from lodestar.plans.store import Store
 from lodestar.schema import TABLES, IndexTables
-from lodestar.sources.files import Config, walk
+from lodestar.sources.files import Config, on_disk, walk
 
 
 def files_on_disk(t: IndexTables, root: str) -> int:
-    """Indexed files that are gone; paths stream through the driver, which alone sees the tree."""
-    return sum(not os.path.exists(os.path.join(root, r[0])) for r in t.files.select("path").toLocalIterator())
+    """Indexed files that are gone: an anti join with the listing of the tree."""
+    return t.files.select("path").join(on_disk(t.files.sparkSession, root), "path", "left_anti").count()
 
 
 def unindexed_files(t: IndexTables, candidates: DataFrame) -> DataFrame:

@@ -36,8 +36,8 @@ def find_symbol(t: IndexTables, name: str, fuzzy: bool = False, kind: str = "",
         ids = t.packages.filter((F.col("name") == package) | (F.col("import_path") == package)).select(F.col("id").alias("p_id")).distinct()
         s = s.join(ids, F.col("package_id") == F.col("p_id"), "left")
         keep &= F.col("p_id").isNotNull()
-    low, pattern = F.lower, f"%{name}%"
-    by_name, by_qualified = _folded_like(low(F.col("s.name")), pattern), _folded_like(low(F.col("qualified_name")), pattern)
+    pattern = f"%{name}%"
+    by_name, by_qualified = like(F.col("s.name"), pattern), like(F.col("qualified_name"), pattern)
     steps = [(F.col("qualified_name") == name) & keep, (F.col("stable_id") == name) & keep, (F.col("s.name") == name) & keep]
     if fuzzy:
         steps.append(by_name | (by_qualified & keep) if compat == "reference" else (by_name | by_qualified) & keep)
@@ -54,11 +54,6 @@ def find_symbol(t: IndexTables, name: str, fuzzy: bool = False, kind: str = "",
     )
 
 
-def _folded_like(c: Column, pattern: str) -> Column:
-    """LIKE on lower-cased text, ASCII only, as the embedded database folds."""
-    return like(c, pattern)
-
-
 def find_file(t: IndexTables, pattern: str, exact: bool = False, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
     hit = F.col("path") == pattern if exact else contains(F.col("path"), pattern)
     rows = t.files.filter(hit & included(F.col("path"), include or [], exclude or []))
@@ -104,11 +99,13 @@ def _with_ends(t: IndexTables, refs: DataFrame) -> DataFrame:
     s = t.symbols.select("id", "qualified_name")
     f = t.files.select("id", "path")
     side = lambda df, key, val: df.select(F.col("id").alias(key), F.col("qualified_name" if "qualified_name" in df.columns else "path").alias(val))
+    # a null key meets nothing; under a key of its own (ids are positive) it does not land in one task with all others
+    spread = lambda c: F.coalesce(F.col(c), -1 - F.abs(F.col("id")))
     rows = (
         refs.join(side(f, "k_ff", "from_file"), F.col("from_file_id") == F.col("k_ff"))
-        .join(side(s, "k_fs", "from_symbol"), F.col("from_symbol_id") == F.col("k_fs"), "left")
-        .join(side(s, "k_ts", "to_symbol"), F.col("to_symbol_id") == F.col("k_ts"), "left")
-        .join(side(f, "k_tf", "to_file"), F.col("to_file_id") == F.col("k_tf"), "left")
+        .join(side(s, "k_fs", "from_symbol"), spread("from_symbol_id") == F.col("k_fs"), "left")
+        .join(side(s, "k_ts", "to_symbol"), spread("to_symbol_id") == F.col("k_ts"), "left")
+        .join(side(f, "k_tf", "to_file"), spread("to_file_id") == F.col("k_tf"), "left")
     )
     blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)

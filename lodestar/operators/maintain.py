@@ -64,11 +64,6 @@ def numbered(df: DataFrame, order: list[str], stage: Callable[[DataFrame, str],
     return rows.join(F.broadcast(offsets), "__p").withColumn(name, (F.col("__off") + F.col("__k") + 1 + after).cast("long")).drop("__at", "__p", "__k", "__off")
 
 
-def replace_by_file(old: DataFrame, new: DataFrame, files: DataFrame, key: str = "file_id") -> DataFrame:
-    """old without the rows of the given files (column k), and with the new rows."""
-    return old.join(files.select(F.col("k").alias(key)), key, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
-
-
 def link_files(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(new).dropDuplicates(["package_id", "file_id"])
 
@@ -83,7 +78,9 @@ def resolve(refs: DataFrame, symbols: DataFrame, compat: str = "reference") -> D
         first = first.filter("n = 1")
     first = first.select(F.col("qualified_name").alias("k"), F.col("s.id").alias("s_id"), F.col("s.file_id").alias("s_file"))
     open_ = ~F.coalesce("is_resolved", F.lit(False)) & F.col("raw_target_text").isNotNull()
-    rows = refs.withColumn("__k", F.when(open_, F.col("raw_target_text"))).join(first, F.col("__k") == F.col("k"), "left")
+    # rows that can't resolve get keys of their own, which no name has, so they don't land in one task
+    key = F.when(open_, F.col("raw_target_text")).otherwise(F.concat(F.lit("\u0000"), F.col("id").cast("string")))
+    rows = refs.withColumn("__k", key).join(first, F.col("__k") == F.col("k"), "left")
     hit = F.col("s_id").isNotNull()
     new = {"to_symbol_id": F.when(hit, F.col("s_id")).otherwise(F.col("to_symbol_id")), "to_file_id": F.when(hit, F.col("s_file")).otherwise(F.col("to_file_id")), "is_resolved": hit | F.coalesce("is_resolved", F.lit(False))}
     return rows.withColumns(new).select(*refs.columns)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.extract.registry import extract
+from lodestar.functions.compat import rfc3339
 from lodestar.operators import maintain as m
 from lodestar.plans import summaries
 from lodestar.plans.store import Store
@@ -49,40 +50,80 @@ def reindex(spark: SparkSession, root: str, store: Store, config: source.Config
 
 
 def index_rows(spark: SparkSession, candidates: DataFrame, store: Store, config: source.Config, mode: str = "full", module_path: str = "", commit: str = "", strict: bool = False) -> RunResult:
-    """A run over candidate rows (path, content, size_bytes, mtime, language, is_generated)."""
-    started, old = _now(), store.load()
+    """A run over candidate rows (path, content, size_bytes, mtime, language, is_generated).
+
+    The run's row is `running` in a marker beside the index while it lasts. A run that fails is logged as `failed`
+    with the old tables, and its error is raised. A listed file that can't be read gets a FILE_MISSING diagnostic.
+    """
+    old = store.load()
     run = store.version() + 1
+    store.set_meta("running", str(run))
+    try:
+        return _run(spark, candidates, store, config, mode, module_path, commit, strict, old, run)
+    except _StrictError:
+        raise
+    except Exception as e:
+        row = {"id": run, "started_at": _now(), "finished_at": _now(), "status": "failed", "mode": mode, "git_commit": commit or None, "notes": f"{type(e).__name__}: {e}"[:500]}
+        store.publish(run, old.replace(index_runs=old.index_runs.unionByName(_run_row(spark, old, row))))
+        raise
+    finally:
+        store.set_meta("running", "")
+
+
+class _StrictError(RuntimeError):
+    pass
+
+
+def _run_row(spark: SparkSession, old: IndexTables, row: dict) -> DataFrame:
+    return spark.createDataFrame([tuple(row.get(c) for c in old.index_runs.columns)], old.index_runs.schema)
+
+
+def _run(spark: SparkSession, candidates: DataFrame, store: Store, config: source.Config, mode: str, module_path: str, commit: str, strict: bool, old: IndexTables, run: int) -> RunResult:
+    started = _now()
     stage = store.stage(run)
+    listed = stage(source.listing(candidates), "listed")
     light = stage(candidates.withColumn("content_hash", F.sha2("content", 256)).drop("content"), "scanned")
     changed = stage(m.changed_files(light, old.files), "changed")
     scanned, n_changed = light.count(), changed.count()
-    work = candidates.join(F.broadcast(changed.select("path")) if n_changed < 100_000 else changed.select("path"), "path", "left_semi")
+    again = changed.join(old.files.select("path"), "path", "left_semi").count()
+    unread = listed.join(light.select("path"), "path", "left_anti")
+    work = candidates.join(changed.select("path"), "path", "left_semi")
     got = stage(extract(work, module_path), "extracted")
 
-    deleted = old.files.limit(0) if mode != "full" else m.deleted_files(old.files, light)
+    deleted = old.files.limit(0) if mode != "full" else m.deleted_files(old.files, listed)
     n_deleted = deleted.count()
     t = m.cascade(old, "files", deleted.select(F.col("id").alias("k"))) if n_deleted else old
     t = _merge(t, changed, got, config, commit, stage) if n_changed else t
     if n_changed or n_deleted:
         t = t.replace(refs=m.resolve(t.refs, t.symbols, config.compat))
         t = _staged(t, stage, "files", "packages", "package_files", "symbols", "refs", "artifacts")
-    if config.summaries:
-        t = t.replace(file_summaries=summaries.file_summaries(t), package_summaries=summaries.package_summaries(t))
-        t = t.replace(symbol_summaries=summaries.symbol_summaries(t.replace(symbols=t.symbols.join(t.files.filter("parse_status = 'ok'").select(F.col("id").alias("k")), F.col("file_id") == F.col("k"), "left_semi").select(*t.symbols.columns))))
+    if config.summaries and (n_changed or n_deleted or old.file_summaries.isEmpty()):
+        t = t.replace(**summarised(t, config.summary_kinds))
 
-    said = _diagnostics(t, got, run, config, stage, m.greatest(old.diagnostics), started)
+    said = _diagnostics(t, got, unread, run, config, stage, m.greatest(old.diagnostics), started)
     counts = {r[0]: r[1] for r in said.groupBy("severity").count().collect()}
     errors, warnings = counts.get("error", 0) + counts.get("fatal", 0), counts.get("warning", 0)
-    written = got.agg(F.coalesce(F.sum(F.size("symbols")), F.lit(0)), F.coalesce(F.sum(F.size("refs")), F.lit(0))).first()
+    sizes = [F.coalesce(F.sum(F.size(c)), F.lit(0)) for c in ("symbols", "refs", "artifacts")]
+    written = got.agg(*sizes).first()
     status = "partial" if errors else "success"
-    row = {"id": run, "started_at": started, "finished_at": _now(), "status": status, "mode": mode, "files_scanned": scanned, "files_changed": n_changed, "symbols_written": written[0], "references_written": written[1], "error_count": errors, "warning_count": warnings, "git_commit": commit or None}
-    runs = spark.createDataFrame([tuple(row.get(c) for c in old.index_runs.columns)], old.index_runs.schema)
-    store.publish(run, t.replace(index_runs=old.index_runs.unionByName(runs), diagnostics=t.diagnostics.unionByName(said)))
+    row = {
+        "id": run, "started_at": started, "finished_at": _now(), "status": status, "mode": mode, "files_scanned": scanned, "files_changed": n_changed, "files_reparsed": again, "symbols_written": written[0],
+        "references_written": written[1], "artifacts_written": written[2], "error_count": errors, "warning_count": warnings, "git_commit": commit or None,
+    }
+    store.publish(run, t.replace(index_runs=old.index_runs.unionByName(_run_row(spark, old, row)), diagnostics=t.diagnostics.unionByName(said)))
     if strict and errors:
-        raise RuntimeError(f"{errors} errors while indexing")
+        raise _StrictError(f"{errors} errors while indexing")
     return RunResult(run, status, mode, scanned, n_changed, n_deleted, written[0], written[1], errors, warnings)
 
 
+def summarised(t: IndexTables, kinds: list[str]) -> dict[str, DataFrame]:
+    """The summary tables of the given kinds, made anew; symbols of files without a clean parse have none."""
+    ok = t.files.filter("parse_status = 'ok'").select(F.col("id").alias("k"))
+    clean = t.replace(symbols=t.symbols.join(ok, F.col("file_id") == F.col("k"), "left_semi").select(*t.symbols.columns))
+    make = {"file": lambda: summaries.file_summaries(t), "package": lambda: summaries.package_summaries(t), "symbol": lambda: summaries.symbol_summaries(clean)}
+    return {f"{k}_summaries": make[k]() for k in kinds}
+
+
 def _staged(t: IndexTables, stage, *names: str) -> IndexTables:
     return t.replace(**{n: stage(getattr(t, n), n) for n in names})
 
@@ -94,7 +135,7 @@ def _merge(t: IndexTables, changed: DataFrame, got: DataFrame, config: source.Co
     head = got.select("path", "parse_status", F.col("package.*")).withColumnRenamed("language", "package_language")
     rows = changed.join(head, "path").select(
         "path", "language", F.col("name").alias("package_name"), F.when(F.coalesce("import_path", F.lit("")) != "", F.col("import_path")).alias("module_name"), "content_hash", "size_bytes",
-        F.date_format("mtime", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("last_modified_utc"), F.lit(commit or None).cast("string").alias("git_commit"), "is_generated", "parse_status",
+        rfc3339(F.col("mtime")).alias("last_modified_utc"), F.lit(commit or None).cast("string").alias("git_commit"), "is_generated", "parse_status",
     )
     files = stage(m.upsert_files(t.files, rows, now, stage), "files")
     ids = files.join(changed.select("path"), "path", "left_semi").select("path", F.col("id").alias("file_id"))
@@ -141,10 +182,11 @@ def _merge(t: IndexTables, changed: DataFrame, got: DataFrame, config: source.Co
     return t
 
 
-def _diagnostics(t: IndexTables, got: DataFrame, run: int, config: source.Config, stage, after: int, now: str) -> DataFrame:
+def _diagnostics(t: IndexTables, got: DataFrame, unread: DataFrame, run: int, config: source.Config, stage, after: int, now: str) -> DataFrame:
     d = got.select("path", F.explode("diagnostics").alias("d")).select("path", "d.*")
     kinds = EXTENDED_SYMBOL_KINDS if config.compat == "fixed" else SYMBOL_KINDS
     bad = got.filter(F.exists("symbols", lambda s: ~s["symbol_kind"].isin(kinds))).select("path", F.lit("error").alias("severity"), F.lit("PARSE_ERROR").alias("code"), F.lit("illegal symbol kind").alias("message"))
-    rows = m.numbered(d.unionByName(bad).join(t.files.select("path", F.col("id").alias("file_id")), "path", "left"), ["path", "code", "message"], stage, after)
+    gone = unread.select("path", F.lit("error").alias("severity"), F.lit("FILE_MISSING").alias("code"), F.concat(F.lit("cannot read file "), "path").alias("message"))
+    rows = m.numbered(d.unionByName(bad).unionByName(gone).join(t.files.select("path", F.col("id").alias("file_id")), "path", "left"), ["path", "code", "message"], stage, after)
     out = rows.withColumn("run_id", F.lit(run).cast("long")).withColumn("created_at", F.lit(now))
     return out.select(*[F.col(c) if c in out.columns else F.lit(None).cast(f.dataType).alias(c) for f in t.diagnostics.schema.fields for c in [f.name]])

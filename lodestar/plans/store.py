@@ -1,4 +1,4 @@
-"""Index snapshots: a folder of Parquet tables for each run, and a pointer file that names the current one."""
+"""Index snapshots: a manifest for each version says where each of its Parquet tables lies."""
 
 from __future__ import annotations
 
@@ -10,13 +10,21 @@ from lodestar.schema import DDL, GENERATOR_VERSION, SCHEMA_VERSION, TABLES, Inde
 
 
 class Store:
-    """Tables at path/v=N; CURRENT is replaced by a rename, so readers see one whole snapshot or another."""
+    """Tables at path/v=N/name, and manifests path/manifest-N.json; the greatest number is the current version.
+
+    A manifest is written under another name and renamed when its tables are whole. No file that a reader may hold is
+    replaced or deleted first, so a reader sees one version or the next one, and a writer that dies in between leaves
+    the old one. Tables that a run leaves as they are stay where they lie. The last KEEP versions stay readable.
+    """
+
+    KEEP = 2
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         jvm = spark.sparkContext._jvm
         self._p = jvm.org.apache.hadoop.fs.Path
         self.fs = self._p(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._loaded: tuple[int, IndexTables] | None = None
 
     def _read(self, name: str) -> str | None:
         at = f"{self.path}/{name}"
@@ -25,17 +33,24 @@ class Store:
         return "\n".join(r[0] for r in self.spark.read.option("wholetext", True).text(at).collect())
 
     def _write(self, name: str, text: str) -> None:
+        """A new file, whole or not there; raises where a file of that name is there, such as another run's manifest."""
         tmp = self._p(f"{self.path}/.{name}.new")
         out = self.fs.create(tmp, True)
         out.write(bytearray(text.encode()))
         out.close()
-        to = self._p(f"{self.path}/{name}")
-        if self.fs.exists(to):
-            self.fs.delete(to, False)
-        self.fs.rename(tmp, to)
+        if self.fs.exists(self._p(f"{self.path}/{name}")) or not self.fs.rename(tmp, self._p(f"{self.path}/{name}")):
+            raise RuntimeError(f"could not write {name}: it is there already")
+
+    def _names(self) -> list[str]:
+        at = self._p(self.path)
+        return [x.getPath().getName() for x in self.fs.listStatus(at)] if self.fs.exists(at) else []
+
+    def versions(self) -> list[int]:
+        return sorted(int(n[9:-5]) for n in self._names() if n.startswith("manifest-") and n.endswith(".json"))
 
     def init(self) -> None:
-        self._write("_schema.json", json.dumps({"schema_version": SCHEMA_VERSION, "generator_version": GENERATOR_VERSION}))
+        if self._read("_schema.json") is None:
+            self._write("_schema.json", json.dumps({"schema_version": SCHEMA_VERSION, "generator_version": GENERATOR_VERSION}))
 
     def check_version(self) -> None:
         """Raises for a store of a newer schema; a missing entry is accepted."""
@@ -44,14 +59,45 @@ class Store:
             raise RuntimeError(f"index schema {meta['schema_version']} is newer than {SCHEMA_VERSION}")
 
     def version(self) -> int:
-        return int((self._read("CURRENT") or "0").strip())
+        """The current version, 0 for a new store; tables without any manifest mean a damaged store."""
+        found = self.versions()
+        if not found and any(n.startswith("v=") for n in self._names()):
+            raise RuntimeError(f"{self.path} holds tables but no manifest")
+        return found[-1] if found else 0
+
+    def manifest(self, version: int) -> dict[str, str]:
+        return json.loads(self._read(f"manifest-{version}.json"))
 
     def load(self, version: int | None = None) -> IndexTables:
         self.check_version()
         v = self.version() if version is None else version
-        if not v:
+        places = self.manifest(v) if v else {}
+        if not places:
             return empty_tables(self.spark)
-        return IndexTables(**{n: self.spark.read.schema(DDL[n]).parquet(f"{self.path}/v={v}/{n}") for n in TABLES})
+        t = IndexTables(**{n: self.spark.read.schema(DDL[n]).parquet(f"{self.path}/{places[n]}") for n in TABLES})
+        self._loaded = (v, t)
+        return t
+
+    def size_bytes(self) -> int:
+        """Bytes of the current version's tables."""
+        v = self.version()
+        return sum(self.fs.getContentSummary(self._p(f"{self.path}/{at}")).getLength() for at in self.manifest(v).values()) if v else 0
+
+    # ---- meta entries
+
+    def get_meta(self, key: str) -> str | None:
+        return json.loads(self._read(self._meta(key)) or "null") if self._meta(key) else None
+
+    def set_meta(self, key: str, value: str) -> None:
+        """Entries are numbered files; the last one counts."""
+        n = max([int(x.rsplit("-", 1)[1][:-5]) for x in self._names() if x.startswith(f"meta-{key}-")], default=0)
+        self._write(f"meta-{key}-{n + 1}.json", json.dumps(value))
+        if n:
+            self.fs.delete(self._p(f"{self.path}/meta-{key}-{n}.json"), False)
+
+    def _meta(self, key: str) -> str:
+        found = [x for x in self._names() if x.startswith(f"meta-{key}-")]
+        return max(found, key=lambda x: int(x.rsplit("-", 1)[1][:-5]), default="")
 
     def stage(self, v: int):
         """A function that writes a frame beside the snapshot of a run and reads it again."""
@@ -66,17 +112,41 @@ class Store:
         return write
 
     def publish(self, v: int, t: IndexTables) -> None:
+        """Makes t version v. Tables that are still those of the version loaded last are not written again."""
         parts = {"refs": "reference_kind", "artifacts": "artifact_kind"}
+        before, old = self._loaded or (0, None)
+        known = self.manifest(before) if before and before == self.version() else {}
+        places = {}
         for n in TABLES:
+            if n in known and getattr(t, n) is getattr(old, n):
+                places[n] = known[n]
+                continue
             df = getattr(t, n).select(*[f"`{c}`" for c in self.spark.createDataFrame([], DDL[n]).columns])
             w = df.write.mode("overwrite")
-            (w.partitionBy(parts[n]) if n in parts else w).parquet(f"{self.path}/v={v}/{n}")
-        self._write("CURRENT", str(v))
+            places[n] = f"v={v}/{n}"
+            (w.partitionBy(parts[n]) if n in parts else w).parquet(f"{self.path}/{places[n]}")
+        self._write(f"manifest-{v}.json", json.dumps(places))
         self.fs.delete(self._p(f"{self.path}/_stage"), True)
+        self._expire()
+
+    def _expire(self) -> None:
+        """Drops manifests but the last KEEP, and tables that none of these names."""
+        versions = self.versions()
+        for v in versions[: -self.KEEP]:
+            self.fs.delete(self._p(f"{self.path}/manifest-{v}.json"), False)
+        named = {at for v in versions[-self.KEEP :] for at in self.manifest(v).values()}
+        for n in self._names():
+            if n.startswith("v=") and int(n[2:]) <= versions[-1]:
+                for x in self.fs.listStatus(self._p(f"{self.path}/{n}")):
+                    if f"{n}/{x.getPath().getName()}" not in named:
+                        self.fs.delete(x.getPath(), True)
+                if not self.fs.listStatus(self._p(f"{self.path}/{n}")):
+                    self.fs.delete(self._p(f"{self.path}/{n}"), True)
 
     def clear(self) -> None:
-        """Forgets all snapshots; the schema entry stays."""
+        """Forgets all tables: the next version is empty. Version numbers go on, the schema entry stays."""
         v = self.version()
-        self._write("CURRENT", "0")
-        for k in range(1, v + 1):
-            self.fs.delete(self._p(f"{self.path}/v={k}"), True)
+        if v:
+            self._loaded = None
+            self._write(f"manifest-{v + 1}.json", "{}")
+            self._expire()

@@ -40,6 +40,7 @@ PACK = """SELECT p.id, p.name, coalesce(p.import_path, '') AS import_path, p.dir
 FILE = "SELECT id, path, language, coalesce(package_name, '') AS package_name, content_hash, size_bytes, is_generated, parse_status FROM files WHERE "
 STALE_F = "SELECT 'file' AS kind, fs.file_id AS entity_id, f.path AS entity_name, fs.generated_from_hash AS stored_hash, f.content_hash AS current_hash, fs.generator_version FROM file_summaries fs JOIN files f ON fs.file_id = f.id WHERE fs.generated_from_hash <> f.content_hash"
 STALE_P = "SELECT 'package' AS kind, ps.package_id AS entity_id, p.name AS entity_name, ps.generated_from_hash AS stored_hash, '(multiple files changed)' AS current_hash, ps.generator_version FROM package_summaries ps JOIN packages p ON ps.package_id = p.id WHERE EXISTS (SELECT 1 FROM package_files pf JOIN files f ON pf.file_id = f.id WHERE pf.package_id = ps.package_id AND f.content_hash <> ps.generated_from_hash)"
+STALE_P_FIXED = STALE_P.split(" WHERE EXISTS")[0] + " WHERE ps.generated_from_hash <> (SELECT string_agg(f.content_hash, ':' ORDER BY f.path) FROM package_files pf JOIN files f ON pf.file_id = f.id WHERE pf.package_id = ps.package_id)"
 STALE_S = "SELECT 'symbol' AS kind, ss.symbol_id AS entity_id, s.qualified_name AS entity_name, ss.generated_from_hash AS stored_hash, f.content_hash AS current_hash, ss.generator_version FROM symbol_summaries ss JOIN symbols s ON ss.symbol_id = s.id JOIN files f ON s.file_id = f.id WHERE ss.generated_from_hash <> f.content_hash"
 NAMED = "(SELECT id FROM symbols WHERE name = '{0}' OR qualified_name = '{0}')"
 
@@ -60,10 +61,10 @@ CHECK_SQL = {
     "summary_text_length": "SELECT count(*) AS violations FROM (SELECT summary_text FROM file_summaries UNION ALL SELECT summary_text FROM package_summaries UNION ALL SELECT summary_text FROM symbol_summaries) WHERE length(summary_text) > 500",
     "summary_array_entry_length": "SELECT count(*) AS violations FROM (SELECT unnest(responsibilities) AS e FROM file_summaries UNION ALL SELECT unnest(key_symbols) FROM file_summaries) WHERE strlen(e) > 100",
     "artifact_data_json": """SELECT coalesce(sum(CASE WHEN NOT json_valid(data_json) THEN 1 ELSE CASE WHEN list_contains(keys, need[1]) THEN 0 ELSE 1 END + CASE WHEN len(need) < 2 OR list_contains(keys, need[2]) THEN 0 ELSE 1 END END), 0)::BIGINT AS violations
-        FROM (SELECT json_keys(CASE WHEN json_valid(data_json) THEN data_json ELSE '{}' END) AS keys, data_json, CASE artifact_kind WHEN 'route' THEN ['method', 'path'] WHEN 'config_key' THEN ['key'] WHEN 'migration' THEN ['table'] WHEN 'background_job' THEN ['type'] WHEN 'external_service' THEN ['url'] END AS need FROM artifacts)""",
+        FROM (SELECT json_keys(CASE WHEN json_valid(data_json) THEN data_json ELSE '{}' END) AS keys, data_json, CASE artifact_kind WHEN 'route' THEN ['method', 'path'] WHEN 'config_key' THEN ['key'] WHEN 'migration' THEN ['table'] WHEN 'background_job' THEN ['type'] WHEN 'external_service' THEN ['url'] WHEN 'sql_query' THEN ['table'] WHEN 'cli_command' THEN ['name'] WHEN 'env_var' THEN ['key'] END AS need FROM artifacts)""",
 }
 FK_SQL = " UNION ALL ".join(
-    f"SELECT '{c}' AS child, '{col}' AS fk_column, count(*) AS violations FROM {c} x WHERE x.{col} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {p} y WHERE y.{k} = x.{col})" if col != "parent_symbol_id" else f"SELECT '{c}', '{col}', 0::BIGINT"
+    f"SELECT '{c}' AS child, '{col}' AS fk_column, count(*) AS violations FROM {c} x WHERE x.{col} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {p} y WHERE y.{k} = x.{col})"
     for c, col, p, k, _ in report.FOREIGN_KEYS
 )
 REPORT_SQL = " UNION ALL ".join([f"SELECT 'foreign_keys' AS name, CASE WHEN sum(violations) > 0 THEN 'fail' ELSE 'pass' END AS status, sum(violations)::BIGINT AS violations FROM ({FK_SQL})"] + [f"SELECT '{n}', CASE WHEN violations > 0 THEN 'fail' ELSE 'pass' END, violations FROM ({s})" for n, s in CHECK_SQL.items()])
@@ -106,7 +107,7 @@ INDEX = {
     "last_run": (report.last_run, "SELECT id, status, mode, files_scanned, files_changed, started_at, coalesce(finished_at, '') AS finished_at, error_count, warning_count FROM index_runs ORDER BY id DESC LIMIT 1"),
     "stale_files": (report.stale_files, STALE_F),
     "stale_packages": (report.stale_packages, STALE_P),
-    "stale_packages_fixed": (lambda t: report.stale_packages(t, "fixed"), STALE_P + " AND false"),
+    "stale_packages_fixed": (lambda t: report.stale_packages(t, "fixed"), STALE_P_FIXED),
     "stale_symbols": (report.stale_symbols, STALE_S),
     "stale_all": (report.stale_all, f"{STALE_F} UNION ALL {STALE_P} UNION ALL {STALE_S}"),
     "package_composite_hash": (report.composite_hashes, "SELECT pf.package_id, string_agg(f.content_hash, ':' ORDER BY f.path) AS composite_hash FROM package_files pf JOIN files f ON pf.file_id = f.id GROUP BY 1"),
@@ -220,12 +221,7 @@ def generated_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def truncate_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").filter(F.octet_length("text") == F.length("text"))
-    return d.select("doc_id", compat.truncate_bytes(F.col("text"), 100).alias("short"))
-
-
-def truncate_bytes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cut of truncate_bytes over all documents, multi-byte texts too."""
+    """The first 100 bytes of every document, a character cut there repaired."""
     return table(spark, sf_dir, "documents").select("doc_id", compat.truncate_bytes(F.col("text"), 100).alias("short"))
 
 
@@ -235,13 +231,14 @@ def href_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SQL_EXTS = ", ".join(f"'{e}'" for e in _EXTS)
 _SQL_LANG = "CASE lower([{0}][doc_id % 10 + 1]) " + "{1} ELSE '' END"
+#: Whole characters that fit in 97 bytes; a character cut there is one U+FFFD.
+TRUNCATE_SQL = "SELECT doc_id, CASE WHEN strlen(text) > 100 THEN head || CASE WHEN strlen(head) < 97 THEN chr(65533) ELSE '' END || '...' ELSE text END AS short FROM (SELECT doc_id, text, substr(text, 1, list_max(list_filter(range(98), lambda k: strlen(substr(text, 1, k)) <= 97))::BIGINT) AS head FROM documents)"
 TABLE_QUERIES = {
     "content_hash": (content_hash, "SELECT doc_id, sha256(text) AS content_hash, strlen(text)::BIGINT AS size_bytes FROM documents"),
     "language_detect": (language_detect, "SELECT doc_id, " + ", ".join(_SQL_LANG.format(_SQL_EXTS, " ".join(f"WHEN '{e}' THEN '{v}'" for e, v in m.items())) + f" AS {n}" for n, m in (("core", compat.CORE_LANGUAGES), ("extended", compat.EXTENDED_LANGUAGES))) + " FROM documents"),
     "generated_flag": (generated_flag, "SELECT doc_id, (doc_id % 4 < 2 OR doc_id % 6 = 0 OR starts_with(text, '// Code generated')) AS is_generated FROM documents"),
-    "truncate_bytes": (truncate_bytes, "SELECT doc_id, CASE WHEN strlen(text) > 100 THEN substr(text, 1, 97) || '...' ELSE text END AS short FROM documents WHERE strlen(text) = length(text)"),
-    # whole characters that fit in 97 bytes; a character cut there is one U+FFFD
-    "truncate_bytes_all": (truncate_bytes_all, "SELECT doc_id, CASE WHEN strlen(text) > 100 THEN head || CASE WHEN strlen(head) < 97 THEN chr(65533) ELSE '' END || '...' ELSE text END AS short FROM (SELECT doc_id, text, substr(text, 1, list_max(list_filter(range(98), lambda k: strlen(substr(text, 1, k)) <= 97))::BIGINT) AS head FROM documents)"),
+    "truncate_bytes": (truncate_bytes, TRUNCATE_SQL),
+    "truncate_bytes_all": (truncate_bytes, TRUNCATE_SQL),
     "href_extract": (href_extract, "SELECT page_id, array_to_string(regexp_extract_all(html, 'href=\"(/[^\"]+)\"', 1), ' ') AS links FROM pages"),
 }
 

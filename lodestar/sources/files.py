@@ -26,6 +26,7 @@ class Config:
     extended_languages: bool = True
     compat: str = "reference"
     summaries: bool = True
+    summary_kinds: list[str] = field(default_factory=lambda: ["file", "package", "symbol"])
 
 
 def load_config(path: str) -> Config:
@@ -36,7 +37,20 @@ def load_config(path: str) -> Config:
 
     with open(path) as f:
         given = yaml.safe_load(f) or {}
-    return Config(**{k: v for k, v in given.items() if k in Config.__dataclass_fields__})
+    return config_of(given)
+
+
+def config_of(given: dict) -> Config:
+    """Settings as users write them: in sections (indexing, summaries) or flat. A section's `enabled` is its switch."""
+    section = lambda name: x if isinstance(x := given.get(name), dict) else {}
+    indexing, on = section("indexing"), section("summaries")
+    found = {k: v for k, v in given.items() if k in Config.__dataclass_fields__ and not isinstance(v, dict)}
+    found |= {k: indexing[o] for k, o in (("include", "include"), ("exclude", "exclude"), ("max_size", "max_file_size_bytes")) if o in indexing}
+    found |= {k: given[o] for k, o in (("max_size", "max_file_size_bytes"),) if o in given}
+    if on:
+        found["summaries"] = bool(on.get("enabled", True))
+        found["summary_kinds"] = [k for k in ("file", "package", "symbol") if on.get(k, True)]
+    return Config(**found)
 
 
 def _rows(files: DataFrame, root: str, c: Config) -> DataFrame:
@@ -53,10 +67,28 @@ def walk(spark: SparkSession, root: str, c: Config = Config()) -> DataFrame:
     root = os.path.realpath(root)
     names = ",".join(e[1:] for e in (EXTENDED_LANGUAGES if c.extended_languages else CORE_LANGUAGES))
     globs = "*.{" + names + "," + names.upper() + "}"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", globs).load(root)
-    if c.max_size > 0:
-        files = files.filter(F.col("length") <= c.max_size)
-    return _rows(files, root, c)
+    return _rows(_limited(_reader(spark).option("recursiveFileLookup", True).option("pathGlobFilter", globs).load(root), c), root, c)
+
+
+def _reader(spark: SparkSession):
+    """Files that vanish or can't be read while a job runs are left out; see listing."""
+    return spark.read.format("binaryFile").option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True)
+
+
+def _limited(files: DataFrame, c: Config) -> DataFrame:
+    return files.filter(F.col("length") <= c.max_size) if c.max_size > 0 else files
+
+
+def listing(candidates: DataFrame) -> DataFrame:
+    """Paths of candidates as listed: without content, files are not opened, so unreadable ones are there too."""
+    return candidates.select("path")
+
+
+def on_disk(spark: SparkSession, root: str) -> DataFrame:
+    """Paths of all files under root, relative to it, from the listing alone."""
+    root = os.path.realpath(root)
+    full = F.regexp_replace("path", "^[a-z]+:/+", "/")
+    return _reader(spark).option("recursiveFileLookup", True).load(root).select(F.substring(full, F.lit(len(root.rstrip("/")) + 2), F.length(full)).alias("path"))
 
 
 def stat(spark: SparkSession, root: str, paths: list[str], c: Config = Config()) -> DataFrame:
@@ -65,10 +97,7 @@ def stat(spark: SparkSession, root: str, paths: list[str], c: Config = Config())
     there = [os.path.join(root, p) for p in paths if os.path.isfile(os.path.join(root, p))]
     if not there:
         return walk(spark, root, c).limit(0)
-    files = spark.read.format("binaryFile").load(there)
-    if c.max_size > 0:
-        files = files.filter(F.col("length") <= c.max_size)
-    return _rows(files, root, c)
+    return _rows(_limited(_reader(spark).load(there), c), root, c)
 
 
 def _git(root: str, *args: str) -> str:

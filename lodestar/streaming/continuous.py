@@ -1,23 +1,80 @@
-"""Continuous indexing: new and changed files of a watched folder, one indexing run for each micro-batch."""
+"""Continuous indexing: new and changed files of a watched folder, one indexing run for each micro-batch.
+
+Spark's own file source sees each path once, so a changed file would never come again. Here a streaming source lists
+the tree and gives the paths modified since the last batch; its offset, the newest modification time it has seen, is
+kept in the checkpoint. Deleted files are taken out by a batch run.
+"""
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.streaming import StreamingQuery
 
 from lodestar.plans.indexing import index_rows
 from lodestar.plans.store import Store
-from lodestar.sources.files import Config, _rows
+from lodestar.sources.files import Config, module_path, stat
+
+SKIPPED_FOLDERS = (".git", ".lodestar")
+
+
+def modified(root: str, after: int, upto: int | None = None) -> list[tuple[str, int]]:
+    """(path, modification time in ns) of files under root changed after one time, up to another, in order of time."""
+    found = []
+    for folder, folders, names in os.walk(root):
+        folders[:] = [x for x in folders if x not in SKIPPED_FOLDERS]
+        for name in names:
+            at = os.path.join(folder, name)
+            try:
+                time = os.stat(at).st_mtime_ns
+            except OSError:
+                continue
+            if after < time and (upto is None or time <= upto):
+                found.append((os.path.relpath(at, root), time))
+    return sorted(found, key=lambda x: (x[1], x[0]))
+
+
+class TreeStreamReader(SimpleDataSourceStreamReader):
+    def __init__(self, root: str):
+        self.root = root
+
+    def initialOffset(self) -> dict:
+        return {"time": -1}
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        found = modified(self.root, start["time"])
+        return iter(found), {"time": max([start["time"], *(t for _, t in found)])}
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        return iter(modified(self.root, start["time"], end["time"]))
+
+
+class TreeSource(DataSource):
+    """format("lodestar_tree").option("root", folder): the paths of new and changed files."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "lodestar_tree"
+
+    def schema(self) -> str:
+        return "path string, modified bigint"
 
-BINARY = "path string, modificationTime timestamp, length bigint, content binary"
+    def simpleStreamReader(self, schema) -> TreeStreamReader:
+        return TreeStreamReader(os.path.realpath(self.options["root"]))
 
 
 def watch(spark: SparkSession, root: str, store: Store, checkpoint: str, config: Config = Config(), available_now: bool = True) -> StreamingQuery:
-    """A query that feeds each batch of files to the same merge as a batch run (mode incremental: nothing is deleted)."""
-    files = spark.readStream.format("binaryFile").schema(BINARY).option("recursiveFileLookup", True).load(root)
+    """A query that feeds each batch of paths to the same scan and merge as a batch run (mode incremental: nothing is deleted)."""
+    spark.dataSource.register(TreeSource)
+    paths = spark.readStream.format("lodestar_tree").option("root", root).load()
 
     def run(batch: DataFrame, _: int) -> None:
-        index_rows(batch.sparkSession, _rows(batch, root, config), store, config, mode="incremental")
+        names = sorted({r["path"] for r in batch.select("path").collect()})  # paths that changed since the last batch
+        if names:
+            index_rows(batch.sparkSession, stat(batch.sparkSession, root, names, config), store, config, mode="incremental", module_path=module_path(root))
 
-    writer = files.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    writer = paths.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")).start()
