@@ -8,8 +8,9 @@ escaped reversibly inside texts, with the spans of assistant text as the loss ma
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from collections.abc import Callable
+from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,11 +72,21 @@ def fingerprint_of(paths: list[str]) -> Column:
 
 @dataclass(frozen=True)
 class Mapping:
-    """A layout: the field paths that name it, and the canonical turns as a column expression."""
+    """A layout: the field paths that name it, the canonical turns as a column expression, and fields whose value may be null.
+
+    A null value reads as an absent field, so a layout also has the fingerprints of records in which some, but not
+    all, of its optional fields are null; those count as empty.
+    """
 
     name: str
     paths: tuple[str, ...]
     turns: Callable[[], Column]
+    optional: tuple[str, ...] = ()
+
+    def forms(self) -> list[tuple[str, ...]]:
+        gone = [g for n in range(len(self.optional) + 1) for g in combinations(self.optional, n)]
+        left = [tuple(p for p in self.paths if p not in g) for g in gone]
+        return [p for p in left if p]
 
 
 def _turn(role: str | Column, text: Column) -> Column:
@@ -95,10 +106,10 @@ MAPPINGS = (
     Mapping("turn rows", ("turns[].role", "turns[].text", "turns[].turn"), lambda: F.transform(F.array_sort("turns"), lambda t: _turn(F.coalesce(t["role"], F.lit("")), t["text"]))),
     Mapping("messages", ("messages[].content", "messages[].role"), lambda: F.transform("messages", lambda t: _turn(F.coalesce(t["role"], F.lit("")), t["content"]))),
     Mapping("from and value", ("conversations[].from", "conversations[].value"), lambda: F.transform("conversations", lambda t: _turn(F.coalesce(_renamed(t["from"]), F.lit("")), t["value"]))),
-    Mapping("prompt and response", ("prompt", "response"), lambda: F.array(_turn("user", F.col("prompt")), _turn("assistant", F.col("response")))),
-    Mapping("instruction", ("instruction", "output"), lambda: F.array(_turn("user", F.col("instruction")), _turn("assistant", F.col("output")))),
-    Mapping("instruction with input", ("input", "instruction", "output"), lambda: F.array(_turn("user", _with_input(F.col("instruction"), F.col("input"))), _turn("assistant", F.col("output")))),
-    Mapping("system, prompt and response", ("prompt", "response", "system"), lambda: F.array(_turn("system", F.col("system")), _turn("user", F.col("prompt")), _turn("assistant", F.col("response")))),
+    Mapping("prompt and response", ("prompt", "response"), lambda: F.array(_turn("user", F.col("prompt")), _turn("assistant", F.col("response"))), ("prompt", "response")),
+    Mapping("instruction", ("instruction", "output"), lambda: F.array(_turn("user", F.col("instruction")), _turn("assistant", F.col("output"))), ("instruction", "output")),
+    Mapping("instruction with input", ("input", "instruction", "output"), lambda: F.array(_turn("user", _with_input(F.col("instruction"), F.col("input"))), _turn("assistant", F.col("output"))), ("instruction", "output")),
+    Mapping("system, prompt and response", ("prompt", "response", "system"), lambda: F.array(_turn("system", F.col("system")), _turn("user", F.col("prompt")), _turn("assistant", F.col("response"))), ("prompt", "response")),
 )
 
 #: The union of all layouts, for JSON records and for tables that lack some columns.
@@ -131,11 +142,30 @@ def canonical(df: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFr
     df = df.withColumn("__fp", fingerprint(df.schema, LAYOUTS.names))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for m in reversed(mappings):
-        hit = F.col("__fp") == fingerprint_of(list(m.paths))
+        hit = F.col("__fp").isin([fingerprint_of(list(p)) for p in m.forms()])
         layout, turns = F.when(hit, F.lit(m.name)).otherwise(layout), F.when(hit, m.turns()).otherwise(turns)
     return df.withColumn("layout", layout).withColumn("turns_out", turns).drop("__fp", *LAYOUTS.names)
 
 
+def _starts(lengths: Column) -> Column:
+    """Sums of the lengths before each one. Lists grow by copying, so they are built in about sqrt(n) parts of sqrt(n)."""
+    n = F.size(lengths)
+    size = F.ceil(F.sqrt(n)).cast("int")
+
+    def sums(x: Column, start: Column) -> Column:
+        none = F.struct(start.alias("at"), F.array().cast("array<int>").alias("starts"))
+        return F.aggregate(x, none, lambda acc, v: F.struct((acc["at"] + v).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")))["starts"]
+
+    def parts(x: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), ((n - 1) / size).cast("int")), lambda k: F.slice(x, k * size + 1, size))
+
+    def joined(p: Column) -> Column:
+        totals = F.transform(p, lambda x: F.aggregate(x, F.lit(0), lambda a, v: a + v))
+        return F.flatten(F.zip_with(p, sums(totals, F.lit(0)), sums))
+
+    return F.when(n <= 0, F.array().cast("array<int>")).otherwise(let(parts(lengths), joined))
+
+
 def format_chat(df: DataFrame, id_col: str) -> DataFrame:
     """(id, layout, formatted, loss_spans) per record; spans are (start, length) in code points of formatted.
 
@@ -146,18 +176,14 @@ def format_chat(df: DataFrame, id_col: str) -> DataFrame:
     piece = lambda t: F.struct(F.concat(F.lit(START), _escape_role(t["role"]), F.lit("\n")).alias("head"), escape(t["text"]).alias("body"), (t["role"] == "assistant").alias("loss"))
     whole = shaped.withColumn("__p", F.transform("turns_out", piece))
     tail = END + "\n"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
-
-    def step(acc: Column, p: Column) -> Column:
-        at, n = acc["at"] + F.length(p["head"]), F.length(p["body"])
-        span = F.array(F.struct(at.alias("start"), n.alias("length")))
-        return F.struct((at + n + len(tail)).alias("at"), F.when(p["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+    lengths = F.transform("__p", lambda p: F.length(p["head"]) + F.length(p["body"]) + len(tail))
+    span = lambda p, at: F.when(p["loss"], F.struct((at + F.length(p["head"])).alias("start"), F.length(p["body"]).alias("length")))
 
     return whole.select(
         F.col("__id").alias(id_col),
         "layout",
         F.array_join(F.transform("__p", lambda p: F.concat(p["head"], p["body"], F.lit(tail))), "").alias("formatted"),
-        F.aggregate("__p", start, step)["spans"].alias("loss_spans"),
+        F.array_compact(F.zip_with("__p", let(lengths, _starts), span)).alias("loss_spans"),
     )
 
 

@@ -77,9 +77,12 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], bud
     weights: per level of LEVELS the weight of a name; names that are not listed weigh 1 (at least 1 each). Null
     names form a node of their own, named ''. The prefix of a leaf is the longest whose tokens stay within its
     budget; rows with equal order (repeats of one id) are told apart by tokens, and repeats that agree in both
-    are taken or left together. Texts without words cost nothing and come with every prefix they stand in.
+    are taken or left together. Texts without words cost nothing and come with every epoch, and with the prefix they
+    stand in of an epoch that is taken in part; a leaf with no words at all gives each text once. Tables without a
+    lang or source column have one node at that level.
     """
-    names = {"domain": F.coalesce(domain, F.lit("")), "lang": F.coalesce(F.col("lang"), F.lit("")), "source": F.coalesce(F.col("source"), F.lit(""))}
+    named = lambda c: F.coalesce(F.col(c), F.lit("")) if c in docs.columns else F.lit("")
+    names = {"domain": F.coalesce(domain, F.lit("")), "lang": named("lang"), "source": named("source")}
     base = docs.withColumns({f"__{k}": v for k, v in names.items()}).withColumn("__tokens", tokens_of(F.col(f"`{text}`")))
     key = ["__domain", "__lang", "__source"]
     # texts are read twice: once for their sizes, once for the rows that are taken
@@ -115,7 +118,8 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], bud
     run = W.partitionBy(*key).orderBy("__o", "__tokens").rangeBetween(W.unboundedPreceding, W.currentRow)
     last = edge.withColumn("__run", F.sum("__tokens").over(run)).filter("__run <= __left").groupBy(*key).agg(F.max(F.struct("__o", "__tokens")).alias("__last"))
     chosen = dealt(base, F.col(f"`{doc}`")).join(sent(written(cut.join(last, key, "left"), "last")), key, "left")
-    partial = F.col("__cut_b").isNull() & (F.col("__rest") > 0) | (F.col("__b") < F.col("__cut_b")) | ((F.col("__b") == F.col("__cut_b")) & (F.struct(F.col("__o"), F.col("__tokens")) <= F.col("__last")))
+    upto_last = (F.col("__b") == F.col("__cut_b")) & (F.struct(F.col("__o"), F.col("__tokens")) <= F.col("__last"))
+    partial = (F.col("__rest") > 0) & (F.col("__cut_b").isNull() | (F.col("__b") < F.col("__cut_b")) | upto_last)
     copies = F.col("__full") + F.coalesce(partial, F.lit(False)).cast("int")
     cols = [F.col(f"`{c}`") for c in docs.columns]
     return chosen.withColumn("__n", copies).filter("__n > 0").select(*cols, "__domain", "__tokens", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("__epoch"))

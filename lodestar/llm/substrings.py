@@ -23,8 +23,9 @@ from lodestar.llm.common import pieces, written
 from lodestar.llm.shingles import Ranges, sliding_min, word_hashes
 
 WINDOW, ANCHOR = 35, 6
-#: Runs in a shard, about; an anchor with more different runs than GROUP is settled by counting window hashes.
-SHARD_RUNS, GROUP = 4_000, 20_000
+#: Words in a shard's automaton, about (some 350 bytes each); an anchor whose different runs hold more than GROUP words is
+#: settled by counting window hashes, in any number of tasks.
+SHARD, GROUP = 100_000, 100_000
 RUNS = "d {doc}, th long, h long, s long, at int, n int, w int"
 
 
@@ -183,39 +184,49 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int, with_text: bool) -> Ite
         yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string())] if with_text else cols, [*names, "kept_text"] if with_text else names)
 
 
-def dedup_substrings(docs: DataFrame, doc: str = "doc_id", text: str = "text", window: int = WINDOW, with_text: bool = False) -> DataFrame:
-    """(doc, n_words, n_removed, kept_sha256[, kept_text]) per row: every copy of a repeated window goes, the first too.
+def repeated_spans(rows: DataFrame, kind: str, window: int = WINDOW) -> DataFrame:
+    """(d, th, at, n, marks, way) of runs with repeated windows; rows: d, th, t. marks: which of the n windows, null: all.
 
-    Windows are judged on the input. Rows that share an id are told apart by text; a row that comes twice repeats
-    all its windows. Texts under `window` words, empty and null ones lose nothing. Words are compared by 64-bit
-    hashes, 35 in a row, so a false match is out of reach.
+    way: "equal" for runs that come twice as a whole, "automaton", or "counted" for anchors too large for one.
     """
-    kind = docs.schema[doc].dataType.simpleString()
-    rows = docs.select(F.col(f"`{doc}`").alias("d"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("th"), F.col(f"`{text}`").alias("t"))
     runs = written(rows.mapInArrow(lambda it: _runs(it, window), RUNS.format(doc=kind)), "runs")
     again = runs.groupBy("h").agg(F.sum("w").alias("c")).filter("c > 1").select("h")
     found = written(runs.join(again, "h", "left_semi"), "repeated")
     # equal runs: two or more repeat as a whole
     each = written(found.groupBy("h", "s").agg(F.count("*").alias("c"), F.min(F.struct("d", "th", "at", "n")).alias("one")), "each")
-    groups = each.groupBy("h").agg(F.min("c").alias("least"), F.count("*").alias("g")).filter("least < 2").select("h", (F.col("g") > GROUP).alias("large"))
+    words = F.sum(F.col("one.n") + F.lit(window - 1)).alias("words")
+    groups = each.groupBy("h").agg(F.min("c").alias("least"), words).filter("least < 2").select("h", (F.col("words") > GROUP).alias("large"))
     asked = each.join(groups, "h").select("h", "s", "c", "one.*", "large")
     by_doc = asked.groupBy("d", "th").agg(F.collect_list(F.struct("h", "s", "c", "at", "n")).alias("asked"))
     once = rows.join(by_doc, rows["d"].eqNullSafe(by_doc["d"]) & (rows["th"] == by_doc["th"]), "inner").select("t", "asked")
     content = written(once.mapInArrow(lambda it: _contents(it, window), "h long, s long, c long, words binary").dropDuplicates(["h", "s"]), "content")
     content = content.join(groups, "h")
-    shards = max(1, -(-content.count() // SHARD_RUNS))
-    marked = content.filter("not large").withColumn("shard", F.pmod("h", F.lit(shards))).select("shard", "h", "s", "c", "words").groupBy("shard").applyInArrow(lambda t: _shard(t, window), "h long, s long, marks binary")
+    small = content.filter("not large")
+    shards = max(1, -(-int(small.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0]) // (8 * SHARD)))
+    marked = small.withColumn("shard", F.pmod("h", F.lit(shards))).select("shard", "h", "s", "c", "words").groupBy("shard").applyInArrow(lambda t: _shard(t, window), "h long, s long, marks binary")
     # too many different runs for one automaton: windows are counted by hash, in any number of tasks
     wins = content.filter("large").select("h", "s", "c", "words").mapInArrow(lambda it: _windows(it, window), "h long, s long, c long, i int, x long")
     often = wins.groupBy("h", "x").agg(F.sum("c").alias("all")).filter("all > 1").select("h", "x")
     hits = wins.filter("c < 2").join(often, ["h", "x"], "left_semi").groupBy("h", "s").agg(F.collect_set("i").alias("hits"))
     one_by_one = hits.select("h", "s", F.explode("hits").alias("i"))
     whole = each.filter("c > 1").select("h", "s")
-    spans = (
-        found.join(whole, ["h", "s"]).select("d", "th", "at", "n", F.lit(None).cast("binary").alias("marks"))
-        .unionByName(found.join(marked, ["h", "s"]).select("d", "th", "at", "n", "marks"))
-        .unionByName(found.join(one_by_one, ["h", "s"]).select("d", "th", (F.col("at") + F.col("i")).alias("at"), F.lit(1).alias("n"), F.lit(None).cast("binary").alias("marks")))
+    return (
+        found.join(whole, ["h", "s"]).select("d", "th", "at", "n", F.lit(None).cast("binary").alias("marks"), F.lit("equal").alias("way"))
+        .unionByName(found.join(marked, ["h", "s"]).select("d", "th", "at", "n", "marks", F.lit("automaton").alias("way")))
+        .unionByName(found.join(one_by_one, ["h", "s"]).select("d", "th", (F.col("at") + F.col("i")).alias("at"), F.lit(1).alias("n"), F.lit(None).cast("binary").alias("marks"), F.lit("counted").alias("way")))
     )
+
+
+def dedup_substrings(docs: DataFrame, doc: str = "doc_id", text: str = "text", window: int = WINDOW, with_text: bool = False) -> DataFrame:
+    """(doc, n_words, n_removed, kept_sha256[, kept_text]) per row: every copy of a repeated window goes, the first too.
+
+    Windows are judged on the input. Rows that share an id are told apart by text; a row that comes twice repeats
+    all its windows. Texts under `window` words, empty and null ones lose nothing. Words are compared by 64-bit
+    hashes, 35 in a row, so a false match is out of reach.
+    """
+    kind = docs.schema[doc].dataType.simpleString()
+    rows = docs.select(F.col(f"`{doc}`").alias("d"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("th"), F.col(f"`{text}`").alias("t"))
+    spans = repeated_spans(rows, kind, window).drop("way")
     of_doc = spans.distinct().groupBy("d", "th").agg(F.collect_list(F.struct("at", "n", "marks")).alias("spans")).withColumnsRenamed({"d": "d2", "th": "th2"})
     all_ = rows.join(of_doc, rows["d"].eqNullSafe(of_doc["d2"]) & (rows["th"] == of_doc["th2"]), "left").select("d", "t", "spans")
     out = f"d {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text

@@ -52,7 +52,7 @@ def _before(path: Column, d: Column) -> Column:
 
 
 def judge_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
-    """df with host, path, rule and verdict for its url column (same-named columns of df are replaced).
+    """df with host, path, rule and verdict for its url column; same-named columns of df stay as in_host and so on.
 
     * A rule fits its host and all subdomains of it, where the URL's path starts with the rule's path. A rule
       whose path is empty fits every path of the host; an empty path starts only with the empty path.
@@ -73,7 +73,7 @@ def judge_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str =
         F.collect_set(F.when(~dirs, F.length("__rp"))).alias("lengths"),
         F.count("*").alias("n"),
     ).first()  # a few integers: label counts, path depths and lengths that occur in rules
-    keyed = df.withColumn("__host", host_of(F.col(url))).withColumn("__path", path_of(F.col(url)))
+    keyed = df.withColumn("__host", host_of(F.col(f"`{url}`"))).withColumn("__path", path_of(F.col(f"`{url}`")))
     expression = F.concat("__rh", "__rp")
     table = r.groupBy(F.sha2(expression, 256).alias("__digest")).agg(
         F.max(F.struct(F.length(expression).alias("n"), (F.col("__action") == "block").alias("block"), expression.alias("rule"))).alias("__rule")
@@ -91,8 +91,11 @@ def judge_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str =
         .groupBy("__host", "__path")
         .agg(F.max("__rule").alias("__won"))
     )
-    out = keyed.join(found, ["__host", "__path"], "left")
-    keep = [F.col(f"`{c}`") for c in df.columns if c not in ("host", "path", "rule", "verdict")]
+    # rows without a host can meet no rule; they all have one key, so they take no part in the join
+    met = keyed.filter("__host <> ''").join(found, ["__host", "__path"], "left")
+    out = met.unionByName(keyed.filter("__host = ''").withColumn("__won", F.lit(None).cast(found.schema["__won"].dataType)))
+    own = ("host", "path", "rule", "verdict")
+    keep = [F.col(f"`{c}`").alias(f"in_{c}" if c in own else c) for c in df.columns]
     return out.select(
         *keep,
         F.col("__host").alias("host"),

@@ -163,3 +163,38 @@ def test_quality_matches_sql_where_lines_are_removed(spark):
     gone = {i for i, n in zip(got["doc_id"], got["n_frequent_words"]) if n}
     assert gone == set(range(40)) | set(range(100, 2300))
     assert (~got["kept"] & ~got["base_failed"]).any()
+
+
+def test_wordless_texts_come_with_whole_epochs_only(spark):
+    """40 texts without words and 40 of three words, two epochs: no text comes a third time."""
+    rows = [(i, None if i % 4 == 0 else " \n", "en", "s") for i in range(40)] + [(i, "a b c", "en", "s") for i in range(40, 80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    came = lambda **k: Counter(r["doc_id"] for r in mixing.mix(df, F.lit("d"), {}, **k).collect())
+    assert set(came(percent=200, max_epochs=2).values()) == {2}
+    some = came(budget=60, max_epochs=2)
+    assert sum(n for d, n in some.items() if d >= 40) == 20 and max(some.values()) == 1
+    assert came(budget=0) == {}
+    assert set(Counter(r["doc_id"] for r in mixing.mix(df.filter("doc_id < 40"), F.lit("d"), {}).collect()).values()) == {1}
+    assert mixing.mix(df.select("doc_id", "text"), F.lit("d"), {}, max_epochs=1).count() == 80
+
+
+def test_null_parts_of_flat_layouts_are_empty(spark):
+    rows = ['{"prompt":"q"}', '{"response":"a"}', '{"instruction":"q","input":"i"}', '{"system":"s","response":"a"}', '{"output":"a"}', '{"input":"i"}']
+    df = chat.from_json(spark.createDataFrame(list(enumerate(rows)), "id int, json string"))
+    back = {r["id"]: [tuple(x) for x in r["back"]] for r in chat.format_chat(df, "id").withColumn("back", chat.parse_chat(F.col("formatted"))).collect()}
+    assert back == {
+        0: [("user", "q"), ("assistant", "")], 1: [("user", ""), ("assistant", "a")], 2: [("user", "q\n\ni"), ("assistant", "")],
+        3: [("system", "s"), ("user", ""), ("assistant", "a")], 4: [("user", ""), ("assistant", "a")], 5: [("user", "i"), ("assistant", "")],
+    }
+
+
+def test_a_conversation_of_very_many_turns(spark):
+    df = spark.range(20000).select(F.lit(1).alias("id"), F.struct(F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text")).alias("t"))
+    r = chat.format_chat(df.groupBy("id").agg(F.collect_list("t").alias("turns")), "id").withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans"))).first()
+    assert len(r["loss_spans"]) == 10000 and r["loss"] == "".join(f"t{i}" for i in range(1, 20000, 2))
+
+
+def test_callers_columns_stay_beside_the_verdict(spark):
+    df = spark.createDataFrame([(1, "http://a.net/", "mine", "p"), (2, None, "other", None)], "page_id long, url string, host string, path string")
+    got = {r["page_id"]: (r["in_host"], r["in_path"], r["host"], r["verdict"]) for r in urls.judge_urls(df, urls.rule_table(spark, urls.RULES)).collect()}
+    assert got == {1: ("mine", "p", "a.net", "block"), 2: ("other", None, "", "allow")}
