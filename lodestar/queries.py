@@ -11,7 +11,7 @@ from lodestar.functions import compat
 from lodestar.operators import find, maintain, report
 from lodestar.plans import summaries
 from lodestar.plans.virtual import oracle, virtual_index
-from lodestar.samples import SAMPLES
+from lodestar.samples import GENERATED, SAMPLES
 from lodestar.session import table
 
 UP, LOW = compat.UPPER, compat.LOWER
@@ -261,6 +261,34 @@ def comment_lines(spark: SparkSession, language: str) -> DataFrame:
     return spark.createDataFrame([(i + 1, x, c) for i, (x, c) in enumerate(zip(text.split("\n"), code_lines(text, language)))], "line long, text string, is_code boolean")
 
 
+def extract_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The extractors over one source file for each document, in turn of each language, with the whole text as a comment."""
+    d = table(spark, sf_dir, "documents")
+    pick = lambda k: F.element_at(F.array(*[F.lit(v[k]) for v in GENERATED.values()]), (F.pmod("doc_id", F.lit(len(GENERATED))) + 1).cast("int"))
+    number = F.col("doc_id").cast("string")
+    plain = F.translate(F.coalesce("text", F.lit("")), "\n\r\"'`*[(", "        ")
+    made = lambda c: F.replace(F.replace(c, F.lit("{i}"), number), F.lit("{text}"), plain)
+    languages = F.array(*map(F.lit, GENERATED))
+    files = d.select(made(pick(0)).alias("path"), F.encode(made(pick(1)), "UTF-8").alias("content"), F.element_at(languages, (F.pmod("doc_id", F.lit(len(GENERATED))) + 1).cast("int")).alias("language"))
+    row = lambda what, kind, name, line, end: F.struct(F.lit(what).alias("what"), kind.alias("kind"), name.alias("name"), line.cast("long").alias("line"), end.cast("long").alias("end_line"))
+    zero = F.lit(0)
+    rows = F.concat(
+        F.transform("symbols", lambda x: row("symbol", x["symbol_kind"], x["qualified_name"], x["start_line"], x["end_line"])),
+        F.transform("refs", lambda x: row("reference", x["reference_kind"], x["raw_target_text"], x["line"], zero)),
+        F.transform("artifacts", lambda x: row("artifact", x["artifact_kind"], x["name"], zero, zero)),
+    )
+    got = extract(files, "example.com/shop")
+    return got.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("doc_id"), F.explode(rows).alias("r")).select("doc_id", "r.*")
+
+
+def _sources_sql() -> str:
+    rows = [(n, *line.split("|")) for n, (_, _, want) in enumerate(GENERATED.values()) for line in want.strip().split("\n")]
+    values = ", ".join(f"({n}, '{what}', '{kind}', '{name}', {line}, {end})" for n, what, kind, name, line, end in rows)
+    return f"SELECT doc_id, what, kind, replace(name, '{{i}}', doc_id::VARCHAR) AS name, line::BIGINT AS line, end_line::BIGINT AS end_line FROM documents JOIN (VALUES {values}) v(n, what, kind, name, line, end_line) ON doc_id % {len(GENERATED)} = n"
+
+
+TABLE_QUERIES["extract_sources"] = (extract_sources, _sources_sql())
+
 SAMPLE_QUERIES = {f"extract_{n}": (lambda spark, sf_dir, n=n: extracted(spark, n)) for n in SAMPLES} | {f"line_comment_filter_{n}": (lambda spark, sf_dir, n=n: comment_lines(spark, n)) for n in SAMPLES}
 
 

@@ -11,3 +11,235 @@ SAMPLES = {
     "lua": ("spec/orders_spec.lua", "local db = require(\"db\")\nfunction orders()\n  os.getenv(\"API_KEY\")\n  db.query(\"SELECT id FROM orders\")\n  http.request(u)\n  ngx.timer.at(0)\nend\nfunction Cart:add()\nend\nlocal TAX = 1\napp:get(\"/orders\", orders)\nfunction test_orders()\n  orders()\nend\n"),
     "go": ("cmd/shop/main.go", "package main\n\nimport \"os\"\n\ntype Store interface{ List() []string }\ntype mem struct{ n int }\n\nfunc (m *mem) List() []string { return nil }\n\n// main starts the shop.\nfunc main() {\n\thttp.HandleFunc(\"/orders\", list)\n\tos.Getenv(\"API_KEY\")\n\tdb.Query(\"SELECT id FROM orders\")\n\thttp.Get(url)\n\tgo run()\n}\nfunc TestList(t *testing.T) {}\n"),
 }
+
+#: Sources made from a number and a text (in a comment), and what each must yield: what, kind, name, first and last line.
+GENERATED = {
+    "python": ("app/mod_{i}.py", (
+        '# {text}\n'
+        'import os\n'
+        'from lib{i} import x\n'
+        "@app.get('/p{i}')\n"
+        'def load_{i}():\n'
+        "    key = os.getenv('KEY_{i}')\n"
+        '    helper_{i}(key)\n'
+        'class Box_{i}:\n'
+        '    def _open(self):\n'
+        '        pass\n'
+        'LIMIT_{i} = 3\n'
+    ), """
+symbol|function|app.mod_{i}.load_{i}|5|7
+symbol|class|app.mod_{i}.Box_{i}|8|10
+symbol|method|app.mod_{i}.Box_{i}._open|9|10
+symbol|const|app.mod_{i}.LIMIT_{i}|11|11
+symbol|decorator|app.mod_{i}.@app.get|4|4
+reference|imports|os|2|0
+reference|imports|lib{i}|3|0
+reference|registers_route|/p{i}|4|0
+reference|uses_config|KEY_{i}|6|0
+reference|calls|load_{i}|5|0
+reference|calls|helper_{i}|7|0
+reference|calls|_open|9|0
+reference|calls|app.get|4|0
+reference|calls|os.getenv|6|0
+artifact|route|GET /p{i}|0|0
+artifact|env_var|KEY_{i}|0|0
+"""),
+    "typescript": ("web/mod_{i}.ts", (
+        '// {text}\n'
+        "import { a } from 'lib{i}';\n"
+        "app.post('/p{i}', h);\n"
+        'export function load_{i}() {\n'
+        '  const key = process.env.KEY_{i};\n'
+        '  return helper_{i}(key);\n'
+        '}\n'
+        'export class Box_{i} {\n'
+        "  open_{i}() { return fetch('http://h{i}') }\n"
+        '}\n'
+    ), """
+symbol|function|web/mod_{i}.load_{i}|4|7
+symbol|class|web/mod_{i}.Box_{i}|8|10
+symbol|method|web/mod_{i}.Box_{i}.open_{i}|0|0
+reference|imports|lib{i}|2|0
+reference|registers_route|/p{i}|3|0
+reference|uses_config|KEY_{i}|5|0
+reference|invokes_external_api|http://h{i}|9|0
+reference|calls|load_{i}|4|0
+reference|calls|helper_{i}|6|0
+reference|calls|open_{i}|9|0
+reference|calls|fetch|9|0
+reference|calls|app.post|3|0
+artifact|route|POST /p{i}|0|0
+artifact|env_var|KEY_{i}|0|0
+artifact|external_service|fetch|0|0
+"""),
+    "rust": ("src/mod_{i}.rs", (
+        '// {text}\n'
+        'use lib{i}::x;\n'
+        '#[put("/p{i}")]\n'
+        'pub fn load_{i}() {\n'
+        '  env::var("KEY_{i}");\n'
+        '  helper_{i}();\n'
+        '}\n'
+        'struct Box_{i} {\n'
+        '}\n'
+        'impl Box_{i} {\n'
+        '    pub fn open_{i}(&self) {}\n'
+        '}\n'
+        'mod tests {\n'
+        '    #[test]\n'
+        '    fn test_load_{i}() {}\n'
+        '}\n'
+    ), """
+symbol|function|src::mod_{i}::load_{i}|4|7
+symbol|struct|src::mod_{i}::Box_{i}|8|9
+symbol|method|src::mod_{i}::Box_{i}::open_{i}|11|11
+symbol|module|src::mod_{i}::tests|13|0
+symbol|test|src::mod_{i}::test_load_{i}|15|15
+reference|imports|lib{i}::x|2|0
+reference|registers_route|/p{i}|3|0
+reference|uses_config|KEY_{i}|5|0
+reference|calls|put|3|0
+reference|calls|load_{i}|4|0
+reference|calls|helper_{i}|6|0
+reference|calls|open_{i}|11|0
+reference|calls|test_load_{i}|15|0
+reference|calls|env::var|5|0
+reference|tests|load_{i}|15|0
+artifact|route|PUT /p{i}|0|0
+artifact|env_var|KEY_{i}|0|0
+"""),
+    "java": ("src/Box_{i}.java", (
+        '// {text}\n'
+        'package com.p{i};\n'
+        'import lib{i}.X;\n'
+        'public class Box_{i} {\n'
+        '    static final int LIMIT_{i} = 1;\n'
+        '    @GetMapping("/p{i}")\n'
+        '    public String load_{i}() {\n'
+        '        return run_{i}(System.getenv("KEY_{i}"));\n'
+        '    }\n'
+        '    @Test\n'
+        '    public void testLoad() {\n'
+        '    }\n'
+        '}\n'
+    ), """
+symbol|class|com.p{i}.Box_{i}|4|13
+symbol|const|com.p{i}.Box_{i}.LIMIT_{i}|5|5
+symbol|method|com.p{i}.Box_{i}.load_{i}|7|9
+symbol|method|com.p{i}.Box_{i}.run_{i}|8|8
+symbol|test|com.p{i}.Box_{i}.testLoad|11|12
+reference|imports|lib{i}.X|3|0
+reference|registers_route|/p{i}|6|0
+reference|uses_config|KEY_{i}|8|0
+reference|calls|load_{i}|7|0
+reference|calls|run_{i}|8|0
+reference|calls|testLoad|11|0
+reference|calls|System.getenv|8|0
+artifact|route|GET /p{i}|0|0
+artifact|env_var|KEY_{i}|0|0
+"""),
+    "csharp": ("Api/Box_{i}.cs", (
+        '// {text}\n'
+        'namespace P{i};\n'
+        'using Lib{i};\n'
+        'public class Box_{i}\n'
+        '{\n'
+        '    [HttpGet("/p{i}")]\n'
+        '    public string Load_{i}()\n'
+        '    {\n'
+        '        return run_{i}(Environment.GetEnvironmentVariable("KEY_{i}"));\n'
+        '    }\n'
+        '}\n'
+    ), """
+symbol|class|P{i}.Box_{i}|4|11
+symbol|method|P{i}.Box_{i}.Load_{i}|7|10
+symbol|method|P{i}.Box_{i}.run_{i}|9|9
+reference|imports|Lib{i}|3|0
+reference|registers_route|GET /p{i}|6|0
+reference|uses_config|KEY_{i}|9|0
+reference|calls|run_{i}|9|0
+reference|calls|Environment.GetEnvironmentVariable|9|0
+artifact|route|GET /p{i}|0|0
+artifact|env_var|KEY_{i}|0|0
+"""),
+    "swift": ("Sources/mod_{i}.swift", (
+        '// {text}\n'
+        'import Lib{i}\n'
+        'class Box_{i} {\n'
+        '    func load_{i}() {\n'
+        '        helper_{i}(Environment.get("KEY_{i}"))\n'
+        '    }\n'
+        '}\n'
+        'func routes_{i}() {\n'
+        '    app.get("p{i}")\n'
+        '}\n'
+    ), """
+symbol|class|Sources.mod_{i}.Box_{i}|3|7
+symbol|function|Sources.mod_{i}.routes_{i}|8|10
+symbol|method|Sources.mod_{i}.Box_{i}.load_{i}|4|6
+reference|imports|Lib{i}|2|0
+reference|registers_route|GET p{i}|9|0
+reference|uses_config|KEY_{i}|5|0
+reference|calls|load_{i}|4|0
+reference|calls|helper_{i}|5|0
+reference|calls|routes_{i}|8|0
+reference|calls|Environment.get|5|0
+reference|calls|app.get|9|0
+artifact|route|GET p{i}|0|0
+artifact|env_var|KEY_{i}|0|0
+"""),
+    "lua": ("lib/mod_{i}.lua", (
+        '-- {text}\n'
+        'local m = require("lib{i}")\n'
+        'function load_{i}()\n'
+        '  helper_{i}(os.getenv("KEY_{i}"))\n'
+        'end\n'
+        'function Box_{i}:open()\n'
+        'end\n'
+        'local LIMIT_{i} = 1\n'
+    ), """
+symbol|function|lib.mod_{i}.load_{i}|3|5
+symbol|method|lib.mod_{i}.Box_{i}.open|6|7
+symbol|const|lib.mod_{i}.LIMIT_{i}|8|8
+reference|imports|lib{i}|2|0
+reference|uses_config|KEY_{i}|4|0
+reference|calls|require|2|0
+reference|calls|load_{i}|3|0
+reference|calls|helper_{i}|4|0
+reference|calls|os.getenv|4|0
+reference|calls|Box_{i}:open|6|0
+artifact|env_var|KEY_{i}|0|0
+"""),
+    "go": ("cmd/m{i}/main.go", (
+        '// {text}\n'
+        '\n'
+        'package m{i}\n'
+        '\n'
+        'import "lib{i}"\n'
+        '\n'
+        'type Box_{i} struct {\n'
+        '\tsize int\n'
+        '}\n'
+        '\n'
+        'func (b *Box_{i}) Open() int {\n'
+        '\treturn helper_{i}(os.Getenv("KEY_{i}"))\n'
+        '}\n'
+        '\n'
+        'func routes_{i}() {\n'
+        '\thttp.HandleFunc("/p{i}", h)\n'
+        '}\n'
+    ), """
+symbol|field|m{i}.Box_{i}.size|8|8
+symbol|struct|m{i}.Box_{i}|7|9
+symbol|method|m{i}.Box_{i}.Open|11|13
+symbol|function|m{i}.routes_{i}|15|17
+reference|imports|lib{i}|5|0
+reference|calls|m{i}.helper_{i}|12|0
+reference|calls|os.Getenv|12|0
+reference|calls|http.HandleFunc|16|0
+reference|registers_route|/p{i}|16|0
+reference|uses_config|KEY_{i}|12|0
+artifact|route|ANY /p{i}|0|0
+artifact|env_var|KEY_{i}|0|0
+"""),
+}
