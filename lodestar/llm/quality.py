@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import WS, WS_CLASS, let, trimmed
+from lodestar.llm.common import WS, WS_CLASS, let
 
 SYMBOLS = "#*$%&|<>"
 #: A line goes where more documents of its host hold it than both limits: this many, and this share (1 of N).
@@ -29,8 +29,15 @@ def _count_repeats(words: Column) -> Column:
         twice = F.filter(s, lambda e, k: (e["h"] == at(k + 1)) | (e["h"] == F.get(s, k - 1)["h"]))
         return let(F.sort_array(F.transform(twice, lambda e: e["i"])), lambda p: F.aggregate(F.transform(p, lambda v, k: F.least(F.lit(WINDOW), F.coalesce(F.get(p, k + 1) - v, F.lit(WINDOW)))), F.lit(0), lambda a, b: a + b))
 
+    def beside(x: Column, y: Column, at: int, n: Column) -> Column:
+        """Hashes of the first n values of x, each with the one of y that stands `at` places on."""
+        return F.zip_with(F.slice(x, F.lit(1), n), F.slice(y, F.lit(at + 1), n), lambda a, b: F.xxhash64(a, b))
+
     def windows(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(WINDOW)]))
+        """Words are hashed once; two, four and then five of them are joined."""
+        n = F.size(w)
+        joined = lambda h: beside(let(beside(h, h, 1, n - 1), lambda p: beside(p, p, 2, n - 3)), h, 4, n - 4)
+        return let(F.transform(w, lambda x: F.xxhash64(x)), joined)
 
     def counted(x: Column) -> Column:
         return F.when(F.size(F.array_distinct(x)) == F.size(x), F.lit(0)).otherwise(let(F.sort_array(F.transform(x, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), covered))
@@ -41,12 +48,12 @@ def _count_repeats(words: Column) -> Column:
 def base_stats(text: Column) -> dict[str, Column]:
     """The base figures of a text column; null counts as empty."""
     t = F.coalesce(text, F.lit(""))
-    words = F.split(trimmed(text), WS_CLASS)  # one empty word for a blank text
+    words = F.array_remove(F.split(t, WS_CLASS), "")
     lines = F.filter(F.split(t, "\n"), lambda line: F.btrim(line, F.lit(WS)) != "")
     return {
-        "n_words": F.when(trimmed(text) == "", F.lit(0)).otherwise(F.size(words)).cast("long"),
-        "word_chars": F.length(F.translate(t, WS, "")).cast("long"),
-        "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
+        "n_words": F.size(words).cast("long"),
+        "word_chars": F.length(F.array_join(words, "")).cast("long"),
+        "n_symbols": F.regexp_count(t, F.lit(f"[{SYMBOLS}]")).cast("long"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
         "n_repeat_words": _count_repeats(words).cast("long"),
     }
