@@ -1,4 +1,7 @@
-"""A training-data pipeline of five stages; each reads what the one before it wrote."""
+"""A training-data pipeline of five stages; each reads what the one before it wrote.
+
+Further columns of documents pass through all stages but the last, whatever their names. Empty tables give empty tables.
+"""
 
 from __future__ import annotations
 
@@ -10,30 +13,43 @@ from lodestar.llm.common import new_path
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that score one half or more; the model is learned from labelled rows of the training fold."""
+    """Drops documents that score one half or more; the model is learned from labelled rows of the training fold.
+
+    Null and empty texts score 0.02 and stay, repeated rows stay as often as they come. Without labels, or with none
+    that are toxic, no insult is known and only threats are dropped. Null ids in documents or labels teach nothing.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.drop_toxic(docs, toxicity.learn(toxicity.training_rows(docs, labels)))
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near duplicates."""
+    """Keeps one document of each class of near duplicates, the one with the least id; null ids come last.
+
+    Null and empty texts are equal to each other, so one of them stays; of repeated rows one stays.
+    """
     return neardup.drop_near_duplicates(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
+    """Drops documents that hold a benchmark item. Null and empty texts and items match nothing; without items all stay."""
     return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fills the token budget from the tree of sources; a document of a second epoch comes twice."""
+    """Fills the token budget from the tree of sources; a document of a second epoch comes twice.
+
+    Null languages and sources are nodes of their own. Repeated rows are taken or left together.
+    """
     domain = mixing.domain_of(F.coalesce("source", F.lit("")))
     mixed = mixing.mix(docs, domain, mixing.WEIGHTS, percent=mixing.PERCENT, max_epochs=mixing.MAX_EPOCHS, seed=mixing.SEED)
     return mixed.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes the token files and returns what is read back from them."""
+    """Writes the token files and returns what is read back from them.
+
+    Null texts are empty and have the end id alone; null ids come first; repeated rows are documents of their own.
+    """
     out = new_path(spark, "tokens")
     tokens.write_tokens(docs, out, tokens.tokenizer_path())
     return tokens.read_tokens(spark, out)
