@@ -87,13 +87,22 @@ MAX_TEXT, MAX_ENTRY = 500, 100
 
 
 def foreign_keys(t: IndexTables) -> DataFrame:
-    """(child, fk_column, violations) for each of the foreign keys: one anti join each."""
+    """(child, fk_column, violations) for each of the foreign keys: one anti join for each parent.
+
+    Values are counted before the join, so a hot parent is one row, and a child is read once for all its keys to a parent.
+    """
     parts = []
-    for child, column, parent, key, _ in FOREIGN_KEYS:
-        c = getattr(t, child).select(F.col(column).alias("v")).filter("v is not null")
-        bad = c.join(getattr(t, parent).select(F.col(key).alias("k")), F.col("v") == F.col("k"), "left_anti")
-        parts.append(bad.agg(F.count("*").alias("violations")).select(F.lit(child).alias("child"), F.lit(column).alias("fk_column"), "violations"))
-    return reduce(DataFrame.unionByName, parts)
+    for parent, key in dict.fromkeys((p, k) for _, _, p, k, _ in FOREIGN_KEYS):
+        columns: dict[str, list[str]] = {}
+        for child, column, up, _, _ in FOREIGN_KEYS:
+            if up == parent:
+                columns.setdefault(child, []).append(column)
+        named = lambda child, c: F.struct(F.lit(child).alias("child"), F.lit(c).alias("fk_column"), F.col(c).alias("v"))
+        values = [getattr(t, child).select(F.explode(F.array(*[named(child, c) for c in cs])).alias("x")).select("x.*") for child, cs in columns.items()]
+        counted = reduce(DataFrame.unionByName, values).filter("v is not null").groupBy("child", "fk_column", "v").agg(F.count("*").alias("n"))
+        parts.append(counted.join(getattr(t, parent).select(F.col(key).alias("k")), F.col("v") == F.col("k"), "left_anti").select("child", "fk_column", "n"))
+    every = t.files.sparkSession.createDataFrame([(child, column, 0) for child, column, *_ in FOREIGN_KEYS], "child string, fk_column string, n bigint")
+    return reduce(DataFrame.unionByName, parts).unionByName(every).groupBy("child", "fk_column").agg(F.sum("n").cast("long").alias("violations"))
 
 
 def _n(df: DataFrame) -> DataFrame:
