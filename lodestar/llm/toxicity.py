@@ -32,6 +32,8 @@ PREFIX = range(3, 9)
 MIN_PRECISION, MIN_BOUND, Z = 0.7, 0.4, 3.3
 #: Toxic texts that must hold a feature before it is looked at, and how many features are looked at and kept.
 MIN_SUPPORT, MAX_FEATURES = 3, 5_000
+#: Features whose counts a task holds before it sends them on.
+TALLY = 200_000
 #: Log odds that make one plain insult worth a score of one half.
 UNIT = 4.5
 
@@ -210,12 +212,20 @@ def features(word: str) -> list[str]:
 
 
 def _counts(batches: Iterator[pa.RecordBatch], only: frozenset[str] | None) -> Iterator[pa.RecordBatch]:
+    """Partial counts; they are sent on whenever TALLY features are held."""
     seen: Counter[str] = Counter()
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["feature", "n"])
+
     for b in pieces(batches, 0):
         for text in b.column(0).to_pylist():
             f = {x for w in set(_WORD.findall((text or "").lower())) for x in features(w)}
             seen.update(f if only is None else f & only)
-    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["feature", "n"])
+            if len(seen) >= TALLY:
+                yield batch()
+                seen.clear()
+    yield batch()
 
 
 def _tally(texts: DataFrame, only: frozenset[str] | None, least: int, most: int) -> dict[str, int]:
