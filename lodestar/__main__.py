@@ -100,6 +100,11 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "stats":
         size = [{"metric": "store_bytes", "key": "", "n": store.size_bytes()}]
         return _out(_rows(report.stats(t)) + size + [_local_times(r) for r in _rows(report.last_run(t))], a)
+    if a.command == "export" and a.out.endswith("/"):
+        frames = {"nodes": report.export_nodes(t), "edges": report.export_edges(t)} if a.what == "graph" else {a.what: EXPORTS[a.what](t)}
+        for name, df in frames.items():  # large exports: a folder of JSON lines for each, written by the executors
+            df.write.mode("overwrite").json(a.out + name)
+        return 0
     return _out(_query(t, a), a)
 
 

@@ -188,5 +188,6 @@ def test_command_line(spark, repo, capsys):
     assert json.loads(run("--format", "json", "index", "--since", "HEAD"))[0]["mode"] == "incremental"
     assert "symbol_id" in run("summarize", "symbol", "stock.Count") and json.loads(run("--format", "json", "summarize", "file", "shop.go"))[0]["summary_text"]
     assert run("export", "graph", "--out", str(repo / "g.json")) == "" and "nodes" in (repo / "g.json").read_text()
+    assert run("export", "graph", "--out", f"{repo}/g/") == "" and spark.read.json(f"{repo}/g/nodes").count() == spark.read.json(f"{repo}/g/nodes").select("stable_id").distinct().count() > 1
     assert cli.main(["--repo", str(root), "validate"]) == 0
     capsys.readouterr()
