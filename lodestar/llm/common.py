@@ -56,6 +56,25 @@ def trimmed(text: Column) -> Column:
     return F.btrim(F.coalesce(text, F.lit("")), F.lit(WS))
 
 
+def _holder():
+    import sys
+
+    return sys.modules.setdefault("_lodestar_held", type(sys)("_lodestar_held"))
+
+
+def held(key: str, make):
+    """make() once for each worker process, until let_go."""
+    at = _holder().__dict__.setdefault("values", {})
+    if key not in at:
+        at[key] = make()
+    return at[key]
+
+
+def let_go() -> None:
+    """Drops what tasks of another operator left in this worker, so that stages don't add up."""
+    _holder().__dict__.pop("values", None)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 1 << 22, most_rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """The batches cut into slices with at most about most_bytes of text in a column; a longer text is alone."""
     import pyarrow.compute as pc

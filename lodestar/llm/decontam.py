@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import pieces, written
+from lodestar.llm.common import let_go, pieces, written
 from lodestar.llm.shingles import Ranges, shingles, word_hashes
 
 K, THRESHOLD, RADIUS, BLOCKS = 5, 0.8, 19, 5
@@ -179,6 +179,7 @@ class Search:
 
 def _search(shared) -> Search:
     """The search over a broadcast index, set up once in each task."""
+    let_go()
     return Search(shared.value)
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import pieces, written
+from lodestar.llm.common import let_go, pieces, written
 from lodestar.llm.shingles import mix, shingles, word_hashes
 
 K, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -97,6 +97,7 @@ def shingle_set(text: str | None, k: int = K) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch], k: int, threshold: float, recall: float) -> Iterator[pa.RecordBatch]:
+    let_go()
     none = np.zeros(0, np.int64)
     for b in pieces(batches, 2):
         keys, tails, size = [], [], []

@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import new_path, pieces
+from lodestar.llm.common import held, new_path, pieces
 
 #: Ids in a block, ids after which a segment is closed, words kept in a worker's cache.
-BLOCK, SEGMENT, CACHE = 65_536, 1 << 20, 150_000
+BLOCK, SEGMENT, CACHE = 65_536, 1 << 20, 600_000
 #: The id that ends a document.
 END_ID = 2
 SCHEMA = "shard int, segment int, shard_start long, doc_ids array<long>, lengths array<long>, chunks array<struct<ids:int,offset:long,planes:array<int>>>, payload binary"
@@ -187,21 +187,11 @@ class WordEncoder:
         return out
 
 
-def _encoder(path: str) -> WordEncoder:
-    """One encoder per worker process."""
-    import sys
-
-    held = sys.modules.setdefault("_lodestar_held", type(sys)("_lodestar_held"))
-    if not hasattr(held, path):
-        setattr(held, path, WordEncoder(path))
-    return getattr(held, path)
-
-
 def _segments(batches: Iterator[pa.RecordBatch], path: str, end: int, bits: bool) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     shard, segment, start = TaskContext.get().partitionId(), 0, 0
-    encode, stop = _encoder(path), int(end).to_bytes(4, "little")
+    encode, stop = held(path, lambda: WordEncoder(path)), int(end).to_bytes(4, "little")
     docs, parts, size = [], [], 0
     schema = pa.schema([
         ("shard", pa.int32()), ("segment", pa.int32()), ("shard_start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())),

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import pieces
+from lodestar.llm.common import let_go, pieces
 
 #: The model is fitted on at most this many labelled documents, those with the smallest id hashes.
 MAX_LABELLED = 20_000
@@ -298,6 +298,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text:
 
 
 def _scored(batches: Iterator[pa.RecordBatch], weights: dict[str, float]) -> Iterator[pa.RecordBatch]:
+    let_go()
     g = Grammar(weights)
     for b in pieces(batches, 1):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g.score(x) for x in b.column(1).to_pylist()], pa.float64())], ["__id", "score"])
@@ -311,6 +312,7 @@ def score_documents(docs: DataFrame, weights: dict[str, float], doc: str = "doc_
 
 
 def _kept(batches: Iterator[pa.RecordBatch], weights: dict[str, float], at: int) -> Iterator[pa.RecordBatch]:
+    let_go()
     g = Grammar(weights)
     for b in pieces(batches, at):
         yield b.filter(pa.array([g.score(x) < 0.5 for x in b.column(at).to_pylist()], pa.bool_()))
