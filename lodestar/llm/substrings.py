@@ -25,7 +25,7 @@ from lodestar.llm.shingles import Ranges, sliding_min, word_hashes
 WINDOW, ANCHOR = 35, 6
 #: Words in a shard's automaton, about (some 350 bytes each); an anchor whose different runs hold more than GROUP words is
 #: settled by counting window hashes, in any number of tasks.
-SHARD, GROUP = 100_000, 100_000
+SHARD, GROUP = 100_000, 300_000
 RUNS = "d {doc}, th long, h long, s long, at int, n int, w int"
 
 

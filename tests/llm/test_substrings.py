@@ -29,7 +29,7 @@ def rows_of(df):
     return sorted((tuple(r) for r in df.collect()), key=str)
 
 
-@pytest.mark.parametrize(("window", "group"), [(35, 100_000), (9, 100_000), (9, 60)])
+@pytest.mark.parametrize(("window", "group"), [(35, 300_000), (9, 300_000), (9, 60)])
 def test_small(spark, monkeypatch, window, group):
     monkeypatch.setattr(substrings, "GROUP", group)
     r = random.Random(window)
