@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import chat, decontam, html, merkle, mixing, neardup, quality, substrings, tokens, toxicity, urls
+from lodestar.llm import chat, clustering, decontam, html, merkle, mixing, neardup, quality, substrings, tokens, toxicity, urls
 
 ENTRIES = {
     "op1_html_extraction": (html.op1_html_extraction, None),
@@ -15,6 +15,7 @@ ENTRIES = {
     "op8_quality_rules": (quality.op8_quality_rules, quality.SQL),
     "op9_toxicity": (toxicity.op9_toxicity, None),
     "op10_url_filters": (urls.op10_url_filters, urls.SQL),
+    "op11_centroid_clustering": (clustering.op11_centroid_clustering, clustering.SQL),
     "op13_merkle_manifest": (merkle.op13_merkle_manifest, merkle.SQL),
 }
 
