@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import chat, clustering, decontam, html, merkle, mixing, neardup, quality, substrings, tokens, toxicity, urls
+from lodestar.llm import chat, clustering, decontam, html, merkle, mixing, neardup, quality, sketches, substrings, tokens, toxicity, urls
 
 ENTRIES = {
     "op1_html_extraction": (html.op1_html_extraction, None),
@@ -16,6 +16,7 @@ ENTRIES = {
     "op9_toxicity": (toxicity.op9_toxicity, None),
     "op10_url_filters": (urls.op10_url_filters, urls.SQL),
     "op11_centroid_clustering": (clustering.op11_centroid_clustering, clustering.SQL),
+    "op12_minhash_near_dedup": (sketches.op12_minhash_near_dedup, sketches.SQL),
     "op13_merkle_manifest": (merkle.op13_merkle_manifest, merkle.SQL),
 }
 
