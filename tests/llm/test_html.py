@@ -154,3 +154,49 @@ def test_pages_at_a_cut_see_their_true_neighbours(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert all(len(x) == len(rows) for x in got) and all(x == got[0] for x in got)
     assert not any("Home | About" in x or "reserved" in x for x in got[0])
+
+
+def test_articles_keep_their_titles_and_quoted_passages():
+    page = lambda *x: html.lines_of("<body><article><h1>" + x[0] + "</h1>" + "".join(f"<p>{y}</p>" for y in x[1:]) + "</article></body>")
+    quoted = "A sentence that hundreds of articles have"
+    a, b, c = page(quoted, quoted, "the first story goes on like this for a while"), page(quoted, quoted, "the second one does not, it goes elsewhere"), page(quoted, quoted, "a third one, and it ends")
+    assert html.main_text(a, b, c) == f"{quoted}\n{quoted}\nthe first story goes on like this for a while"
+
+
+def test_weak_names_inside_articles_are_decided_by_the_neighbour():
+    page = lambda title, x: html.lines_of(f"<body><article><h1>{title} and its long story of many words</h1>{x}</article></body>")
+    text = lambda x, *other: html.main_text(page("One", x), *[page("Another", o) for o in other]).split("\n")[1:]
+    for x, line in (
+        ('<p class="alert">Beware of the dog</p>', "Beware of the dog"), ('<section id="discussion"><h2>Discussion</h2><p>Our results</p></section>', "Discussion\nOur results"), ('<div id="share"><p>share of vote</p></div>', "share of vote"),
+        ('<section class="search"><p>The search went on</p></section>', "The search went on"), ('<table class="social"><tr><td>cell</table>', "cell"), ("<header><p>lead text</p></header>", "lead text"),
+    ):
+        assert text(x) == text(x, "<p>other</p>", "<p>else</p>") == line.split("\n")
+        assert text(x, x) == text(x, "<p>other</p>", x) == []
+    assert text('<div class="comments"><p>Reader says</p></div><p class="cookie-notice">We use</p>') == []
+
+
+def test_ids_of_other_types(spark):
+    rows = [(f"p{k}", f"http://h/{k:03}", f"<p>Home</p><p>t{k}</p>") for k in range(20)] + [(None, "http://h/5", "<p>Home</p>")]
+    got = {r["page_id"]: r["text"] for r in html.extract_pages(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()}
+    assert got == {f"p{k}": f"t{k}" for k in range(20)} | {None: ""}
+
+
+def test_larger_pages_table_keeps_every_article_line():
+    """Neighbours by URL in plain Python over the 2,500 pages of the larger table, held to the standard parser."""
+    import os
+
+    import duckdb
+    import pytest
+
+    table = "/root/testdata/sf0.1/pages.parquet"
+    if not os.path.exists(table):
+        pytest.skip("no test data")
+    rows = duckdb.sql(f"select page_id, url, html from '{table}'").fetchall()
+    rows = sorted(((u.split("://", 1)[1].split("/", 1)[0].lower(), "/" + (u.split("://", 1)[1].split("/", 1) + [""])[1], i, x) for i, u, x in rows if u and "://" in u))
+    lines = [html.lines_of(x) for *_, x in rows]
+    for k, (host, path, _, page) in enumerate(rows):
+        near = sorted((j for j in (k - 1, k + 1) if 0 <= j < len(rows) and rows[j][0] == host), key=lambda j: html._nearness(rows[j][1], path), reverse=True)
+        p = Plain()
+        p.feed(page)
+        p.close()
+        assert html.main_text(lines[k], *[lines[j] for j in near]) == "\n".join(p.lines)
