@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import functools
+import heapq
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestar.schema import FOREIGN_KEYS, IndexTables
+from lodestar.schema import FOREIGN_KEYS, TABLES, IndexTables
 
 
 def changed_files(candidates: DataFrame, known: DataFrame) -> DataFrame:
@@ -87,51 +90,98 @@ def resolve(refs: DataFrame, symbols: DataFrame, compat: str = "reference") -> D
 
 
 def enclosing_symbols(refs: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(id, from_symbol_id): the innermost symbol whose lines hold a reference's line, in the same file."""
-    s = symbols.filter("start_line is not null and end_line is not null").select("file_id", F.col("id").alias("s_id"), "start_line", "end_line")
-    rows = refs.select("id", "from_file_id", "line").join(s, (F.col("from_file_id") == F.col("file_id")) & F.col("line").between(F.col("start_line"), F.col("end_line")))
-    return rows.groupBy("id").agg(F.min(F.struct(F.col("end_line") - F.col("start_line"), "s_id")).getField("s_id").alias("from_symbol_id"))
+    """(id, from_symbol_id): the innermost symbol whose lines hold a reference's line, in the same file.
+
+    Interval stabbing: symbols and references of a file are sorted by line once and swept with the symbols that are
+    open at a line, so the work is linear in both (times the log of the open symbols), however deep they nest. Null
+    lines and files, and symbols that end before they start, meet nothing; of equally long symbols the least id counts.
+    """
+    s = symbols.filter("file_id is not null and start_line <= end_line").select(F.col("file_id").alias("f"), F.col("start_line").alias("at"), F.lit(0).alias("what"), F.col("end_line").alias("last"), "id")
+    r = refs.filter("from_file_id is not null and line is not null").select(F.col("from_file_id").alias("f"), F.col("line").alias("at"), F.lit(1).alias("what"), F.lit(None).cast("long").alias("last"), "id")
+    events = s.unionByName(r).repartition("f").sortWithinPartitions("f", "at", "what")
+    return events.mapInArrow(_stabbed, "id long, from_symbol_id long")
+
+
+def _stabbed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sweeps events (file, line, 0 for a symbol or 1 for a reference, last line, id) in order."""
+    file, open_ = None, []  # the shortest open symbol first; one that has ended goes when it comes to the front
+    for b in batches:
+        ids, inside = [], []
+        for f, at, what, last, i in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if f != file:
+                file, open_ = f, []
+            if what == 0:
+                heapq.heappush(open_, (last - at, i, last))
+                continue
+            while open_ and open_[0][2] < at:
+                heapq.heappop(open_)
+            if open_:
+                ids.append(i)
+                inside.append(open_[0][1])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(inside, pa.int64())], ["id", "from_symbol_id"])
+
+
+def _without(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    return rows.join(ids, _own_key(rows, column) == F.col("k"), "left_anti")
+
+
+def _own_key(rows: DataFrame, column: str) -> Column:
+    """A foreign key column; nulls, which meet nothing, get keys of their own, so they don't land in one task."""
+    return F.coalesce(F.col(column), -1 - F.abs(F.col("id"))) if column != "id" and "id" in rows.columns else F.col(column)
+
+
+def _cut(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """rows with null in a column where it is one of ids."""
+    met = rows.join(ids.select(F.col("k").alias("__k")), _own_key(rows, column) == F.col("__k"), "left")
+    return met.withColumn(column, F.when(F.col("__k").isNull(), F.col(column))).select(*rows.columns)
+
+
+#: Tables that others point to, those that follow from others last.
+PARENTS = ("index_runs", "packages", "files", "symbols")
+
+
+def spread(t: IndexTables, own: dict[str, tuple[str, DataFrame]]) -> IndexTables:
+    """t without the rows of own (table -> column and its values k), all foreign keys followed: deletions, then nulls.
+
+    Semi-naive: the ids that go are found once for each table that others point to, from the ids of its own parents
+    alone; then every table is filtered once by the ids that its columns meet.
+    """
+    gone: dict[str, DataFrame] = {}
+    for p in PARENTS:
+        rows, parts = getattr(t, p), []
+        if p in own:
+            column, ids = own[p]
+            parts.append(ids if column == "id" else rows.join(ids, F.col(column) == F.col("k"), "left_semi").select(F.col("id").alias("k")))
+        parts += [rows.join(gone[up], F.col(c) == F.col("k"), "left_semi").select(F.col("id").alias("k")) for child, c, up, _, how in FOREIGN_KEYS if child == p and how == "cascade" and up in gone and up != p]
+        if parts:
+            gone[p] = functools.reduce(DataFrame.unionByName, parts).distinct() if len(parts) > 1 else parts[0]
+    out = {}
+    for name in TABLES:
+        rows = df = getattr(t, name)
+        if name in own:
+            df = _without(df, own[name][0], own[name][1])
+        edges = [(c, gone[up], how) for child, c, up, _, how in FOREIGN_KEYS if child == name and up in gone]
+        for c, ids, how in sorted(edges, key=lambda e: e[2] != "cascade"):
+            df = _without(df, c, ids) if how == "cascade" else _cut(df, c, ids)
+        if df is not rows:
+            out[name] = df
+    return t.replace(**out)
 
 
 def cascade(t: IndexTables, parent: str, gone: DataFrame) -> IndexTables:
     """t without the parent's rows of the given ids (column k), all foreign keys followed: deletions first, then nulls."""
-    todo = [(parent, gone.select("k").distinct())]
-    current = t
-    while todo:
-        name, ids = todo.pop(0)
-        for child, column, up, _, how in FOREIGN_KEYS:
-            if up != name:
-                continue
-            c = getattr(current, child)
-            if how == "cascade":
-                k = c.join(ids, F.col(column) == F.col("k"), "left_semi")
-                if child in ("symbols", "refs", "artifacts", "diagnostics", "packages"):
-                    todo.append((child, k.select(F.col("id").alias("k"))))
-                else:
-                    current = current.replace(**{child: c.join(ids, F.col(column) == F.col("k"), "left_anti")})
-            else:
-                m = ids.select(F.col("k").alias("__k"))
-                cut = c.join(m, F.col(column) == F.col("__k"), "left").withColumn(column, F.when(F.col("__k").isNull(), F.col(column))).select(*c.columns)
-                current = current.replace(**{child: cut})
-        own = getattr(current, name)
-        current = current.replace(**{name: own.join(ids, F.col("id") == F.col("k"), "left_anti")})
-    return current
+    return spread(t, {parent: ("id", gone.select("k").distinct())})
 
 
 def invalidate(t: IndexTables, changed: DataFrame) -> IndexTables:
     """Prepares changed files (column k) for new rows: their symbols, references and summaries go, incoming references open."""
     ids = changed.select("k").distinct()
-    t = cascade(t, "symbols", t.symbols.join(ids, F.col("file_id") == F.col("k"), "left_semi").select(F.col("id").alias("k")))
-    out = t.refs.join(ids, F.col("from_file_id") == F.col("k"), "left_anti")
-    m = ids.select(F.col("k").alias("__k"))
-    opened = out.join(m, F.col("to_file_id") == F.col("__k"), "left").withColumn("is_resolved", F.when(F.col("__k").isNotNull() & F.col("to_symbol_id").isNull(), F.lit(False)).otherwise(F.col("is_resolved"))).select(*t.refs.columns)
     packages = t.package_files.join(ids, F.col("file_id") == F.col("k"), "left_semi").select("package_id").distinct()
-    return t.replace(
-        refs=opened,
-        artifacts=t.artifacts.join(ids, F.col("file_id") == F.col("k"), "left_anti"),
-        file_summaries=t.file_summaries.join(ids, F.col("file_id") == F.col("k"), "left_anti"),
-        package_summaries=t.package_summaries.join(packages, "package_id", "left_anti").select(*t.package_summaries.columns),
-    )
+    t = spread(t, {"symbols": ("file_id", ids), "refs": ("from_file_id", ids), "artifacts": ("file_id", ids), "file_summaries": ("file_id", ids)})
+    m = ids.select(F.col("k").alias("__k"))
+    met = t.refs.join(m, _own_key(t.refs, "to_file_id") == F.col("__k"), "left")
+    opened = met.withColumn("is_resolved", F.when(F.col("__k").isNotNull() & F.col("to_symbol_id").isNull(), F.lit(False)).otherwise(F.col("is_resolved"))).select(*t.refs.columns)
+    return t.replace(refs=opened, package_summaries=t.package_summaries.join(packages, "package_id", "left_anti").select(*t.package_summaries.columns))
 
 
 def satisfied_interfaces(methods: DataFrame, required: DataFrame) -> DataFrame:

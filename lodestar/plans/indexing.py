@@ -3,19 +3,26 @@
 from __future__ import annotations
 
 import datetime
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.extract.registry import extract
-from lodestar.functions.compat import rfc3339
+from lodestar.extract.registry import scan as extract
 from lodestar.operators import maintain as m
-from lodestar.plans import summaries
-from lodestar.plans.store import Store
-from lodestar.schema import EXTENDED_SYMBOL_KINDS, SYMBOL_KINDS, IndexTables
+from lodestar.plans import changes
+from lodestar.plans.changes import COUNTED, Setting, summarised
+from lodestar.plans.store import Change, Conflict, Draft, Store
+from lodestar.schema import IndexTables
 from lodestar.sources import files as source
 
+__all__ = ["RunResult", "index", "index_rows", "reindex", "summarised"]
+
+#: Seconds by which the clocks of the driver and of the tree's file system may differ.
+CLOCKS = 2
+#: How often a run is taken up again after another one came first.
+ATTEMPTS = 5
+
 
 @dataclass(frozen=True)
 class RunResult:
@@ -49,25 +56,41 @@ def reindex(spark: SparkSession, root: str, store: Store, config: source.Config
     return index(spark, root, store, config, strict=strict)
 
 
-def index_rows(spark: SparkSession, candidates: DataFrame, store: Store, config: source.Config, mode: str = "full", module_path: str = "", commit: str = "", strict: bool = False) -> RunResult:
-    """A run over candidate rows (path, content, size_bytes, mtime, language, is_generated).
+def index_rows(spark: SparkSession, candidates: DataFrame, store: Store, config: source.Config, mode: str = "full", module_path: str = "", commit: str = "", strict: bool = False, removed: DataFrame | None = None, quiet: bool = False) -> RunResult:
+    """A run over candidate rows (path, size_bytes, mtime_ns, language, and the root to read them from, or their content).
 
-    The run's row is `running` in a marker beside the index while it lasts. A run that fails is logged as `failed`
-    with the old tables, and its error is raised. A listed file that can't be read gets a FILE_MISSING diagnostic.
+    A full run takes files that are not among the candidates for deleted; other runs only those of `removed` (path).
+    A quiet run that finds nothing new makes no version. The run's row is `running` in a marker beside the index while it lasts. A run that fails is logged as `failed`
+    with the old tables, and its error is raised. A listed file that can't be read gets a FILE_MISSING diagnostic. A
+    run that finds another one's version in its way starts again from that version, so nothing of either is lost.
     """
-    old = store.load()
-    run = store.version() + 1
-    store.set_meta("running", str(run))
+    for attempt in range(ATTEMPTS):
+        old = store.load()
+        run = store.version() + 1
+        _mark(store, str(run))
+        try:
+            return _run(spark, candidates, store, config, mode, module_path, commit, strict, removed, quiet, old, run)
+        except _StrictError:
+            raise
+        except Conflict:
+            if attempt == ATTEMPTS - 1:
+                raise
+        except Exception as e:
+            row = {"id": run, "started_at": _now(), "finished_at": _now(), "status": "failed", "mode": mode, "git_commit": commit or None, "notes": f"{type(e).__name__}: {e}"[:500]}
+            store.publish(run, {"index_runs": Change(fresh=_run_row(spark, old, row), added=1)})
+            raise
+        finally:
+            store.drop_stage()
+            _mark(store, "")
+    raise AssertionError
+
+
+def _mark(store: Store, value: str) -> None:
+    """The marker is for onlookers; another writer may be setting it at the same time."""
     try:
-        return _run(spark, candidates, store, config, mode, module_path, commit, strict, old, run)
-    except _StrictError:
-        raise
-    except Exception as e:
-        row = {"id": run, "started_at": _now(), "finished_at": _now(), "status": "failed", "mode": mode, "git_commit": commit or None, "notes": f"{type(e).__name__}: {e}"[:500]}
-        store.publish(run, old.replace(index_runs=old.index_runs.unionByName(_run_row(spark, old, row))))
-        raise
-    finally:
-        store.set_meta("running", "")
+        store.set_meta("running", value)
+    except RuntimeError:
+        pass
 
 
 class _StrictError(RuntimeError):
@@ -78,115 +101,108 @@ def _run_row(spark: SparkSession, old: IndexTables, row: dict) -> DataFrame:
     return spark.createDataFrame([tuple(row.get(c) for c in old.index_runs.columns)], old.index_runs.schema)
 
 
-def _run(spark: SparkSession, candidates: DataFrame, store: Store, config: source.Config, mode: str, module_path: str, commit: str, strict: bool, old: IndexTables, run: int) -> RunResult:
+def _ids(store: Store, old: IndexTables, first: bool) -> dict[str, int]:
+    """The greatest ids given so far; a store without such marks is asked for them."""
+    marks = store.marks(store.version()).get("ids")
+    return marks or ({} if first else {n: m.greatest(getattr(old, n)) for n in COUNTED})
+
+
+def _run(spark: SparkSession, candidates: DataFrame, store: Store, config: source.Config, mode: str, module_path: str, commit: str, strict: bool, removed: DataFrame | None, quiet: bool, old: IndexTables, run: int) -> RunResult:
+    began = datetime.datetime.now(datetime.timezone.utc)
     started = _now()
     stage = store.stage(run)
-    listed = stage(source.listing(candidates), "listed")
-    light = stage(candidates.withColumn("content_hash", F.sha2("content", 256)).drop("content"), "scanned")
-    changed = stage(m.changed_files(light, old.files), "changed")
-    scanned, n_changed = light.count(), changed.count()
-    again = changed.join(old.files.select("path"), "path", "left_semi").count()
-    unread = listed.join(light.select("path"), "path", "left_anti")
-    work = candidates.join(changed.select("path"), "path", "left_semi")
-    got = stage(extract(work, module_path), "extracted")
-
-    deleted = old.files.limit(0) if mode != "full" else m.deleted_files(old.files, listed)
+    version = store.version()
+    first = not store.manifest(version) or (not store.marks(version).get("ids") and old.files.isEmpty())
+    to = Setting(started, config.compat, commit, first, _ids(store, old, first))
+    marks = store.marks(version)
+
+    own = "root" if "root" in candidates.columns else "content"
+    found = stage(candidates.select("path", "language", "size_bytes", "mtime_ns", own), "found")
+    listed = source.listing(found)
+    todo = changes.to_scan(found, old.files, marks.get("full_from", ""))
+    scanned = stage(extract(todo, own == "root", module_path), "scanned")
+    unread = scanned.filter("not is_read").select("path").unionByName(listed.join(found.select("path"), "path", "left_anti"))
+    is_new = F.col("changed")
+    seen = scanned.agg(F.count_if(is_new), F.count_if(~F.col("is_read")), F.count_if(F.col("is_read") & ~is_new & F.col("moved"))).first()
+    n_changed, n_touched = seen[0], seen[2]
+    scanned_files = found.count() - seen[1]
+    if mode == "full":
+        deleted = m.deleted_files(old.files, listed)
+    else:
+        deleted = old.files.join(removed.select("path").distinct(), "path", "left_semi") if removed is not None else old.files.limit(0)
     n_deleted = deleted.count()
-    t = m.cascade(old, "files", deleted.select(F.col("id").alias("k"))) if n_deleted else old
-    t = _merge(t, changed, got, config, commit, stage) if n_changed else t
-    if n_changed or n_deleted:
-        t = t.replace(refs=m.resolve(t.refs, t.symbols, config.compat))
-        t = _staged(t, stage, "files", "packages", "package_files", "symbols", "refs", "artifacts")
-    if config.summaries and (n_changed or n_deleted or old.file_summaries.isEmpty()):
-        t = t.replace(**summarised(t, config.summary_kinds))
-
-    said = _diagnostics(t, got, unread, run, config, stage, m.greatest(old.diagnostics), started)
-    counts = {r[0]: r[1] for r in said.groupBy("severity").count().collect()}
-    errors, warnings = counts.get("error", 0) + counts.get("fatal", 0), counts.get("warning", 0)
-    sizes = [F.coalesce(F.sum(F.size(c)), F.lit(0)) for c in ("symbols", "refs", "artifacts")]
-    written = got.agg(*sizes).first()
-    status = "partial" if errors else "success"
-    row = {
-        "id": run, "started_at": started, "finished_at": _now(), "status": status, "mode": mode, "files_scanned": scanned, "files_changed": n_changed, "files_reparsed": again, "symbols_written": written[0],
-        "references_written": written[1], "artifacts_written": written[2], "error_count": errors, "warning_count": warnings, "git_commit": commit or None,
-    }
-    store.publish(run, t.replace(index_runs=old.index_runs.unionByName(_run_row(spark, old, row)), diagnostics=t.diagnostics.unionByName(said)))
+    # an empty local table lets the optimizer drop what would follow from deletions
+    deleted = stage(deleted.select("id", "path"), "deleted") if n_deleted else spark.createDataFrame([], "id bigint, path string")
+    if quiet and version and not (n_changed or n_deleted or seen[1]):
+        return RunResult(run, "success", mode, scanned_files, 0, 0, 0, 0, 0, 0)
+
+    again, written, ids = 0, (0, 0, 0), dict(to.ids)
+    with Draft(store, run) as draft:
+        if n_changed or n_deleted or n_touched:
+            work = changes.plan_files(scanned, n_changed, old, to, stage)
+            draft.put("files", changes.file_changes(scanned, work, deleted, old, to))
+            made = work.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_files", "n_packages", "n_symbols", "n_refs", "n_artifacts", "n_given")], F.count("known_id")).first()
+            again, written = made[6], (made[5], made[3], made[4])
+            ids |= {n: to.ids.get(n, 0) + made[k] for k, n in enumerate(COUNTED) if n != "diagnostics"}
+        says = draft.run(lambda: changes.diagnostic_changes(scanned, unread, draft.frame("files"), deleted if n_deleted else None, old, run, to, stage))
+        if n_changed or n_deleted:
+            _merge(draft, scanned, work, deleted, old, config, to, stage, made)
+        elif config.summaries and not first and old.file_summaries.isEmpty():
+            for n, df in summarised(old, config.summary_kinds).items():
+                draft.put(n, df)
+        said, rows = says.result()
+        counts = {r[0]: r[1] for r in rows.groupBy("severity").count().collect()}
+        ids["diagnostics"] = to.ids.get("diagnostics", 0) + sum(counts.values())
+        errors, warnings = counts.get("error", 0) + counts.get("fatal", 0), counts.get("warning", 0)
+        status = "partial" if errors else "success"
+        row = {
+            "id": run, "started_at": started, "finished_at": _now(), "status": status, "mode": mode, "files_scanned": scanned_files, "files_changed": n_changed, "files_reparsed": again, "symbols_written": written[0],
+            "references_written": written[1], "artifacts_written": written[2], "error_count": errors, "warning_count": warnings, "git_commit": commit or None,
+        }
+        draft.put("index_runs", Change(fresh=_run_row(spark, old, row), added=1))
+        if counts or said.put is not None:
+            draft.put("diagnostics", said)
+        marks = {"ids": ids}
+        if mode == "full":  # what was written before this moment has been read by this run or was known before
+            marks["full_from"] = (began - datetime.timedelta(seconds=CLOCKS)).strftime("%Y-%m-%dT%H:%M:%SZ")
+        draft.commit(marks)
     if strict and errors:
         raise _StrictError(f"{errors} errors while indexing")
-    return RunResult(run, status, mode, scanned, n_changed, n_deleted, written[0], written[1], errors, warnings)
-
-
-def summarised(t: IndexTables, kinds: list[str]) -> dict[str, DataFrame]:
-    """The summary tables of the given kinds, made anew; symbols of files without a clean parse have none."""
-    ok = t.files.filter("parse_status = 'ok'").select(F.col("id").alias("k"))
-    clean = t.replace(symbols=t.symbols.join(ok, F.col("file_id") == F.col("k"), "left_semi").select(*t.symbols.columns))
-    make = {"file": lambda: summaries.file_summaries(t), "package": lambda: summaries.package_summaries(t), "symbol": lambda: summaries.symbol_summaries(clean)}
-    return {f"{k}_summaries": make[k]() for k in kinds}
-
-
-def _staged(t: IndexTables, stage, *names: str) -> IndexTables:
-    return t.replace(**{n: stage(getattr(t, n), n) for n in names})
-
-
-def _merge(t: IndexTables, changed: DataFrame, got: DataFrame, config: source.Config, commit: str, stage) -> IndexTables:
-    now = _now()
-    known = t.files.join(changed.select("path"), "path", "left_semi").select(F.col("id").alias("k"))
-    t = m.invalidate(t, known)
-    head = got.select("path", "parse_status", F.col("package.*")).withColumnRenamed("language", "package_language")
-    rows = changed.join(head, "path").select(
-        "path", "language", F.col("name").alias("package_name"), F.when(F.coalesce("import_path", F.lit("")) != "", F.col("import_path")).alias("module_name"), "content_hash", "size_bytes",
-        rfc3339(F.col("mtime")).alias("last_modified_utc"), F.lit(commit or None).cast("string").alias("git_commit"), "is_generated", "parse_status",
-    )
-    files = stage(m.upsert_files(t.files, rows, now, stage), "files")
-    ids = files.join(changed.select("path"), "path", "left_semi").select("path", F.col("id").alias("file_id"))
-    # packages by directory: of the files that changed the greatest path gives name, import path and language
-    mine = m.upsert_packages(head.filter("name is not null").select("directory_path", "path", "name", "import_path", F.col("package_language").alias("language")))
-    old_p = t.packages.select("directory_path", F.col("id").alias("old_id"), F.col("created_at").alias("old_created"))
-    both = mine.drop("path").join(old_p, "directory_path", "left")
-    fresh = m.numbered(both.filter("old_id is null"), ["directory_path"], stage, m.greatest(t.packages))
-    merged = both.filter("old_id is not null").withColumn("id", F.col("old_id")).unionByName(fresh)
-    merged = merged.select("id", "name", F.when(F.col("import_path") != "", F.col("import_path")).alias("import_path"), "directory_path", "language", F.coalesce("old_created", F.lit(now)).alias("created_at"), F.lit(now).alias("updated_at"))
-    packages = stage(t.packages.join(mine.select("directory_path"), "directory_path", "left_anti").select(*t.packages.columns).unionByName(merged), "packages")
-    home = head.filter("name is not null").select("path", "directory_path").join(packages.select("directory_path", F.col("id").alias("package_id")), "directory_path").join(ids, "path")
-    links = m.link_files(t.package_files, home.select("package_id", "file_id"))
-
-    kinds = EXTENDED_SYMBOL_KINDS if config.compat == "fixed" else SYMBOL_KINDS
-    s = got.select("path", F.posexplode("symbols").alias("ordinal", "s")).select("path", "ordinal", "s.*")
-    # an illegal kind ends its file's insertions; the earlier ones stay
-    bad = s.filter(~F.col("symbol_kind").isin(kinds)).groupBy(F.col("path").alias("b_path")).agg(F.min("ordinal").alias("b_at"))
-    s = s.join(bad, F.col("path") == F.col("b_path"), "left").filter("b_at is null or ordinal < b_at").drop("b_path", "b_at")
-    s = s.join(ids, "path").join(home.select("file_id", "package_id"), "file_id", "left")
-    s = stage(m.numbered(s, ["path", "ordinal"], stage, m.greatest(t.symbols)), "new_symbols")
-    up = s.select(F.col("file_id").alias("p_file"), F.col("qualified_name").alias("p_name"), F.col("ordinal").alias("p_at"), F.col("id").alias("p_id"))
-    parent = s.filter("parent <> ''").join(up, (F.col("file_id") == F.col("p_file")) & (F.col("parent") == F.col("p_name")) & (F.col("p_at") < F.col("ordinal"))).groupBy(F.col("id").alias("c_id")).agg(F.max_by("p_id", "p_at").alias("parent_symbol_id"))
-    blank = lambda c: F.when(F.col(c) != "", F.col(c)).alias(c)
-    zero = lambda c: F.when(F.col(c) != 0, F.col(c)).alias(c)
-    new_s = s.join(parent, F.col("id") == F.col("c_id"), "left").select("id", "file_id", "package_id", "name", "qualified_name", "symbol_kind", "visibility", "parent_symbol_id", blank("signature"), blank("doc_comment"), zero("start_line"), zero("end_line"), "stable_id", F.lit(now).alias("created_at"), F.lit(now).alias("updated_at"))
-    everything = stage(t.symbols.unionByName(new_s), "all_symbols")
-    symbols = stage(m.dedup_stable_ids(everything), "symbols")
-    replaced = everything.select("id").join(symbols.select("id"), "id", "left_anti").select(F.col("id").alias("k"))
-
-    r = got.select("path", F.posexplode("refs").alias("ordinal", "r")).select("path", "ordinal", "r.*").join(ids, "path")
-    r = m.numbered(r, ["path", "ordinal"], stage, m.greatest(t.refs))
-    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
-    new_r = r.select("id", none("from_symbol_id", "long"), none("to_symbol_id", "long"), F.col("file_id").alias("from_file_id"), none("to_file_id", "long"), "reference_kind", "confidence", zero("line"), none("column_start", "long"), none("column_end", "long"), blank("raw_target_text"), F.lit(False).alias("is_resolved"), F.lit(now).alias("created_at"))
-    a = got.select("path", F.posexplode("artifacts").alias("ordinal", "a")).select("path", "ordinal", "a.*").join(ids, "path")
-    a = m.numbered(a, ["path", "ordinal"], stage, m.greatest(t.artifacts))
-    new_a = a.select("id", "artifact_kind", "name", "file_id", none("symbol_id", "long"), "data_json", "confidence", F.lit(now).alias("created_at"), F.lit(now).alias("updated_at"))
-    t = t.replace(files=files, packages=packages, package_files=links, symbols=everything, refs=t.refs.unionByName(new_r), artifacts=t.artifacts.unionByName(new_a))
-    # symbols whose stable id a later one took over: references to them are cut, their summaries go
-    t = m.cascade(t, "symbols", replaced).replace(symbols=symbols)
-    if config.compat == "fixed":
-        inner = m.enclosing_symbols(t.refs.filter("from_symbol_id is null"), symbols).withColumnsRenamed({"id": "e_id", "from_symbol_id": "e_symbol"})
-        t = t.replace(refs=t.refs.join(inner, F.col("id") == F.col("e_id"), "left").withColumn("from_symbol_id", F.coalesce("from_symbol_id", "e_symbol")).select(*t.refs.columns))
-    return t
-
-
-def _diagnostics(t: IndexTables, got: DataFrame, unread: DataFrame, run: int, config: source.Config, stage, after: int, now: str) -> DataFrame:
-    d = got.select("path", F.explode("diagnostics").alias("d")).select("path", "d.*")
-    kinds = EXTENDED_SYMBOL_KINDS if config.compat == "fixed" else SYMBOL_KINDS
-    bad = got.filter(F.exists("symbols", lambda s: ~s["symbol_kind"].isin(kinds))).select("path", F.lit("error").alias("severity"), F.lit("PARSE_ERROR").alias("code"), F.lit("illegal symbol kind").alias("message"))
-    gone = unread.select("path", F.lit("error").alias("severity"), F.lit("FILE_MISSING").alias("code"), F.concat(F.lit("cannot read file "), "path").alias("message"))
-    rows = m.numbered(d.unionByName(bad).unionByName(gone).join(t.files.select("path", F.col("id").alias("file_id")), "path", "left"), ["path", "code", "message"], stage, after)
-    out = rows.withColumn("run_id", F.lit(run).cast("long")).withColumn("created_at", F.lit(now))
-    return out.select(*[F.col(c) if c in out.columns else F.lit(None).cast(f.dataType).alias(c) for f in t.diagnostics.schema.fields for c in [f.name]])
+    return RunResult(run, status, mode, scanned_files, n_changed, n_deleted, written[0], written[1], errors, warnings)
+
+
+def _merge(draft: Draft, scanned: DataFrame, work: DataFrame, deleted: DataFrame, old: IndexTables, config: source.Config, to: Setting, stage, made) -> None:
+    """Changes of all other tables; each is written as soon as it is known, summaries from the tables as they will be."""
+    packages, links = changes.package_changes(work, deleted, old, to)
+    draft.put("packages", replace(packages, added=made[1]))
+    draft.put("package_files", links)
+    fresh = changes.new_symbols(scanned, work, to, stage)
+    gone = hits = files = None
+    symbols = Change(fresh=fresh)
+    if not to.first:
+        known = work.filter("known_id is not null").select(F.col("known_id").alias("k"), F.lit(False).alias("is_deleted"))
+        files = stage(known.unionByName(deleted.select(F.col("id").alias("k"), F.lit(True).alias("is_deleted"))), "reached")
+        gone = changes.gone_symbols(old, files, fresh, stage)
+        symbols = changes.symbol_changes(old, fresh, gone)
+    draft.put("symbols", replace(symbols, added=made[2]))
+    draft.put("artifacts", replace(changes.artifact_changes(scanned, work, old, files, gone, to), added=made[4]))
+    if not to.first:
+        names = gone.select("qualified_name").unionByName(fresh.select("qualified_name"))
+        hits = changes.ref_hits(old, files, gone, names, stage)
+    refs = changes.ref_changes(scanned, work, old, hits, fresh, draft.frame("symbols"), to, stage)
+    draft.put("refs", replace(refs, added=made[3]))
+    reached = None if to.first else stage(changes.reached_files(work, deleted, gone, refs), "reached_files")
+    t = old.replace(**{n: draft.frame(n) for n in ("files", "packages", "package_files", "symbols", "refs", "artifacts")})
+    kinds = config.summary_kinds if config.summaries else []
+    if to.first or (kinds and old.file_summaries.isEmpty()):
+        sizes = {"file_summaries": made[0], "symbol_summaries": made[2]}
+        for n, df in changes.summarised(t, kinds).items():
+            draft.put(n, Change(fresh=df, added=sizes.get(n, 0)) if to.first else df)
+        return
+    todo = {
+        "symbol_summaries": draft.run(changes.symbol_summary_change, t, hits, gone, refs, symbols, "symbol" in kinds, stage),
+        "package_summaries": draft.run(changes.package_summary_change, t, old, reached, deleted, "package" in kinds, stage),
+        "file_summaries": draft.run(changes.file_summary_change, t, reached, deleted, "file" in kinds),
+    }
+    for n, change in todo.items():
+        draft.put(n, change.result())

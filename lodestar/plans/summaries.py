@@ -88,13 +88,18 @@ def package_summaries(t: IndexTables) -> DataFrame:
     )
 
 
-def symbol_summaries(t: IndexTables) -> DataFrame:
+def symbol_summaries(t: IndexTables, only: DataFrame | None = None) -> DataFrame:
+    """Summaries of all symbols, or only of those with these ids (k)."""
     f = t.files.select(F.col("id").alias("f_id"), "content_hash")
     c = t.refs.filter("reference_kind = 'calls'")
-    out = c.filter("coalesce(raw_target_text, '') <> ''").groupBy(F.col("from_symbol_id").alias("k1")).agg(F.array_sort(F.collect_set("raw_target_text")).alias("called"))
+    made, named, back = t.symbols, c, c.filter("to_symbol_id is not null").select("from_symbol_id", "to_symbol_id")
+    if only is not None:
+        of = lambda df, column: df.join(only, F.col(column) == F.col("k"), "left_semi")
+        made, named, back = of(made, "id"), of(named, "from_symbol_id"), of(back, "to_symbol_id")
+    out = named.filter("coalesce(raw_target_text, '') <> ''").groupBy(F.col("from_symbol_id").alias("k1")).agg(F.array_sort(F.collect_set("raw_target_text")).alias("called"))
     callers = t.symbols.select(F.col("id").alias("c_id"), F.col("qualified_name").alias("caller")).filter("caller <> ''")
-    back = c.filter("to_symbol_id is not null").select("from_symbol_id", "to_symbol_id").join(callers, F.col("from_symbol_id") == F.col("c_id")).groupBy(F.col("to_symbol_id").alias("k2")).agg(F.array_sort(F.collect_set(F.concat(F.lit("called by "), "caller"))).alias("callers"))
-    rows = t.symbols.join(f, F.col("file_id") == F.col("f_id")).join(out, F.col("id") == F.col("k1"), "left").join(back, F.col("id") == F.col("k2"), "left")
+    back = back.join(callers, F.col("from_symbol_id") == F.col("c_id")).groupBy(F.col("to_symbol_id").alias("k2")).agg(F.array_sort(F.collect_set(F.concat(F.lit("called by "), "caller"))).alias("callers"))
+    rows = made.join(f, F.col("file_id") == F.col("f_id")).join(out, F.col("id") == F.col("k1"), "left").join(back, F.col("id") == F.col("k2"), "left")
     some = lambda v: F.when(F.coalesce(v, F.lit("")) != "", F.array(v)).otherwise(_none())
     related = F.concat(F.coalesce("called", _none()), F.coalesce("callers", _none()))
     intent = F.concat(some(F.col("doc_comment")), F.array(F.concat(F.col("visibility"), F.lit(" "), F.col("symbol_kind"), F.lit(" ("), F.col("name"), F.lit(")"))))

@@ -9,9 +9,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.functions.compat import CORE_LANGUAGES, EXTENDED_LANGUAGES, generated_flag, included, language_of
+from lodestar.functions.compat import included, language_of
+from lodestar.sources.tree import STATE_DIR, stats, tree
 
-STATE_DIR = ".lodestar"
+__all__ = ["STATE_DIR", "Config", "diff_files", "head_commit", "listing", "load_config", "module_path", "on_disk", "repository_root", "stat", "walk"]
 # Default globs.
 INCLUDE = ["**/*.go", "**/*.ts", "**/*.tsx", "**/*.js", "**/*.jsx", "**/*.py", "**/*.pyi", "**/*.rs", "**/*.java", "**/*.cs", "**/*.swift", "**/*.lua"]
 EXCLUDE = ["vendor/**", "node_modules/**", ".git/**", "testdata/**", "__pycache__/**", "target/**", ".venv/**", "venv/**", "build/**", "bin/**", "obj/**", ".build/**", "Packages/**"]
@@ -53,51 +54,33 @@ def config_of(given: dict) -> Config:
     return Config(**found)
 
 
-def _rows(files: DataFrame, root: str, c: Config) -> DataFrame:
-    """binaryFile rows under root -> path, content, size, mtime, language, is_generated."""
-    full = F.regexp_replace("path", "^[a-z]+:/+", "/")
-    rel = F.substring(full, F.lit(len(root.rstrip("/")) + 2), F.length(full))
-    rows = files.select(rel.alias("path"), "content", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime")).withColumn("language", language_of(F.col("path"), c.extended_languages))
-    keep = (F.col("language") != "") & included(F.col("path"), c.include, c.exclude) & ~F.col("path").rlike(rf"(^|/)(\.git|\{STATE_DIR})/")
-    return rows.filter(keep).withColumn("is_generated", generated_flag(F.col("path"), F.substring("content", 1, 256)))
+def _candidates(files: DataFrame, root: str, c: Config) -> DataFrame:
+    """Listed files -> path, size_bytes, mtime_ns, language and root of those that the settings ask for."""
+    rows = files.filter(F.col("size_bytes") <= c.max_size) if c.max_size > 0 else files
+    rows = rows.withColumn("language", language_of(F.col("path"), c.extended_languages))
+    return rows.filter((F.col("language") != "") & included(F.col("path"), c.include, c.exclude)).withColumn("root", F.lit(os.path.realpath(root)))
 
 
 def walk(spark: SparkSession, root: str, c: Config = Config()) -> DataFrame:
-    """Candidate files of a tree. The size limit is pushed into the scan, so larger files are not read."""
-    root = os.path.realpath(root)
-    names = ",".join(e[1:] for e in (EXTENDED_LANGUAGES if c.extended_languages else CORE_LANGUAGES))
-    globs = "*.{" + names + "," + names.upper() + "}"
-    return _rows(_limited(_reader(spark).option("recursiveFileLookup", True).option("pathGlobFilter", globs).load(root), c), root, c)
-
-
-def _reader(spark: SparkSession):
-    """Files that vanish or can't be read while a job runs are left out; see listing."""
-    return spark.read.format("binaryFile").option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True)
-
-
-def _limited(files: DataFrame, c: Config) -> DataFrame:
-    return files.filter(F.col("length") <= c.max_size) if c.max_size > 0 else files
+    """Candidate files of a tree, by their folder entries; no file is opened. Folders that are excluded whole are not entered."""
+    return _candidates(tree(spark, os.path.realpath(root), c.exclude), root, c)
 
 
 def listing(candidates: DataFrame) -> DataFrame:
-    """Paths of candidates as listed: without content, files are not opened, so unreadable ones are there too."""
+    """Paths of candidates as listed, also of files that turn out to be unreadable."""
     return candidates.select("path")
 
 
 def on_disk(spark: SparkSession, root: str) -> DataFrame:
     """Paths of all files under root, relative to it, from the listing alone."""
-    root = os.path.realpath(root)
-    full = F.regexp_replace("path", "^[a-z]+:/+", "/")
-    return _reader(spark).option("recursiveFileLookup", True).load(root).select(F.substring(full, F.lit(len(root.rstrip("/")) + 2), F.length(full)).alias("path"))
-
-
-def stat(spark: SparkSession, root: str, paths: list[str], c: Config = Config()) -> DataFrame:
-    """The same rows for a list of paths; missing ones and folders give none."""
-    root = os.path.realpath(root)
-    there = [os.path.join(root, p) for p in paths if os.path.isfile(os.path.join(root, p))]
-    if not there:
-        return walk(spark, root, c).limit(0)
-    return _rows(_limited(_reader(spark).load(there), c), root, c)
+    return tree(spark, os.path.realpath(root)).select("path")
+
+
+def stat(spark: SparkSession, root: str, paths: DataFrame | list[str], c: Config = Config()) -> DataFrame:
+    """The same rows as walk for given paths; missing ones and folders give none."""
+    if not isinstance(paths, DataFrame):
+        paths = spark.createDataFrame([(p,) for p in paths], "path string")
+    return _candidates(stats(paths, root), root, c)
 
 
 def _git(root: str, *args: str) -> str:

@@ -1,80 +1,77 @@
-"""Continuous indexing: new and changed files of a watched folder, one indexing run for each micro-batch.
+"""Continuous indexing: what came, changed or went in a watched folder, one indexing run for each micro-batch.
 
-Spark's own file source sees each path once, so a changed file would never come again. Here a streaming source lists
-the tree and gives the paths modified since the last batch; its offset, the newest modification time it has seen, is
-kept in the checkpoint. Deleted files are taken out by a batch run.
+Every micro-batch lists the tree, in the tasks. A stateful operator holds what each path was when it was last seen, so
+it does not matter how old a file is that was moved in, and a path that is listed no more is one that went. Paths are
+dealt out into groups; a group's row of its own in every listing makes it compare also when all of its files are gone.
 """
 
 from __future__ import annotations
 
-import os
+import time
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestar.plans.indexing import index_rows
 from lodestar.plans.store import Store
 from lodestar.sources.files import Config, module_path, stat
+from lodestar.sources.tree import tree_stream
 
-SKIPPED_FOLDERS = (".git", ".lodestar")
+#: Groups of paths, each with a state of its own; a parameter that grows with the tree and stays for a checkpoint's life.
+GROUPS = 64
+#: A file that changed so shortly before it was listed may change again within the resolution of its time.
+TICK_NS = 2_000_000_000
 
+_STATE = "paths array<string>, sizes array<bigint>, times array<bigint>"
+_CHANGE = "path string, what string"
 
-def modified(root: str, after: int, upto: int | None = None) -> list[tuple[str, int]]:
-    """(path, modification time in ns) of files under root changed after one time, up to another, in order of time."""
-    found = []
-    for folder, folders, names in os.walk(root):
-        folders[:] = [x for x in folders if x not in SKIPPED_FOLDERS]
-        for name in names:
-            at = os.path.join(folder, name)
-            try:
-                time = os.stat(at).st_mtime_ns
-            except OSError:
-                continue
-            if after < time and (upto is None or time <= upto):
-                found.append((os.path.relpath(at, root), time))
-    return sorted(found, key=lambda x: (x[1], x[0]))
 
+def compared(listed: dict[str, tuple[int, int]], known: dict[str, tuple[int, int]], now_ns: int) -> tuple[list[tuple[str, str]], dict[str, tuple[int, int]]]:
+    """What differs between a listing and the known state (path -> size, time), and the new state.
 
-class TreeStreamReader(SimpleDataSourceStreamReader):
-    def __init__(self, root: str):
-        self.root = root
+    A file whose time is about now is remembered without a time, so the next listing gives it once more.
+    """
+    out = [(p, "new" if p not in known else "changed") for p, v in listed.items() if known.get(p) != v]
+    out += [(p, "deleted") for p in known if p not in listed]
+    return out, {p: (size, at if at < now_ns - TICK_NS else -1) for p, (size, at) in listed.items()}
 
-    def initialOffset(self) -> dict:
-        return {"time": -1}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        found = modified(self.root, start["time"])
-        return iter(found), {"time": max([start["time"], *(t for _, t in found)])}
+def _compare(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    now = time.time_ns()
+    listed = {p: (int(s), int(t)) for part in parts for p, s, t in zip(part["path"], part["size_bytes"], part["mtime_ns"], strict=True) if p is not None}
+    known = {p: (s, t) for p, s, t in zip(*state.get, strict=True)} if state.exists else {}
+    out, new = compared(listed, known, now)
+    state.update(([*new], [s for s, _ in new.values()], [t for _, t in new.values()]))
+    yield pd.DataFrame(out, columns=["path", "what"])
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter(modified(self.root, start["time"], end["time"]))
 
+def tree_changes(spark: SparkSession, root: str, groups: int = GROUPS) -> DataFrame:
+    """A stream of (path, what): new, changed or deleted since the listing before."""
+    listed = tree_stream(spark, root, groups)
+    group = F.when(F.col("path").isNull(), F.col("size_bytes")).otherwise(F.pmod(F.xxhash64("path"), groups)).cast("int")
+    return listed.withColumn("g", group).groupBy("g").applyInPandasWithState(_compare, _CHANGE, _STATE, "append", GroupStateTimeout.NoTimeout)
 
-class TreeSource(DataSource):
-    """format("lodestar_tree").option("root", folder): the paths of new and changed files."""
 
-    @classmethod
-    def name(cls) -> str:
-        return "lodestar_tree"
+def watch(spark: SparkSession, root: str, store: Store, checkpoint: str, config: Config = Config(), available_now: bool = True, groups: int = GROUPS) -> StreamingQuery:
+    """A query that feeds each batch's changes to the same scan and merge as a batch run; what went is taken out.
 
-    def schema(self) -> str:
-        return "path string, modified bigint"
-
-    def simpleStreamReader(self, schema) -> TreeStreamReader:
-        return TreeStreamReader(os.path.realpath(self.options["root"]))
-
-
-def watch(spark: SparkSession, root: str, store: Store, checkpoint: str, config: Config = Config(), available_now: bool = True) -> StreamingQuery:
-    """A query that feeds each batch of paths to the same scan and merge as a batch run (mode incremental: nothing is deleted)."""
-    spark.dataSource.register(TreeSource)
-    paths = spark.readStream.format("lodestar_tree").option("root", root).load()
+    A batch without changes makes no version. A batch that is run again after a failure finds the same files, and those
+    that are indexed already are skipped by their hashes.
+    """
 
     def run(batch: DataFrame, _: int) -> None:
-        names = sorted({r["path"] for r in batch.select("path").collect()})  # paths that changed since the last batch
-        if names:
-            index_rows(batch.sparkSession, stat(batch.sparkSession, root, names, config), store, config, mode="incremental", module_path=module_path(root))
-
-    writer = paths.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+        s = batch.sparkSession
+        changes = batch.persist()
+        try:
+            if not changes.isEmpty():
+                there = stat(s, root, changes.filter("what <> 'deleted'").select("path"), config)
+                index_rows(s, there, store, config, mode="incremental", module_path=module_path(root), removed=changes.filter("what = 'deleted'").select("path"), quiet=True)
+        finally:
+            changes.unpersist()
+
+    writer = tree_changes(spark, root, groups).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")).start()
