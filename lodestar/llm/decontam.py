@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestar.llm.common import let_go, pieces, written
 from lodestar.llm.shingles import Ranges, shingles, word_hashes
@@ -62,6 +63,12 @@ def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
 
 
+def _objects(values: list) -> np.ndarray:
+    out = np.empty(len(values), object)
+    out[:] = values
+    return out
+
+
 def index_of(items: list[tuple[int, str | None]], k: int = K) -> dict[str, np.ndarray]:
     """The tables of some items: fingerprints, shingles with counts by item, and the item lengths by shingle."""
     ids, sizes, prints, values, counts, ends = [], [], [], [], [], [0]
@@ -82,7 +89,7 @@ def index_of(items: list[tuple[int, str | None]], k: int = K) -> dict[str, np.nd
     both = np.unique(np.rec.fromarrays([flat, np.repeat(size, np.diff(ends))], names="s,n"))
     known, first = np.unique(both.s, return_index=True)
     return {
-        "ids": np.array(ids, np.int64), "sizes": size, "prints": np.array(prints, np.uint64), "values": flat, "counts": np.concatenate(counts) if counts else np.zeros(0, np.int64), "ends": np.array(ends),
+        "ids": _objects(ids), "sizes": size, "prints": np.array(prints, np.uint64), "values": flat, "counts": np.concatenate(counts) if counts else np.zeros(0, np.int64), "ends": np.array(ends),
         "known": known, "first": np.append(first, len(both)), "lengths": np.array(both.n, np.int64),
     }
 
@@ -174,7 +181,7 @@ class Search:
                         sim = self.similarity(s[at : at + size], item)
                         if sim >= threshold - 1e-9 and (item not in best or (sim, -at) > (best[item][0], -best[item][1])):
                             best[item] = (sim, at)
-        return [(int(self.t["ids"][i]), at, sim) for i, (sim, at) in sorted(best.items())]
+        return [(self.t["ids"][i], at, sim) for i, (sim, at) in sorted(best.items())]
 
 
 def _search(shared) -> Search:
@@ -185,13 +192,13 @@ def _search(shared) -> Search:
 
 def _each_index(benchmark: DataFrame, item: str, text: str):
     """(broadcast index, whether more than one) over all items; an index is built when asked for."""
-    rows = benchmark.select(F.col(f"`{item}`").cast("long").alias("i"), F.col(f"`{text}`").alias("t")).filter("t is not null")
+    rows = benchmark.select(F.col(f"`{item}`").alias("i"), F.col(f"`{text}`").alias("t")).filter("t is not null")
     n = max(1, -(-int(rows.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]) // INDEX_CHARS))
     for k in range(n):
         yield benchmark.sparkSession.sparkContext.broadcast(index_of([tuple(r) for r in rows.filter(F.pmod(F.xxhash64("t"), F.lit(n)) == k).orderBy("i", "t").collect()])), n > 1
 
 
-def _found(batches: Iterator[pa.RecordBatch], index, threshold: float) -> Iterator[pa.RecordBatch]:
+def _found(batches: Iterator[pa.RecordBatch], index, kind: pa.DataType, threshold: float) -> Iterator[pa.RecordBatch]:
     names, search = ["d", "item_id", "start_word", "similarity"], _search(index)
     for b in pieces(batches, 1):
         row, items, at, sims = [], [], [], []
@@ -201,21 +208,22 @@ def _found(batches: Iterator[pa.RecordBatch], index, threshold: float) -> Iterat
                 items.append(i)
                 at.append(p)
                 sims.append(round(sim, 6))
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(items, pa.int64()), pa.array(at, pa.int64()), pa.array(sims, pa.float64())], names)
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(items, kind), pa.array(at, pa.int64()), pa.array(sims, pa.float64())], names)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc, item_id, start_word, similarity): for each row of docs and item its best window, if similar enough.
 
     Documents shorter than an item are one window. Items under five words are one shingle. Null, empty and blank
-    texts and items match nothing; items that repeat each match; repeated rows give repeated results; of windows
+    texts and items match nothing; ids of items may be null and of any type; items that repeat each match; repeated rows give repeated results; of windows
     with equal similarity the first is given.
     """
     kind = docs.schema[doc].dataType.simpleString()
     rows = docs.select(F.col(f"`{doc}`").alias("d"), F.col(f"`{text}`").alias("t"))
+    of_item = benchmark.schema[item].dataType
     found = []
     for shared, more in _each_index(benchmark, item, item_text):
-        part = rows.mapInArrow(lambda it, shared=shared: _found(it, shared, threshold), f"d {kind}, item_id long, start_word long, similarity double")
+        part = rows.mapInArrow(lambda it, shared=shared: _found(it, shared, to_arrow_type(of_item), threshold), f"d {kind}, item_id {of_item.simpleString()}, start_word long, similarity double")
         found.append(written(part, "found") if more else part)
         if more:
             shared.destroy()

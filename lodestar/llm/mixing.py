@@ -67,26 +67,32 @@ def leaf_budgets(leaves: DataFrame, budget: int | None, percent: int, max_epochs
     return _fill(s.join(lg, ["domain", "lang"]), ["domain", "lang"], "source")
 
 
-def _order(seed: int, epoch: Column, doc: Column) -> Column:
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc.cast("string"), F.lit(""))))
+def _order(seed: int, epoch: Column, doc: Column, text: Column) -> Column:
+    """The seeded place of a row: by its id and the digest of its text, as ids may be null or come again."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc.cast("string"), F.lit("")), text))
 
 
-def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], budget: int | None = None, percent: int = 100, max_epochs: int = 4, seed: int = 17, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs' rows that the budget takes, with __epoch, __domain and __tokens; a row comes once for each epoch.
+def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], budget: int | None = None, percent: int = 100, max_epochs: int = 4, seed: int = 17, doc: str = "doc_id", text: str = "text", bare: bool = False) -> DataFrame:
+    """docs' rows that the budget takes, with __epoch, __domain and __tokens (bare: without); a row comes once for each epoch.
 
     weights: per level of LEVELS the weight of a name; names that are not listed weigh 1 (at least 1 each). Null
     names form a node of their own, named ''. The prefix of a leaf is the longest whose tokens stay within its
-    budget; rows with equal order (repeats of one id) are told apart by tokens, and repeats that agree in both
-    are taken or left together. Texts without words cost nothing and come with every epoch, and with the prefix they
+    budget; rows are ordered by their seeded ids and texts, so different texts without an id or with the same one
+    have places of their own, and rows that agree in both are taken or left together. Texts without words cost nothing and come with every epoch, and with the prefix they
     stand in of an epoch that is taken in part; a leaf with no words at all gives each text once. Tables without a
     lang or source column have one node at that level.
     """
     named = lambda c: F.coalesce(F.col(c), F.lit("")) if c in docs.columns else F.lit("")
     names = {"domain": F.coalesce(domain, F.lit("")), "lang": named("lang"), "source": named("source")}
-    base = docs.withColumns({f"__{k}": v for k, v in names.items()}).withColumn("__tokens", tokens_of(F.col(f"`{text}`")))
+    # the caller's columns go under numbers, so none of their names can clash with one in here
+    cols = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]
+    base = docs.select(
+        *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], *[v.alias(f"__{k}") for k, v in names.items()],
+        tokens_of(F.col(f"`{text}`")).alias("__tokens"), F.col(f"`{doc}`").alias("__doc"), F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")).alias("__text"),
+    )
     key = ["__domain", "__lang", "__source"]
     # texts are read twice: once for their sizes, once for the rows that are taken
-    light = written(base.select(*key, F.col(f"`{doc}`").alias("__doc"), "__tokens"), "sizes")
+    light = written(base.select(*key, "__doc", F.unhex("__text").alias("__text"), "__tokens"), "sizes").withColumn("__text", F.lower(F.hex("__text")))
     sized = light.groupBy(*key).agg(F.sum("__tokens").alias("tokens"), F.count("*").alias("n"))
 
     def weight(level: str) -> Column:
@@ -103,13 +109,13 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], bud
     ), "plan")
     sent = F.broadcast if plan.count() <= BROADCAST_LEAVES else lambda x: x
 
-    def dealt(rows: DataFrame, id_: Column) -> DataFrame:
+    def dealt(rows: DataFrame) -> DataFrame:
         """Rows with their place in the partial epoch, number __full: its order, cut into buckets."""
-        x = rows.join(sent(plan), key).withColumn("__o", _order(seed, F.col("__full"), id_))
+        x = rows.join(sent(plan), key).withColumn("__o", _order(seed, F.col("__full"), F.col("__doc"), F.col("__text")))
         unit = F.conv(F.substring("__o", 1, 8), 16, 10).cast("long")
         return x.withColumn("__b", F.floor(unit * F.col("__buckets") / F.lit(1 << 32)).cast("long"))
 
-    small = dealt(light, F.col("__doc"))
+    small = dealt(light)
     sums = small.groupBy(*key, "__b").agg(F.sum("__tokens").alias("__sum"), F.first("__rest").alias("__rest"))
     upto = W.partitionBy(*key).orderBy("__b")
     cut = sums.withColumn("__end", F.sum("__sum").over(upto)).filter("__end > __rest").groupBy(*key).agg(F.min(F.struct("__b", (F.col("__rest") - F.col("__end") + F.col("__sum")).alias("left"))).alias("__cut"))
@@ -117,12 +123,12 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], bud
     edge = small.select(*key, "__b", "__o", "__tokens").join(sent(cut), key).filter("__b = __cut_b")
     run = W.partitionBy(*key).orderBy("__o", "__tokens").rangeBetween(W.unboundedPreceding, W.currentRow)
     last = edge.withColumn("__run", F.sum("__tokens").over(run)).filter("__run <= __left").groupBy(*key).agg(F.max(F.struct("__o", "__tokens")).alias("__last"))
-    chosen = dealt(base, F.col(f"`{doc}`")).join(sent(written(cut.join(last, key, "left"), "last")), key, "left")
+    chosen = dealt(base).join(sent(written(cut.join(last, key, "left"), "last")), key, "left")
     upto_last = (F.col("__b") == F.col("__cut_b")) & (F.struct(F.col("__o"), F.col("__tokens")) <= F.col("__last"))
     partial = (F.col("__rest") > 0) & (F.col("__cut_b").isNull() | (F.col("__b") < F.col("__cut_b")) | upto_last)
     copies = F.col("__full") + F.coalesce(partial, F.lit(False)).cast("int")
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    return chosen.withColumn("__n", copies).filter("__n > 0").select(*cols, "__domain", "__tokens", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("__epoch"))
+    out = chosen.withColumn("__n", copies).filter("__n > 0").withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    return out.select(*cols, *([] if bare else ["__domain", "__tokens", "__epoch"]))
 
 
 #: The query's tree: sources by domain, weights by name. Fixed values of this query.
@@ -156,7 +162,7 @@ def _fill_sql(name: str, src: str, parent: str, key: str) -> str:
 
 
 SQL = f"""
-WITH t AS (SELECT doc_id, coalesce(lang, '') AS lg, coalesce(source, '') AS src, lang, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS tok,
+WITH t AS (SELECT doc_id, md5(coalesce(text, '')) AS digest, coalesce(lang, '') AS lg, coalesce(source, '') AS src, lang, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS tok,
       {_case("coalesce(source, '')", {s: f"'{d}'" for d, n in DOMAINS.items() for s in n}, "'other'")} AS domain FROM documents),
 leaf AS (SELECT domain, lg, src, sum(tok)::BIGINT AS tokens, sum(tok)::BIGINT * {MAX_EPOCHS} AS cap FROM t GROUP BY ALL),
 root AS (SELECT least(floor(sum(cap) / {MAX_EPOCHS} * {PERCENT} / 100)::BIGINT, sum(cap))::BIGINT AS budget FROM leaf),
@@ -164,7 +170,7 @@ root AS (SELECT least(floor(sum(cap) / {MAX_EPOCHS} * {PERCENT} / 100)::BIGINT,
 {_fill_sql("lan", f"SELECT domain, lg, sum(cap)::BIGINT AS capacity, {_case('lg', WEIGHTS['lang'], '1')}::BIGINT AS weight, any_value(budget) AS budget FROM leaf JOIN (SELECT domain, budget FROM dom) USING (domain) GROUP BY domain, lg", "domain", "lg")},
 {_fill_sql("sou", f"SELECT domain, lg, src, tokens, cap AS capacity, {_case('src', WEIGHTS['source'], '1')}::BIGINT AS weight, budget FROM leaf JOIN (SELECT domain, lg, budget FROM lan) USING (domain, lg)", "domain, lg", "src")},
 plan AS (SELECT domain, lg, src, CASE WHEN tokens > 0 THEN budget // tokens ELSE 1 END AS n_full, CASE WHEN tokens > 0 THEN budget % tokens ELSE 0 END AS rest FROM sou),
-o AS (SELECT t.*, n_full, rest, sum(tok) OVER (PARTITION BY domain, lg, src ORDER BY md5('{SEED}|' || n_full || '|' || coalesce(doc_id::VARCHAR, '')), tok RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM t JOIN plan USING (domain, lg, src)),
+o AS (SELECT t.*, n_full, rest, sum(tok) OVER (PARTITION BY domain, lg, src ORDER BY md5('{SEED}|' || n_full || '|' || coalesce(doc_id::VARCHAR, '') || '|' || digest), tok RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM t JOIN plan USING (domain, lg, src)),
 k AS (SELECT *, n_full + CASE WHEN rest > 0 AND run <= rest THEN 1 ELSE 0 END AS n FROM o)
 SELECT doc_id, unnest(range(n))::BIGINT AS epoch, domain, lang, source, tok AS n_tokens FROM k WHERE n > 0
 """

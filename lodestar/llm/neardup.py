@@ -327,11 +327,12 @@ def jaccard_join(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: in
 
 def drop_near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each class stays, one with the least id; all columns stay. Of equal rows one stays."""
-    keep = classes(docs, doc, text)[1].filter("kept").select(F.col("t").alias("__t"), F.col("rep").alias("__rep"), (F.col("n_rep") > 1).alias("__many"))
-    rows = docs.withColumn("__own", _digest(text))
-    kept = rows.join(keep, (F.col("__own") == F.col("__t")) & F.col(f"`{doc}`").eqNullSafe(F.col("__rep")))
-    one = kept.filter("not __many").unionByName(kept.filter("__many").dropDuplicates(["__t"]))
-    return one.select(*[F.col(f"`{c}`") for c in docs.columns])
+    keep = classes(docs, doc, text)[1].filter("kept").select("t", "rep", (F.col("n_rep") > 1).alias("many"))
+    # the caller's columns go under numbers, so none of their names can clash with one in here
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], _digest(text).alias("own"))
+    kept = rows.join(keep, (F.col("own") == F.col("t")) & F.col(f"c{docs.columns.index(doc)}").eqNullSafe(F.col("rep")))
+    one = kept.filter("not many").unionByName(kept.filter("many").dropDuplicates(["t"]))
+    return one.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

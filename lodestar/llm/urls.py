@@ -73,7 +73,8 @@ def judge_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str =
         F.collect_set(F.when(~dirs, F.length("__rp"))).alias("lengths"),
         F.count("*").alias("n"),
     ).first()  # a few integers: label counts, path depths and lengths that occur in rules
-    keyed = df.withColumn("__host", host_of(F.col(f"`{url}`"))).withColumn("__path", path_of(F.col(f"`{url}`")))
+    # the caller's columns go under numbers, so none of their names can clash with one in here
+    keyed = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)], host_of(F.col(f"`{url}`")).alias("__host"), path_of(F.col(f"`{url}`")).alias("__path"))
     expression = F.concat("__rh", "__rp")
     table = r.groupBy(F.sha2(expression, 256).alias("__digest")).agg(
         F.max(F.struct(F.length(expression).alias("n"), (F.col("__action") == "block").alias("block"), expression.alias("rule"))).alias("__rule")
@@ -94,8 +95,15 @@ def judge_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str =
     # rows without a host can meet no rule; they all have one key, so they take no part in the join
     met = keyed.filter("__host <> ''").join(found, ["__host", "__path"], "left")
     out = met.unionByName(keyed.filter("__host = ''").withColumn("__won", F.lit(None).cast(found.schema["__won"].dataType)))
-    own = ("host", "path", "rule", "verdict")
-    keep = [F.col(f"`{c}`").alias(f"in_{c}" if c in own else c) for c in df.columns]
+    own, names = ("host", "path", "rule", "verdict"), []
+    taken = {*own, *(c.lower() for c in df.columns)}
+    for c in df.columns:
+        name = f"in_{c}" if c.lower() in own else c
+        while name != c and name.lower() in taken:
+            name = f"in_{name}"
+        taken.add(name.lower())
+        names.append(name)
+    keep = [F.col(f"c{i}").alias(c) for i, c in enumerate(names)]
     return out.select(
         *keep,
         F.col("__host").alias("host"),

@@ -94,3 +94,13 @@ def test_empty(spark):
     d, b = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     one = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert decontam.contaminated(d, b).count() == 0 and decontam.contaminated(one, b).count() == 0 and decontam.drop_contaminated(one, b).count() == 1
+
+
+def test_item_ids_may_be_null_or_text(spark):
+    item = " ".join(f"q{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, f"a b c {item} d e"), (2, "clean text of some words here")], "doc_id long, text string")
+    for ids, kind in (((None, 5), "long"), (("hellaswag-1", None), "string")):
+        items = spark.createDataFrame([(ids[0], item), (ids[1], item), (None, None)], f"item_id {kind}, text string")
+        got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, items).collect()}
+        assert got == {(1, ids[0]), (1, ids[1])}
+        assert [r["doc_id"] for r in decontam.drop_contaminated(docs, items).collect()] == [2]

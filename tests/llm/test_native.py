@@ -130,10 +130,10 @@ def test_prefixes_epochs_and_hot_leaf(spark, monkeypatch):
     for r in out:
         spent[r["source"]] += r["__tokens"]
     assert spent[None] == 90 and 780 <= spent["big"] <= 810  # the small leaf is exhausted after three epochs
-    order = lambda e, d: hashlib.md5(f"17|{e}|{d}".encode()).hexdigest()
-    took = {r["doc_id"] for r in out if r["source"] == "big"}
-    last = max(order(0, d) for d in took)
-    assert all(order(0, r[0]) >= last or r[0] in took for r in rows if r[3] == "big")
+    order = lambda e, d, t: hashlib.md5(f"17|{e}|{d}|{hashlib.md5(t.encode()).hexdigest()}".encode()).hexdigest()
+    took = {(r["doc_id"], r["text"]) for r in out if r["source"] == "big"}
+    last = max(order(0, *d) for d in took)
+    assert all(order(0, *r[:2]) >= last or r[:2] in took for r in rows if r[3] == "big")
 
 
 def test_repeated_rows_count_once_for_line_frequency(spark):
@@ -198,3 +198,32 @@ def test_callers_columns_stay_beside_the_verdict(spark):
     df = spark.createDataFrame([(1, "http://a.net/", "mine", "p"), (2, None, "other", None)], "page_id long, url string, host string, path string")
     got = {r["page_id"]: (r["in_host"], r["in_path"], r["host"], r["verdict"]) for r in urls.judge_urls(df, urls.rule_table(spark, urls.RULES)).collect()}
     assert got == {1: ("mine", "p", "a.net", "block"), 2: ("other", None, "", "allow")}
+
+
+def test_clashing_columns_stay_apart(spark):
+    df = spark.createDataFrame([("http://a.net/x", "h", "i", "p", "w", "c")], "url string, host string, in_host string, `__path` string, `__won` string, c0 string")
+    got = urls.judge_urls(df, urls.rule_table(spark, urls.RULES)).collect()[0].asDict()
+    assert got == {"url": "http://a.net/x", "in_in_host": "h", "in_host": "i", "__path": "p", "__won": "w", "c0": "c", "host": "a.net", "path": "/x", "rule": "net/", "verdict": "block"}
+    rows = [(i, " ".join(["w"] * 10), "en", "s", "own") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, `__tokens` string")
+    for c in ("__domain", "__lang", "__o", "__doc", "__text", "c1", "tokens", "budget"):
+        docs = docs.withColumn(c, F.lit("own"))
+    out = mixing.mix(docs, F.lit("d"), {}, percent=50, max_epochs=1, bare=True)
+    assert out.columns == docs.columns and len(out.collect()) == 5 and out.filter("`__tokens` = 'own' and `__o` = 'own' and c1 = 'own'").count() == 5
+
+
+def test_rows_without_ids_are_mixed_one_by_one(spark):
+    rows = [(None, f"text number {i} has six words", "en", "s") for i in range(60)] + [(7, f"other text {i} of seven words", "en", "t") for i in range(60)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), F.lit("d"), {}, percent=50, max_epochs=1).collect()
+    assert Counter(r["doc_id"] for r in got) == {None: 30, 7: 30} and len({r["text"] for r in got}) == 60
+
+
+def test_mixed_query_matches_sql_without_ids(spark, tmp_path):
+    import duckdb
+    from conftest import same
+
+    rows = [(None if i % 3 else i % 5, None if i % 17 == 0 else f"text {i // 2} " * (i % 7), ["en", "fr", None][i % 3], f"src{i % 4}" if i % 11 else None) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert same(mixing.op2_mix_sources(spark, f"file://{tmp_path}").toPandas(), con.execute(mixing.SQL).fetchdf())

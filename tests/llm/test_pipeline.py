@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+from pyspark.sql import functions as F
 from test_decontam import brute as leaks
 from test_neardup import brute as classes
 
@@ -74,3 +75,16 @@ def test_stages_on_empty_tables(spark, tmp_path):
         out = stage(spark, docs.limit(0), sf)
         assert out.count() == 0 and (name == "token ids" or out.columns == docs.columns)
         assert stage(spark, docs, sf).count() > 0
+
+
+def test_columns_pass_through_whatever_their_names(spark, tmp_path):
+    sf, docs = side_tables(spark, tmp_path, empty=False), odd_rows(spark)
+    odd = ["__own", "__t", "__many", "__rep", "__tokens", "__domain", "__lang", "__o", "__text", "t", "own", "rep", "k", "c0", "d"]
+    for c in odd:
+        docs = docs.withColumn(c, F.lit("own " + c))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == "own " + c for r in rows for c in odd), name
+    assert len(corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()) == docs.count()
