@@ -41,8 +41,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Null languages and sources are nodes of their own. Repeated rows are taken or left together.
     """
     domain = mixing.domain_of(F.coalesce("source", F.lit("")))
-    mixed = mixing.mix(docs, domain, mixing.WEIGHTS, percent=mixing.PERCENT, max_epochs=mixing.MAX_EPOCHS, seed=mixing.SEED)
-    return mixed.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return mixing.mix(docs, domain, mixing.WEIGHTS, percent=mixing.PERCENT, max_epochs=mixing.MAX_EPOCHS, seed=mixing.SEED, bare=True)
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
