@@ -3,9 +3,11 @@
 A lexical transducer, a letter trie, turns each word into a class: insult with a learned weight, threat, you and
 them (targets), intent, negation, report or quote. Four small transducers are composed with it: negation marks what
 stands in its scope, reported speech marks what follows a report or stands in quotes, target marks insults that
-are addressed, threat joins a threat with its target and intent. The scoring transducer weighs the marked insults
+are addressed, threat joins a threat with the one it is for: an object beside the verb, or the subject of a passive,
+and an intent before it; a verb with any other object is none. The scoring transducer weighs the marked insults
 of a clause, and the threat's final states weigh the clause itself. compose() multiplies them into one
-deterministic machine, so a clause is one walk; it is scored as a whole, not by isolated words.
+deterministic machine, so a clause is one walk; it is scored as a whole, not by isolated words. Insults of a text add
+up, threats do not: the worst one counts, so that many clauses that only tell of violence are no threat.
 
 Insult words and word beginnings are learned from labelled documents; the other classes are closed word lists.
 """
@@ -42,13 +44,19 @@ THREAT = (
     "kill killed kills killing murder murdered murdering hurt hurts destroy destroyed crush crushed beat beaten attack attacked shoot shot shooting stab stabbed burn burned burnt burning punish punished strangle strangled hang hanged lynch lynched bomb bombed slaughter slaughtered exterminate exterminated "
     "tuer tue tuerai frapper frapperai brûler brûlé étrangler égorger töten töte umbringen schlagen erschießen erschossen verbrennen verbrannt erstechen matar mataré matarte golpear golpearé quemar quemado disparar"
 ).split()
-YOU = "you your yours yourself u ya vous vos votre tu toi te ton ta tes du dich dir dein deine ihr euch euer tú ti usted ustedes vosotros".split()
-THEM = "he she they him her them his their these those people all everyone everybody il elle ils elles lui eux leur leurs er ihn ihm sie ihnen diese jene alle él ella ellos ellas les esos esas todos".split()
+YOU = "you u ya yourself yourselves tu du tú usted ustedes vosotros".split()
+OBJECT = "vous te toi dich dir euch ti".split()
+THEM = "he she they him her them people everyone everybody il elle ils elles lui eux leur er ihn ihm sie ihnen jene él ella ellos ellas".split()
+THEIRS = "your yours vos votre ton ta tes dein deine ihr euer his their these those all leurs diese alle les esos esas todos".split()
+SELF = "i i'm i'd we je nous ich wir yo nosotros".split()
 INTENT = "will would shall should must gonna going want wants hope deserve deserves ought let need needs i'll we'll they'll vais allons devrait devraient dois doit faut mérite méritent werde werden soll sollen sollte sollten muss müssen verdient voy vamos debe deben debería deberían merece merecen quiero".split()
+PASSIVE = "be been being get être ser".split()
 NEGATION = "not no never isn't aren't wasn't weren't don't doesn't didn't won't wouldn't can't couldn't nobody neither nor without cannot pas jamais aucun aucune ni sans nicht kein keine keinen keiner nie niemals nunca ningún ninguna tampoco sin".split()
 REPORT = "said says say saying called calls call calling wrote writes quoted quote quotes reported reports claimed claims according accused dit disait disent écrit écrivait appelé selon sagte sagt sagen schrieb schreibt nannte laut dijo dice dicen escribió escribe llamó según".split()
 
-CLASSES = ("other", "insult", "threat", "you", "them", "intent", "negation", "report", "quote")
+CLASSES = ("other", "insult", "threat", "you", "object", "them", "theirs", "self", "intent", "passive", "negation", "report", "quote")
+#: Each class's word list; where a word stands in two, the later one counts.
+LISTS = {"report": REPORT, "negation": NEGATION, "intent": INTENT, "passive": PASSIVE, "self": SELF, "theirs": THEIRS, "them": THEM, "object": OBJECT, "you": YOU, "threat": THREAT}
 #: Words a negation reaches, and what is left of an insult's weight when marked so.
 NEGATED_FOR = 3
 FACTORS = {"negated": 0.5, "reported": 0.6, "targeted": 1.25}
@@ -96,15 +104,58 @@ def reported_speech() -> Transducer:
 
 def target() -> Transducer:
     """State 1: somebody is addressed or spoken of."""
-    to = {c: (1, frozenset()) for c in ("you", "them")}
+    to = {c: (1, frozenset()) for c in ("you", "object", "them", "theirs")}
     return Transducer({0: to, 1: to | {"insult": (1, frozenset(["targeted"]))}})
 
 
+#: Words that may stand between a threat and its object, and between a passive or an object before the verb and the threat.
+AFTER, BEFORE = 2, 1
+
+
+def threat_step(state: tuple, c: str) -> tuple:
+    """(intent, self, subject, passive, before, after, result): what a clause has shown so far; the three middle ones are countdowns.
+
+    result is 2 for a threat to the reader, or an intended one to others, and 1 for one that is only told.
+    """
+    intent, self_, subject, passive, before, after, result = state
+    if c == "quote" or result == 2:
+        return state
+    was_passive, was_before, was_after = passive, before, after
+    passive, before, after = max(0, passive - 1), max(0, before - 1), max(0, after - 1)
+    if c == "threat":
+        result = 2 if was_passive or was_before and (intent or self_) else result
+        after = AFTER + 1
+    elif c in ("you", "object"):
+        if was_after:
+            result = 2 if intent or self_ else 1
+        subject, before = 1, BEFORE + 1 if c == "object" else before
+    elif c == "them":
+        if was_after:
+            result = 2 if intent else 1
+        subject = 1
+    elif c == "intent":
+        intent, before = 1, was_before
+    elif c == "self":
+        self_ = 1
+    elif c == "passive" and subject and intent:
+        passive = BEFORE + 1
+    return (0,) * 6 + (2,) if result == 2 else (intent, self_, subject, passive, before, after, result)
+
+
 def threat() -> Transducer:
-    """States: a set of bits, 1 threat, 2 you, 4 them, 8 intent. Negated and reported threats don't count."""
-    bits = {"threat": 1, "you": 2, "them": 4, "intent": 8}
-    final = {n: THREATENED if n & 3 == 3 or n & 13 == 13 else TOLD for n in range(16) if n & 3 == 3 or n & 5 == 5}
-    return Transducer({n: {c: (n | b, frozenset()) for c, b in bits.items()} for n in range(16)}, final, frozenset(["negated", "reported"]))
+    """The states of threat_step by number. Negated and reported threats don't count."""
+    start = (0,) * 7
+    numbers, todo, arcs = {start: 0}, [start], {}
+    for state in todo:
+        row = {}
+        for c in CLASSES:
+            to = threat_step(state, c)
+            if to not in numbers:
+                numbers[to] = len(numbers)
+                todo.append(to)
+            row[c] = (numbers[to], frozenset())
+        arcs[numbers[state]] = row
+    return Transducer(arcs, {n: THREATENED if state[6] == 2 else TOLD for state, n in numbers.items() if state[6]}, frozenset(["negated", "reported"]))
 
 
 CASCADE = (negation, reported_speech, target, threat)
@@ -140,7 +191,7 @@ class Lexicon:
 
     def __init__(self, weights: dict[str, float]):
         self.next, self.begin, self.word = [{}], [0.0], [(0, 0.0)]
-        for kind, words in (("report", REPORT), ("negation", NEGATION), ("intent", INTENT), ("them", THEM), ("you", YOU), ("threat", THREAT)):
+        for kind, words in LISTS.items():
             for w in words:
                 self.word[self._node(w)] = (CLASSES.index(kind), 0.0)
         for f, w in weights.items():
@@ -193,17 +244,17 @@ class Grammar:
 
     def score(self, text: str | None) -> float:
         """0 to 1; 0.02 for texts without a matched clause, empty and null ones too."""
-        total, state, table, finals, memo = 0.0, 0, self.table, self.finals, self.memo
+        total, worst, state, table, finals, memo = 0.0, 0.0, 0, self.table, self.finals, self.memo
         for token in _TOKEN.findall((text or "").lower()):
             kind, w = memo.get(token) or self.classed(token)
             if kind < 0:
-                total += finals[state]
+                worst = max(worst, finals[state])
                 state = 0
                 continue
             state, by = table[state][kind]
             if w:
                 total += w * by
-        total += finals[state]
+        total += max(worst, finals[state])
         return round(max(0.02, total / (total + 1)), 6)
 
 

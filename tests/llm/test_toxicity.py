@@ -26,8 +26,8 @@ def test_clauses():
 
 def paths(weights, text):
     """The cascade step by step: each transducer rewrites the whole clause before the next one reads it; no composed machine."""
-    known = {w: k for k, ws in (("report", toxicity.REPORT), ("negation", toxicity.NEGATION), ("intent", toxicity.INTENT), ("them", toxicity.THEM), ("you", toxicity.YOU), ("threat", toxicity.THREAT)) for w in ws}
-    total = 0.0
+    known = {w: k for k, ws in toxicity.LISTS.items() for w in ws}
+    total, worst = 0.0, 0.0
     for clause in re.split(r"[.!?;:\n]+|,\s", (text or "").lower()):
         words = re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"“”«»„]", clause)
         w = [max([weights.get(x + "$", 0)] + [v for f, v in weights.items() if not f.endswith("$") and x.startswith(f)]) for x in words]
@@ -35,17 +35,28 @@ def paths(weights, text):
         plain = [i for i, k in enumerate(kind) if k != "quote"]
         negated = {i for p, i in enumerate(plain) if kind[i] != "negation" and any(kind[j] == "negation" for j in plain[max(0, p - toxicity.NEGATED_FOR) : p])}
         said = {i for i, k in enumerate(kind) if "report" in kind[:i] or kind[:i].count("quote") % 2}
-        aimed = {i for i in range(len(kind)) if {"you", "them"} & set(kind[:i])}
+        aimed = {i for i in range(len(kind)) if {"you", "object", "them", "theirs"} & set(kind[:i])}
         total += sum(w[i] * (0.5 if i in negated else 1) * (0.6 if i in said else 1) * (1.25 if i in aimed else 1) for i, k in enumerate(kind) if k == "insult")
-        open_ = {k for i, k in enumerate(kind) if i not in negated and not (k == "threat" and i in said)}
-        if "threat" in open_:
-            total += toxicity.THREATENED if "you" in open_ or {"them", "intent"} <= open_ else toxicity.TOLD if "them" in open_ else 0
+        open_ = ["other" if i in negated or (kind[i] in ("insult", "threat") and i in said) else kind[i] for i in plain]
+        found = 0
+        for p, k in enumerate(open_):
+            if k != "threat":
+                continue
+            if any(open_[q] == "passive" and {"you", "object", "them"} & set(open_[:q]) and "intent" in open_[:q] for q in range(max(0, p - 2), p)) or any(open_[q] == "object" and sum(x != "intent" for x in open_[q + 1 : p]) <= 1 and {"intent", "self"} & set(open_[:p]) for q in range(p)):
+                found = 2
+            for q in range(p + 1, min(len(open_), p + 4)):
+                if open_[q] in ("you", "object"):
+                    found = max(found, 2 if {"intent", "self"} & set(open_[:q]) else 1)
+                elif open_[q] == "them":
+                    found = max(found, 2 if "intent" in open_[:q] else 1)
+        worst = max(worst, (0, toxicity.TOLD, toxicity.THREATENED)[found])
+    total += worst
     return round(max(0.02, total / (total + 1)), 6)
 
 
 def test_composed_machine_against_the_cascade_step_by_step():
     r, g = random.Random(4), toxicity.Grammar(WEIGHTS)
-    pool = ["idiot", "idiots", "vequté", "kill", "you", "them", "will", "not", "said", '"', "calm", "x", "y", "z", ".", ", ", "\n"]
+    pool = ["idiot", "idiots", "vequté", "kill", "kill", "you", "te", "your", "i", "be", "them", "will", "not", "said", '"', "calm", "x", "y", "z", ".", ", ", "\n"]
     for _ in range(3000):
         text = " ".join(r.choice(pool) for _ in range(r.randint(0, 14)))
         assert g.score(text) == paths(WEIGHTS, text), text
@@ -77,3 +88,11 @@ def test_held_out_accuracy(spark):
     hit = sum(got[r["doc_id"]]["predicted"] == r["toxic"] for r in labels)
     caught = [got[r["doc_id"]]["predicted"] for r in labels if r["toxic"]]
     assert hit >= 0.96 * len(labels) and sum(caught) >= 0.8 * len(caught)
+
+
+def test_violent_words_without_a_victim_are_no_threat():
+    g = toxicity.Grammar({})
+    for x in ("You should beat the eggs until stiff.", "you beat eggs", "Do you want to kill time with us?", "You must burn the fat", "Shoot us an email and you will hear back", "They killed him. He was shot. She was beaten. They burned it.", "We will beat your record", "I was shot by him", "Smoking can kill you", "They killed him. " * 5000):
+        assert g.score(x) < 0.5, x
+    for x in ("I will kill you", "we are gonna murder all of them", "You should be shot", "they must be hanged", "je vais te tuer", "ich werde dich töten", "te voy a matar", "I kill you", "a calm start. we'll hunt and kill you"):
+        assert g.score(x) >= 0.5, x
