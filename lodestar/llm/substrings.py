@@ -17,14 +17,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import pieces, written
 from lodestar.llm.shingles import Ranges, sliding_min, word_hashes
 
 WINDOW, ANCHOR = 35, 6
-#: Words in a shard's automaton, about (some 350 bytes each); an anchor whose different runs hold more than GROUP words is
-#: settled by counting window hashes, in any number of tasks.
+#: An automaton takes at most SHARD words and one anchor's more, 400,000 in all, at some 400 bytes each: 160 MB. An anchor
+#: whose different runs hold more than GROUP words is settled by counting window hashes, in any number of tasks.
 SHARD, GROUP = 100_000, 300_000
 RUNS = "d {doc}, th long, h long, s long, at int, n int, w int"
 
@@ -195,15 +196,20 @@ def repeated_spans(rows: DataFrame, kind: str, window: int = WINDOW) -> DataFram
     # equal runs: two or more repeat as a whole
     each = written(found.groupBy("h", "s").agg(F.count("*").alias("c"), F.min(F.struct("d", "th", "at", "n")).alias("one")), "each")
     words = F.sum(F.col("one.n") + F.lit(window - 1)).alias("words")
-    groups = each.groupBy("h").agg(F.min("c").alias("least"), words).filter("least < 2").select("h", (F.col("words") > GROUP).alias("large"))
+    groups = each.groupBy("h").agg(F.min("c").alias("least"), words).filter("least < 2").select("h", "words", (F.col("words") > GROUP).alias("large"))
     asked = each.join(groups, "h").select("h", "s", "c", "one.*", "large")
     by_doc = asked.groupBy("d", "th").agg(F.collect_list(F.struct("h", "s", "c", "at", "n")).alias("asked"))
     once = rows.join(by_doc, rows["d"].eqNullSafe(by_doc["d"]) & (rows["th"] == by_doc["th"]), "inner").select("t", "asked")
     content = written(once.mapInArrow(lambda it: _contents(it, window), "h long, s long, c long, words binary").dropDuplicates(["h", "s"]), "content")
-    content = content.join(groups, "h")
+    content = content.join(groups.select("h", "large"), "h")
     small = content.filter("not large")
     shards = max(1, -(-int(small.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0]) // (8 * SHARD)))
-    marked = small.withColumn("shard", F.pmod("h", F.lit(shards))).select("shard", "h", "s", "c", "words").groupBy("shard").applyInArrow(lambda t: _shard(t, window), "h long, s long, marks binary")
+    # anchors of a shard are packed in hash order, so that no automaton takes more than SHARD words and one anchor's
+    packed = groups.filter("not large").withColumn("shard", F.pmod("h", F.lit(shards)))
+    before = F.coalesce(F.sum("words").over(W.partitionBy("shard").orderBy("h").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    packed = packed.select(F.col("h").alias("ph"), "shard", F.floor(before / SHARD).alias("part"))
+    dealt = small.join(packed, F.col("h") == F.col("ph")).select("shard", "part", "h", "s", "c", "words")
+    marked = dealt.groupBy("shard", "part").applyInArrow(lambda t: _shard(t, window), "h long, s long, marks binary")
     # too many different runs for one automaton: windows are counted by hash, in any number of tasks
     wins = content.filter("large").select("h", "s", "c", "words").mapInArrow(lambda it: _windows(it, window), "h long, s long, c long, i int, x long")
     often = wins.groupBy("h", "x").agg(F.sum("c").alias("all")).filter("all > 1").select("h", "x")

@@ -49,3 +49,23 @@ def test_empty_and_kept_text(spark):
     passage = " ".join(f"p{i}" for i in range(40))
     df = spark.createDataFrame([(1, f"a {passage} b"), (2, f"{passage} c")], "doc_id long, text string")
     assert {r["kept_text"] for r in substrings.dedup_substrings(df, with_text=True).collect()} == {"a b", "c"}
+
+
+def test_automata_are_bounded_by_their_words(spark, monkeypatch, tmp_path):
+    """Shards are cut where they exceed SHARD words, wherever the hashes of anchors fall."""
+    monkeypatch.setattr(substrings, "SHARD", 60)
+    seen, real = f"{tmp_path}/seen", substrings._shard
+
+    def spy(table, window):
+        words = [len(x) // 8 for x in table.column("words").to_pylist()]
+        with open(seen, "a") as f:
+            f.write(f"{sum(words) - max(sum(n for n, h in zip(words, table.column('h').to_pylist(), strict=True) if h == a) for a in set(table.column('h').to_pylist()))}\n")
+        return real(table, window)
+
+    monkeypatch.setattr(substrings, "_shard", spy)
+    r = random.Random(1)
+    passages = [" ".join(f"w{r.randrange(10**6)}" for _ in range(50)) for _ in range(60)]
+    docs = [(i, f"{p} tail{i} " + " ".join(f"t{i}x{k}" for k in range(i % 7))) for i, p in enumerate(passages * 2)]
+    assert rows_of(substrings.dedup_substrings(spark.createDataFrame(docs, "doc_id long, text string"), window=35)) == brute(docs, 35)
+    rest = [int(x) for x in open(seen)]
+    assert len(rest) > 20 and max(rest) <= 60 + 100  # what there is besides the largest anchor
