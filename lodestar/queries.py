@@ -11,7 +11,7 @@ from lodestar.functions import compat
 from lodestar.operators import find, maintain, report
 from lodestar.plans import summaries
 from lodestar.plans.virtual import oracle, virtual_index
-from lodestar.samples import GENERATED, SAMPLES
+from lodestar.samples import GENERATED, RELATIONS, SAMPLES
 from lodestar.session import table
 
 UP, LOW = compat.UPPER, compat.LOWER
@@ -261,15 +261,19 @@ def comment_lines(spark: SparkSession, language: str) -> DataFrame:
     return spark.createDataFrame([(i + 1, x, c) for i, (x, c) in enumerate(zip(text.split("\n"), code_lines(text, language)))], "line long, text string, is_code boolean")
 
 
-def extract_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The extractors over one source file for each document, in turn of each language, with the whole text as a comment."""
+def _generated(spark: SparkSession, sf_dir: str, templates: dict) -> DataFrame:
+    """One source file for each document, in turn of each template, with the whole text as a comment."""
     d = table(spark, sf_dir, "documents")
-    pick = lambda k: F.element_at(F.array(*[F.lit(v[k]) for v in GENERATED.values()]), (F.pmod("doc_id", F.lit(len(GENERATED))) + 1).cast("int"))
-    number = F.col("doc_id").cast("string")
+    turn = (F.pmod("doc_id", F.lit(len(templates))) + 1).cast("int")
+    pick = lambda k: F.element_at(F.array(*[F.lit(v[k]) for v in templates.values()]), turn)
     plain = F.translate(F.coalesce("text", F.lit("")), "\n\r\"'`*[(", "        ")
-    made = lambda c: F.replace(F.replace(c, F.lit("{i}"), number), F.lit("{text}"), plain)
-    languages = F.array(*map(F.lit, GENERATED))
-    files = d.select(made(pick(0)).alias("path"), F.encode(made(pick(1)), "UTF-8").alias("content"), F.element_at(languages, (F.pmod("doc_id", F.lit(len(GENERATED))) + 1).cast("int")).alias("language"))
+    made = lambda c: F.replace(F.replace(c, F.lit("{i}"), F.col("doc_id").cast("string")), F.lit("{text}"), plain)
+    return d.select(made(pick(0)).alias("path"), F.encode(made(pick(1)), "UTF-8").alias("content"), F.element_at(F.array(*map(F.lit, templates)), turn).alias("language"))
+
+
+def extract_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The extractors over one source file for each document, in turn of each language, with the whole text as a comment."""
+    files = _generated(spark, sf_dir, GENERATED)
     row = lambda what, kind, name, line, end: F.struct(F.lit(what).alias("what"), kind.alias("kind"), name.alias("name"), line.cast("long").alias("line"), end.cast("long").alias("end_line"))
     zero = F.lit(0)
     rows = F.concat(
@@ -287,6 +291,31 @@ def _sources_sql() -> str:
     return f"SELECT doc_id, what, kind, replace(name, '{{i}}', doc_id::VARCHAR) AS name, line::BIGINT AS line, end_line::BIGINT AS end_line FROM documents JOIN (VALUES {values}) v(n, what, kind, name, line, end_line) ON doc_id % {len(GENERATED)} = n"
 
 
+#: What extract_relations looks at.
+RELATION_KINDS = ["migrates", "touches_table", "invokes_external_api", "tests", "implements", "migration", "sql_query", "external_service", "background_job"]
+
+
+def extract_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Migrations, SQL, services, jobs, tests and implementations of one source file for each document."""
+    row = lambda what, kind, name, line, confidence, detail: F.struct(F.lit(what).alias("what"), kind.alias("kind"), name.alias("name"), line.cast("long").alias("line"), confidence.alias("confidence"), detail.alias("detail"))
+    ends = lambda x: F.when(x["from_symbol_name"] == "", "").otherwise(F.concat(x["from_symbol_name"], F.lit(" -> "), x["to_symbol_name"]))
+    rows = F.concat(
+        F.transform("refs", lambda x: row("reference", x["reference_kind"], x["raw_target_text"], x["line"], x["confidence"], ends(x))),
+        F.transform("artifacts", lambda x: row("artifact", x["artifact_kind"], x["name"], F.lit(0), x["confidence"], x["data_json"])),
+    )
+    got = extract(_generated(spark, sf_dir, RELATIONS), "example.com/shop")
+    some = F.filter(rows, lambda r: r["kind"].isin(RELATION_KINDS))
+    return got.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("doc_id"), F.explode(some).alias("r")).select("doc_id", "r.*")
+
+
+def _relations_sql() -> str:
+    rows = [(n, *line.split("|")) for n, (_, _, want) in enumerate(RELATIONS.values()) for line in want.strip().split("\n")]
+    values = ", ".join(f"({n}, '{what}', '{kind}', '{name}', {line}, '{confidence}', '{detail}')" for n, what, kind, name, line, confidence, detail in rows)
+    number = lambda c: f"replace({c}, '{{i}}', doc_id::VARCHAR) AS {c}"
+    return f"SELECT doc_id, what, kind, {number('name')}, line::BIGINT AS line, confidence, {number('detail')} FROM documents JOIN (VALUES {values}) v(n, what, kind, name, line, confidence, detail) ON doc_id % {len(RELATIONS)} = n"
+
+
+TABLE_QUERIES["extract_relations"] = (extract_relations, _relations_sql())
 TABLE_QUERIES["extract_sources"] = (extract_sources, _sources_sql())
 
 SAMPLE_QUERIES = {f"extract_{n}": (lambda spark, sf_dir, n=n: extracted(spark, n)) for n in SAMPLES} | {f"line_comment_filter_{n}": (lambda spark, sf_dir, n=n: comment_lines(spark, n)) for n in SAMPLES}

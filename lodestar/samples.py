@@ -243,3 +243,100 @@ artifact|route|ANY /p{i}|0|0
 artifact|env_var|KEY_{i}|0|0
 """),
 }
+
+#: Sources made from a number and a text for the relations of a file: what each must yield of migrations, SQL, services,
+#: jobs, tests and implementations: what, kind, name, line, confidence, and an artifact's data or a reference's two ends.
+RELATIONS = {
+    "python": ("db/migrations/test_mod_{i}.py", (
+        '# {text}\n'
+        'import requests\n'
+        'class Order_{i}:\n'
+        '    def load_{i}(self):\n'
+        "        cursor.execute('SELECT id FROM orders_{i} WHERE total = 10')\n"
+        "        requests.get('https://api{i}.example.com/x')\n"
+        '\n'
+        '@shared_task\n'
+        'def send_{i}():\n'
+        '    pass\n'
+        '\n'
+        'def test_send_{i}():\n'
+        '    send_{i}()\n'
+    ), """
+reference|migrates|db/migrations/test_mod_{i}.py|1|exact|
+reference|touches_table|SELECT id FROM orders_{i} WHERE total = 10|5|heuristic|
+reference|invokes_external_api|requests.get|6|heuristic|
+reference|tests|send_{i}|12|heuristic|db.migrations.test_mod_{i}.test_send_{i} -> db.migrations.test_mod_{i}.send_{i}
+artifact|migration|db/migrations/test_mod_{i}.py|0|exact|{"file":"db/migrations/test_mod_{i}.py","type":"migration"}
+artifact|sql_query|SELECT id FROM orders_{i} WHERE total = 10|0|heuristic|{"query":"SELECT id FROM orders_{i} WHERE total = 10"}
+artifact|external_service|requests.get|0|heuristic|{"source":"requests.get","type":"http_client"}
+artifact|background_job|app.task|0|heuristic|{"name":"app.task","type":"celery_task"}
+"""),
+    "typescript": ("db/migrations/mod_{i}.test.ts", (
+        '// {text}\n'
+        "import axios from 'axios';\n"
+        'const q = `SELECT id FROM orders_{i} WHERE total = 10`;\n'
+        "queue.process('send_{i}', run);\n"
+        "new Worker('work_{i}');\n"
+        "axios.post('https://api{i}.example.com/x');\n"
+    ), """
+reference|migrates|db/migrations/mod_{i}.test.ts|0|exact|
+reference|touches_table|SELECT id FROM orders_{i} WHERE total = 10|3|heuristic|
+reference|invokes_external_api|https://api{i}.example.com/x|6|heuristic|
+artifact|migration|db/migrations/mod_{i}.test.ts|0|exact|{"file":"db/migrations/mod_{i}.test.ts","type":"migration"}
+artifact|sql_query|SELECT|0|heuristic|{"query":"SELECT id FROM orders_{i} WHERE total = 10","type":"SELECT"}
+artifact|external_service|axios.post|0|heuristic|{"source":"axios.post","type":"http_client"}
+artifact|background_job|Worker|0|heuristic|{"name":"Worker","type":"worker"}
+artifact|background_job|Queue|0|heuristic|{"name":"Queue","type":"queue"}
+"""),
+    "go": ("db/migrations/mod_{i}.go", (
+        '// {text}\n'
+        'package store\n'
+        '\n'
+        'type Stored_{i} interface{ List() []string }\n'
+        '\n'
+        'type mem_{i} struct{ n int }\n'
+        '\n'
+        'func (m *mem_{i}) List() []string { return nil }\n'
+        '\n'
+        'func load_{i}() {\n'
+        '\tdb.Query("SELECT id FROM orders_{i} WHERE total = 10")\n'
+        '\tdb.Exec("CREATE TABLE carts_{i} (id int)")\n'
+        '\thttp.Get("https://api{i}.example.com/x")\n'
+        '\tgo run_{i}()\n'
+        '}\n'
+    ), """
+reference|implements|store.Stored_{i}|0|exact|store.mem_{i} -> store.Stored_{i}
+reference|migrates|db/migrations/mod_{i}.go|0|exact|
+reference|touches_table|SELECT id FROM orders_{i} WHERE total = 10|11|heuristic|
+reference|touches_table|CREATE TABLE carts_{i} (id int)|12|heuristic|
+reference|invokes_external_api|http.Get|13|heuristic|
+artifact|migration|db/migrations/mod_{i}.go|0|exact|{"file":"db/migrations/mod_{i}.go","type":"migration"}
+artifact|sql_query|SELECT|0|heuristic|{"query":"SELECT id FROM orders_{i} WHERE total = 10","type":"SELECT"}
+artifact|sql_query|CREATE TABLE|0|heuristic|{"query":"CREATE TABLE carts_{i} (id int)","type":"CREATE TABLE"}
+artifact|external_service|http.Get|0|heuristic|{"source":"http.Get","type":"http_client"}
+artifact|background_job|run_{i}|0|heuristic|{"name":"run_{i}","type":"goroutine"}
+"""),
+    "java": ("src/flyway/Box_{i}.java", (
+        '// {text}\n'
+        'package com.p{i};\n'
+        'public class Box_{i} {\n'
+        '    @Async\n'
+        '    void send_{i}() {\n'
+        '        jdbc.query("SELECT id FROM orders_{i} WHERE total = 10");\n'
+        '        restTemplate.getForObject("https://api{i}.example.com/x", String.class);\n'
+        '    }\n'
+        '    @Test\n'
+        '    public void testSend_{i}() {\n'
+        '    }\n'
+        '}\n'
+    ), """
+reference|migrates|src/flyway/Box_{i}.java|0|exact|
+reference|touches_table|SELECT id FROM orders_{i} WHERE total = 10|6|heuristic|
+reference|invokes_external_api|https://api{i}.example.com/x|7|heuristic|
+reference|tests|send_{i}|10|heuristic|com.p{i}.Box_{i}.testSend_{i} -> com.p{i}.send_{i}
+artifact|migration|src/flyway/Box_{i}.java|0|exact|{"file":"src/flyway/Box_{i}.java","type":"migration"}
+artifact|sql_query|SELECT|0|heuristic|{"query":"SELECT id FROM orders_{i} WHERE total = 10","type":"SELECT"}
+artifact|external_service|RestTemplate.getForObject|0|heuristic|{"source":"RestTemplate.getForObject","type":"http_client"}
+artifact|background_job|@Async|0|heuristic|{"name":"@Async","type":"async"}
+"""),
+}
