@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -122,15 +123,16 @@ def _run(spark: SparkSession, candidates: DataFrame, store: Store, config: sourc
     todo = changes.to_scan(found, old.files, marks.get("full_from", ""))
     scanned = stage(extract(todo, own == "root", module_path), "scanned")
     unread = scanned.filter("not is_read").select("path").unionByName(listed.join(found.select("path"), "path", "left_anti"))
-    is_new = F.col("changed")
-    seen = scanned.agg(F.count_if(is_new), F.count_if(~F.col("is_read")), F.count_if(F.col("is_read") & ~is_new & F.col("moved"))).first()
-    n_changed, n_touched = seen[0], seen[2]
-    scanned_files = found.count() - seen[1]
     if mode == "full":
         deleted = m.deleted_files(old.files, listed)
     else:
         deleted = old.files.join(removed.select("path").distinct(), "path", "left_semi") if removed is not None else old.files.limit(0)
-    n_deleted = deleted.count()
+    is_new = F.col("changed")
+    with ThreadPoolExecutor(3) as pool:
+        of_scan = lambda: scanned.agg(F.count_if(is_new), F.count_if(~F.col("is_read")), F.count_if(F.col("is_read") & ~is_new & F.col("moved"))).first()
+        seen, n_found, n_deleted = (x.result() for x in [pool.submit(f) for f in (of_scan, found.count, deleted.count)])
+    n_changed, n_touched = seen[0], seen[2]
+    scanned_files = n_found - seen[1]
     # an empty local table lets the optimizer drop what would follow from deletions
     deleted = stage(deleted.select("id", "path"), "deleted") if n_deleted else spark.createDataFrame([], "id bigint, path string")
     if quiet and version and not (n_changed or n_deleted or seen[1]):
@@ -144,14 +146,21 @@ def _run(spark: SparkSession, candidates: DataFrame, store: Store, config: sourc
             made = work.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_files", "n_packages", "n_symbols", "n_refs", "n_artifacts", "n_given")], F.count("known_id")).first()
             again, written = made[6], (made[5], made[3], made[4])
             ids |= {n: to.ids.get(n, 0) + made[k] for k, n in enumerate(COUNTED) if n != "diagnostics"}
-        says = draft.run(lambda: changes.diagnostic_changes(scanned, unread, draft.frame("files"), deleted if n_deleted else None, old, run, to, stage))
+
+        def diagnose() -> dict[str, int]:
+            said, rows = changes.diagnostic_changes(scanned, unread, draft.frame("files"), deleted if n_deleted else None, old, run, to, stage)
+            counts = {r[0]: r[1] for r in rows.groupBy("severity").count().collect()}  # one row a severity
+            if counts or said.put is not None:
+                draft.put("diagnostics", said)
+            return counts
+
+        says = draft.run(diagnose)
         if n_changed or n_deleted:
             _merge(draft, scanned, work, deleted, old, config, to, stage, made)
         elif config.summaries and not first and old.file_summaries.isEmpty():
             for n, df in summarised(old, config.summary_kinds).items():
                 draft.put(n, df)
-        said, rows = says.result()
-        counts = {r[0]: r[1] for r in rows.groupBy("severity").count().collect()}
+        counts = says.result()
         ids["diagnostics"] = to.ids.get("diagnostics", 0) + sum(counts.values())
         errors, warnings = counts.get("error", 0) + counts.get("fatal", 0), counts.get("warning", 0)
         status = "partial" if errors else "success"
@@ -160,8 +169,6 @@ def _run(spark: SparkSession, candidates: DataFrame, store: Store, config: sourc
             "references_written": written[1], "artifacts_written": written[2], "error_count": errors, "warning_count": warnings, "git_commit": commit or None,
         }
         draft.put("index_runs", Change(fresh=_run_row(spark, old, row), added=1))
-        if counts or said.put is not None:
-            draft.put("diagnostics", said)
         marks = {"ids": ids}
         if mode == "full":  # what was written before this moment has been read by this run or was known before
             marks["full_from"] = (began - datetime.timedelta(seconds=CLOCKS)).strftime("%Y-%m-%dT%H:%M:%SZ")
